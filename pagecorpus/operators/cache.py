@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagecorpus.operators.skew import spread_lookup
+from pagecorpus.session import freeze
+
 
 def cache_hits(pages: DataFrame, cache: DataFrame, artefacts: DataFrame | None = None, key: str = "cache_key") -> DataFrame:
     """Pages with a cached record; with ``artefacts`` the rendered file must exist too."""
@@ -54,4 +57,5 @@ def content_groups(pages: DataFrame, sha: str = "sha", page: str = "page_id") ->
 
 def content_members(pages: DataFrame, groups: DataFrame, sha: str = "sha", page: str = "page_id") -> DataFrame:
     """Every page with the page that stands for its content (the path list, one row each)."""
-    return pages.select(page, sha).join(groups.select(sha, "first_page"), sha, "inner")
+    keepers = freeze(groups.select(sha, "first_page", "n_copies"))
+    return spread_lookup(pages.select(page, sha), keepers, [sha], "n_copies", [page])

@@ -148,9 +148,14 @@ def _base(text_only: bool) -> float:
 
 def vertical_columns(units: Column, rows: Column) -> Column:
     """Characters in chunks of ``rows``; no characters, no columns."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(units) - 1, F.lit(0)), F.greatest(rows, F.lit(1)))
-    chunks = F.transform(starts, lambda i: F.slice(units, i + 1, F.greatest(rows, F.lit(1))))
-    return F.when((F.size(units) > 0) & (rows > 0), chunks).otherwise(F.array().cast("array<array<string>>"))
+    size = F.greatest(rows, F.lit(1))
+
+    def chunks(u: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(u) - 1, F.lit(0)), size)
+        cut = F.transform(starts, lambda i: F.slice(u, i + 1, size))
+        return F.when((F.size(u) > 0) & (rows > 0), cut).otherwise(F.array().cast("array<array<string>>"))
+
+    return _let(units, chunks)
 
 
 def fit_vertical(

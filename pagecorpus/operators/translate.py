@@ -20,6 +20,9 @@ Translator = Callable[[str, str, str], str]
 DEFAULT_CONCURRENCY = 4
 MIN_CONCURRENCY, MAX_CONCURRENCY = 1, 8
 
+# Lists of failed pages up to this length are broadcast.
+BROADCAST_PAGES = 200_000
+
 
 def resolve_concurrency(environment: str | None = None, configured: int | None = None) -> int:
     """Calls in flight: a numeric environment value, else the configured one, else four."""
@@ -126,15 +129,21 @@ def memo_translate(
     return apply_memo(blocks, memo, keys, source)
 
 
-def split_pages(blocks: DataFrame, key: str = "page_key") -> tuple[DataFrame, DataFrame]:
+def split_pages(blocks: DataFrame, key: str = "page_key", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
     """All-or-nothing pages: ``(complete, quarantined)`` block tables.
 
     One failing block sends its whole page to quarantine. Failing pages are reduced to
-    a key list first; no page is gathered in one task.
+    a list of keys first; no page is gathered in one task.
     """
-    failed = blocks.where(F.col("status") != schema.OK).groupBy(key).agg(F.count(F.lit(1)).alias("n_failed"))
-    complete = blocks.join(failed.select(key), key, "left_anti")
-    quarantined = blocks.join(failed, key, "inner").withColumn("page_status", F.lit(schema.PAGE_FAILED))
+    failing = F.count_if(F.col("status") != schema.OK)
+    per_page = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("_uses"), failing.alias("n_failed"))
+    failed = freeze(per_page.where(F.col("n_failed") > 0))
+    if failed.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES:
+        marked = blocks.join(F.broadcast(failed.drop("_uses")), key, "left")
+    else:
+        marked = spread_lookup(blocks, failed, [key], "_uses", [pos], how="left")
+    complete = marked.where(F.col("n_failed").isNull()).drop("n_failed")
+    quarantined = marked.where(F.col("n_failed").isNotNull()).withColumn("page_status", F.lit(schema.PAGE_FAILED))
     return complete, quarantined
 
 

@@ -13,6 +13,7 @@ from pagecorpus.functions.keys import cache_key
 from pagecorpus.operators.blocks import assemble_pages
 from pagecorpus.operators.cache import cache_hits, cache_misses, content_groups
 from pagecorpus.operators.glossary import refine
+from pagecorpus.operators.skew import spread_lookup
 from pagecorpus.operators.translate import apply_memo, distinct_texts, split_pages
 from pagecorpus.session import freeze
 
@@ -36,11 +37,13 @@ class TranslationJob:
 
 @dataclass(frozen=True)
 class TranslatedPages:
-    """``pages``: every page with its cache key. ``hits``: pages answered by the cache.
-    ``blocks``: corrected blocks of the newly translated pages. ``quarantine``: blocks of
-    failed pages. ``empty``: work units without text."""
+    """``pages``: every page with its cache key. ``groups``: each cache key once, with the
+    page that stands for it and its number of copies. ``hits``: groups the cache answers.
+    ``units``: groups to translate. ``blocks``: corrected blocks of translated units.
+    ``quarantine``: blocks of failed units. ``empty``: units without text."""
 
     pages: DataFrame
+    groups: DataFrame
     hits: DataFrame
     units: DataFrame
     blocks: DataFrame
@@ -72,17 +75,18 @@ def translate_pages(
     ``cache(cache_key)``; pages of equal content are one unit of work.
     """
     keyed = pages.withColumn("cache_key", job.key("sha"))
-    hits = cache_hits(keyed, cache.select("cache_key").distinct(), artefacts)
-    missing = cache_misses(keyed, cache, artefacts, job.force)
-    units = content_groups(missing, "cache_key", "page_key").withColumnRenamed("first_page", "page_key")
+    # Equal contents first: what follows sees each cache key once, however many copies it has.
+    groups = freeze(content_groups(keyed, "cache_key", "page_key").withColumnRenamed("first_page", "page_key"))
+    hits = cache_hits(groups, cache.select("cache_key").distinct(), artefacts)
+    units = cache_misses(groups, cache, artefacts, job.force)
     work = blocks.join(units.select("page_key", "cache_key"), "page_key")
     memo = corrected_memo(work, rules, translate)
-    done = apply_memo(work, memo)
+    done = freeze(apply_memo(work, memo).drop("uses"))
     complete, quarantine = split_pages(done)
-    empty = units.join(blocks.select("page_key").distinct(), "page_key", "left_anti").withColumn(
+    empty = units.join(done.select("page_key").distinct(), "page_key", "left_anti").withColumn(
         "status", F.lit(schema.NO_TEXT_BLOCKS)
     )
-    return TranslatedPages(keyed, hits, units, complete.drop("uses"), quarantine, empty)
+    return TranslatedPages(keyed, groups, hits, units, complete, quarantine, empty)
 
 
 def page_records(result: TranslatedPages, job: TranslationJob, created_at: Column | None = None) -> DataFrame:
@@ -125,7 +129,9 @@ def page_report(result: TranslatedPages) -> DataFrame:
         )
         .unionByName(result.empty.select("cache_key", F.lit(0).alias("n_blocks"), F.col("status").alias("outcome")))
     )
-    joined = result.pages.select("page_key", "cache_key").join(outcome, "cache_key", "left")
+    copies = result.groups.select("cache_key", "n_copies").join(outcome, "cache_key", "left")
+    pages = result.pages.select("page_key", "cache_key")
+    joined = spread_lookup(pages, freeze(copies), ["cache_key"], "n_copies", ["page_key"])
     return joined.select(
         "page_key",
         "cache_key",

@@ -14,7 +14,8 @@ from pagecorpus.plans.queries_text import sql_renderable
 from pagecorpus.plans.views import BOXES, CONV_BLOCKS, GRID_CELLS, Views
 from pagecorpus.sources.scan import sample_images
 
-W, H = F.col("img_w"), F.col("img_h")
+def _size() -> tuple[Column, Column]:
+    return F.col("img_w"), F.col("img_h")
 
 
 def _flat(name: str, prefix: str) -> list[Column]:
@@ -27,13 +28,13 @@ def _sql_flat(x: str, y: str, w: str, h: str, prefix: str) -> str:
 
 def _rects(v: Views) -> DataFrame:
     boxed = b.normalise_boxes(v.boxes)
-    return boxed.withColumn("rect", g.pixel_rect(F.col("box"), W, H)).withColumn(
+    return boxed.withColumn("rect", g.pixel_rect(F.col("box"), *_size())).withColumn(
         "flow", g.text_flow(F.col("rect"), F.col("n_chars"))
     )
 
 
 def _containers(v: Views) -> DataFrame:
-    covered = _rects(v).withColumn("fallback", g.redaction_rect(F.col("rect"), F.col("flow"), F.col("n_chars"), W, H))
+    covered = _rects(v).withColumn("fallback", g.redaction_rect(F.col("rect"), F.col("flow"), F.col("n_chars"), *_size()))
     return covered.withColumn("whole", g.integral_rect(F.col("fallback"))).withColumn(
         "text_rect", g.text_inset(F.col("whole"), F.col("flow"))
     )
@@ -82,7 +83,7 @@ def rect_algebra(v: Views) -> DataFrame:
     """Clamp to the image, unite with a fixed rectangle, grow to whole pixels."""
     raw = g.rect(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     fixed = g.rect(F.lit(400.0), F.lit(600.0), F.lit(50.5), F.lit(20.25))
-    staged = v.boxes.withColumn("clamped", g.clamp_rect(raw, W, H))
+    staged = v.boxes.withColumn("clamped", g.clamp_rect(raw, *_size()))
     staged = staged.withColumn("united", g.union_rect(F.col("clamped"), fixed))
     staged = staged.withColumn("whole", g.integral_rect(F.col("united")))
     return staged.select("page_key", "pos", *_flat("clamped", "c"), *_flat("united", "u"), *_flat("whole", "i"))
@@ -139,17 +140,17 @@ def _wrap_sql(jobs: str) -> str:
     ``lim`` is in thousandths of an em; result ``wrapped(jid, n_lines)``.
     """
     return f"""steps AS (
- SELECT jid, words, lim, greatest(1, CAST(floor(lim / 600) AS BIGINT)) AS per_line, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS cur FROM {jobs}
+ SELECT jid, words, lim, greatest(1, CAST(floor(lim / 600) AS BIGINT)) AS per_line, CAST(0 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS cur FROM {jobs}
  UNION ALL
- SELECT jid, words, lim, per_line, at + 1,
+ SELECT jid, words, lim, per_line, idx + 1,
   CASE WHEN joined <= lim THEN n
        WHEN word <= lim THEN n + (cur > 0)::BIGINT
        ELSE n + (cur > 0)::BIGINT + CAST(ceil(chars / per_line::DOUBLE) AS BIGINT) - 1 END,
   CASE WHEN joined <= lim THEN joined WHEN word <= lim THEN word
        ELSE (chars - (CAST(ceil(chars / per_line::DOUBLE) AS BIGINT) - 1) * per_line) * 600 END
- FROM (SELECT *, length(words[at + 1]) AS chars, length(words[at + 1]) * 600 AS word,
-   CASE WHEN cur = 0 THEN 0 ELSE cur + 300 END + length(words[at + 1]) * 600 AS joined FROM steps WHERE at < len(words))),
-wrapped AS (SELECT jid, n + (cur > 0)::BIGINT AS n_lines FROM steps WHERE at = len(words))"""
+ FROM (SELECT *, length(words[idx + 1]) AS chars, length(words[idx + 1]) * 600 AS word,
+   CASE WHEN cur = 0 THEN 0 ELSE cur + 300 END + length(words[idx + 1]) * 600 AS joined FROM steps WHERE idx < len(words))),
+wrapped AS (SELECT jid, n + (cur > 0)::BIGINT AS n_lines FROM steps WHERE idx = len(words))"""
 
 
 @query(
@@ -186,19 +187,19 @@ def horizontal_fit(v: Views) -> DataFrame:
  SELECT page_key, pos, CAST(8 + pos AS BIGINT) AS k,
   list_filter(string_split({sql_renderable('original_text')}, ' '), lambda x: x <> '') AS words FROM conv_blocks),
 steps AS (
- SELECT page_key, pos, words, k, CAST(0 AS BIGINT) AS at, CAST([] AS VARCHAR[]) AS done, '' AS cur FROM jobs
+ SELECT page_key, pos, words, k, CAST(0 AS BIGINT) AS idx, CAST([] AS VARCHAR[]) AS done, '' AS cur FROM jobs
  UNION ALL
- SELECT page_key, pos, words, k, at + 1,
+ SELECT page_key, pos, words, k, idx + 1,
   CASE WHEN length(joined) <= k THEN done
        WHEN length(word) <= k THEN list_concat(done, CASE WHEN cur = '' THEN [] ELSE [cur] END)
        ELSE list_concat(list_concat(done, CASE WHEN cur = '' THEN [] ELSE [cur] END),
         list_transform(range(0, CAST(ceil(length(word) / k::DOUBLE) AS BIGINT) - 1), lambda i: substr(word, i * k + 1, k))) END,
   CASE WHEN length(joined) <= k THEN joined WHEN length(word) <= k THEN word
        ELSE substr(word, (CAST(ceil(length(word) / k::DOUBLE) AS BIGINT) - 1) * k + 1) END
- FROM (SELECT *, words[at + 1] AS word, CASE WHEN cur = '' THEN words[at + 1] ELSE concat(cur, ' ', words[at + 1]) END AS joined
-  FROM steps WHERE at < len(words)))
+ FROM (SELECT *, words[idx + 1] AS word, CASE WHEN cur = '' THEN words[idx + 1] ELSE concat(cur, ' ', words[idx + 1]) END AS joined
+  FROM steps WHERE idx < len(words)))
 SELECT page_key, pos, array_to_string(list_concat(done, CASE WHEN cur = '' THEN [] ELSE [cur] END), '|') AS lines
-FROM steps WHERE at = len(words)"""
+FROM steps WHERE idx = len(words)"""
 )
 def wrapped_lines(v: Views) -> DataFrame:
     """Lines of eight and more characters; longer words are split."""
@@ -246,7 +247,7 @@ def text_containers(v: Views) -> DataFrame:
         r["height"] * F.lit(1.25),
     )
     staged = _containers(v).withColumn("region", F.when(F.col("pos") % 2 == 0, region))
-    bubble = layout.container_rect(F.col("fallback"), r, F.col("region"), W, H)
+    bubble = layout.container_rect(F.col("fallback"), r, F.col("region"), *_size())
     staged = staged.withColumn("container", g.integral_rect(bubble))
     area = layout.text_rect(
         F.col("container"), r, F.col("flow"), F.col("source_is_vertical"), F.lit(None).cast("double")
@@ -267,8 +268,8 @@ def light_cells(v: Views) -> DataFrame:
     """Three neighbouring values as colour channels."""
 
     def channel(offset: int) -> Column:
-        at = (F.col("i") + offset) % 64 + 1
-        return F.lit(1.0) - F.abs(F.element_at("embedding", at).cast("double"))
+        idx = (F.col("i") + offset) % 64 + 1
+        return F.lit(1.0) - F.abs(F.element_at("embedding", index).cast("double"))
 
     cells = v.table("embeddings").select(
         F.col("vec_id").alias("page_key"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")

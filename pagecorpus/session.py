@@ -1,4 +1,4 @@
-"""Session helpers: reliable checkpoints and size-checked broadcasts."""
+"""Session helpers: shared working tables and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -17,12 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
+    own = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -31,12 +30,14 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage and cut its lineage; survives lost executors."""
+    """``df`` as a table on shared storage: computed once, read by all later uses.
+
+    It cuts the lineage, survives lost executors, and tells the planner its size.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = work_path(spark, "frozen")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,19 +65,30 @@ def read_images(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     )
 
 
-def _channel(data: Column, offset: Column) -> Column:
-    value = F.conv(F.hex(F.substring(data, offset + 1, F.lit(1))), 16, 10)
-    return value.cast("double") / F.lit(255.0)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def pixel_is_light(data: Column, channels: Column, width: Column, row: Column, col: Column) -> Column:
-    """Lightness of one pixel of interleaved grey, BGR or BGRA bytes."""
-    start = (row * width + col) * channels
-    blue = _channel(data, start)
-    green = F.when(channels >= 3, _channel(data, start + 1)).otherwise(blue)
-    red = F.when(channels >= 3, _channel(data, start + 2)).otherwise(blue)
-    alpha = F.when(channels == 4, _channel(data, start + 3)).otherwise(F.lit(1.0))
-    return g.is_light(red, green, blue, alpha)
+def pixel_is_light(data: Column, channels: Column, index: Column) -> Column:
+    """Lightness of pixel ``index`` of interleaved grey, BGR or BGRA bytes."""
+
+    def byte(digits: Column, i: int) -> Column:
+        pair = F.substring(digits, F.lit(2 * i + 1), F.lit(2))
+        return F.conv(pair, 16, 10).cast("double") / F.lit(255.0)
+
+    def colour(digits: Column) -> Column:
+        grey = F.length(digits) < 6
+        alpha = F.when(F.length(digits) == 8, byte(digits, 3)).otherwise(1.0)
+        return F.struct(
+            byte(digits, 0).alias("b"),
+            F.when(grey, byte(digits, 0)).otherwise(byte(digits, 1)).alias("g"),
+            F.when(grey, byte(digits, 0)).otherwise(byte(digits, 2)).alias("r"),
+            alpha.alias("a"),
+        )
+
+    digits = F.hex(F.substring(data, index * channels + 1, channels))
+    return _let(_let(digits, colour), lambda c: g.is_light(c["r"], c["g"], c["b"], c["a"]))
 
 
 def sample_images(windows: DataFrame, images: DataFrame, keys: list[str], rect: str = "search", step: str = "step") -> DataFrame:
@@ -89,21 +101,26 @@ def sample_images(windows: DataFrame, images: DataFrame, keys: list[str], rect:
     r, s = F.col(rect), F.col(step)
     rows, cols = g.grid_extent(r, s)
 
-    def point(row: Column, col: Column) -> Column:
-        px, py = g.sample_x(r, s, col), g.sample_y(r, s, row)
-        pc = g.pixel_index(px, F.col("img_w"), F.col("width"))
-        pr = g.pixel_index(F.col("img_h") - py, F.col("img_h"), F.col("height"))
-        light = pixel_is_light(F.col("data"), F.col("channels"), F.col("width"), pr, pc)
-        return F.struct(row.alias("row"), col.alias("col"), px.alias("px"), py.alias("py"), light.alias("light"))
-
-    grid = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), rows - 1),
-            lambda row: F.transform(F.sequence(F.lit(0), cols - 1), lambda col: point(row, col)),
+    def line(row: Column) -> Column:
+        py = g.sample_y(r, s, row)
+        start = g.pixel_index(F.col("img_h") - py, F.col("img_h"), F.col("height")) * F.col("width")
+        return F.struct(row.alias("row"), py.alias("py"), start.alias("start"))
+
+    def across(col: Column) -> Column:
+        px = g.sample_x(r, s, col)
+        return F.struct(col.alias("col"), px.alias("px"), g.pixel_index(px, F.col("img_w"), F.col("width")).alias("at"))
+
+    def point(ln: Column, ac: Column) -> Column:
+        light = pixel_is_light(F.col("data"), F.col("channels"), ln["start"] + ac["at"])
+        return F.struct(
+            ln["row"].alias("row"), ac["col"].alias("col"), ac["px"].alias("px"), ln["py"].alias("py"), light.alias("light")
         )
-    )
-    kept = [c for c in windows.columns]
-    return joined.withColumn("_grid", grid).select(*kept, F.inline("_grid"))
+
+    lines = F.transform(F.sequence(F.lit(0), rows - 1), line)
+    columns = F.transform(F.sequence(F.lit(0), cols - 1), across)
+    joined = joined.withColumns({"_lines": lines, "_columns": columns})
+    grid = F.flatten(F.transform("_lines", lambda ln: F.transform("_columns", lambda ac: point(ln, ac))))
+    return joined.withColumn("_grid", grid).select(*windows.columns, F.inline("_grid"))
 
 
 @dataclass(frozen=True)

@@ -33,13 +33,13 @@ def _versioned(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/version={version}"
 
 
-def write_version(records: DataFrame, root: str, version: int, prefix_length: int = 2) -> None:
+def write_version(records: DataFrame, root: str, version: int, prefix_length: int = 1) -> None:
     """Add or replace records by cache key; ``records`` have the columns of ``RECORD``."""
     rows = records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD.fields])
     _write(rows.withColumn("deleted", F.lit(False)), root, version, prefix_length)
 
 
-def write_deletions(keys: DataFrame, root: str, version: int, prefix_length: int = 2) -> None:
+def write_deletions(keys: DataFrame, root: str, version: int, prefix_length: int = 1) -> None:
     """Delete by ``cache_key``; keys that are not stored do nothing."""
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD.fields[1:]]
     rows = keys.select("cache_key", *empty).distinct().withColumn("deleted", F.lit(True))
@@ -48,9 +48,12 @@ def write_deletions(keys: DataFrame, root: str, version: int, prefix_length: int
 
 def _write(rows: DataFrame, root: str, version: int, prefix_length: int) -> None:
     prefix = F.left(F.col("cache_key"), F.lit(prefix_length))
+    # A prefix is spread over several tasks only where there are more tasks than prefixes.
+    share = max(1, shuffle_partitions(rows.sparkSession) // 16**prefix_length)
     (
         rows.withColumn("prefix", prefix)
-        .repartition(shuffle_partitions(rows.sparkSession), "prefix", "cache_key")
+        .repartition(F.col("prefix"), F.pmod(F.xxhash64("cache_key"), F.lit(share)))
+        .sortWithinPartitions("prefix", "cache_key")
         .write.mode("overwrite")
         .partitionBy("prefix")
         .parquet(_versioned(root, version))
