@@ -29,6 +29,11 @@ def _inline_rules(rules: DataFrame, limit: int = INLINE_LIMIT) -> list | None:
     return sorted(rows, key=lambda r: r.rule_ord)
 
 
+def is_inline(rules: DataFrame, limit: int = INLINE_LIMIT) -> bool:
+    """Whether :func:`refine` writes these rules out as one expression."""
+    return _inline_rules(rules, limit) is not None
+
+
 def _matches(source: Column, needles: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.contains(source, F.lit(n)) for n in needles if n], F.lit(False))
 

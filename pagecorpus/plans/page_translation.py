@@ -12,7 +12,7 @@ from pagecorpus import schema
 from pagecorpus.functions.keys import cache_key
 from pagecorpus.operators.blocks import assemble_pages
 from pagecorpus.operators.cache import cache_hits, cache_misses, content_groups
-from pagecorpus.operators.glossary import refine
+from pagecorpus.operators.glossary import is_inline, refine
 from pagecorpus.operators.skew import spread_lookup
 from pagecorpus.operators.translate import apply_memo, distinct_texts, split_pages
 from pagecorpus.session import freeze
@@ -39,13 +39,15 @@ class TranslationJob:
 class TranslatedPages:
     """``pages``: every page with its cache key. ``groups``: each cache key once, with the
     page that stands for it and its number of copies. ``hits``: groups the cache answers.
-    ``units``: groups to translate. ``blocks``: corrected blocks of translated units.
-    ``quarantine``: blocks of failed units. ``empty``: units without text."""
+    ``units``: groups to translate. ``processed``: all their blocks with a status.
+    ``blocks``: corrected blocks of units without failure. ``quarantine``: blocks of the
+    other units. ``empty``: units without text."""
 
     pages: DataFrame
     groups: DataFrame
     hits: DataFrame
     units: DataFrame
+    processed: DataFrame
     blocks: DataFrame
     quarantine: DataFrame
     empty: DataFrame
@@ -53,7 +55,10 @@ class TranslatedPages:
 
 def corrected_memo(blocks: DataFrame, rules: DataFrame, translate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Translated and corrected once per distinct text; frozen, since calls may be costly."""
-    memo = freeze(translate(distinct_texts(blocks)))
+    memo = translate(distinct_texts(blocks))
+    if not is_inline(rules):
+        # Joined correction reads its input more than once.
+        memo = freeze(memo)
     refined = refine(memo, rules, ["text"], source="text", out="_refined")
     return freeze(
         refined.select("text", "uses", F.col("_refined").alias("translated_text"), "status", "error")
@@ -78,7 +83,7 @@ def translate_pages(
     # Equal contents first: what follows sees each cache key once, however many copies it has.
     groups = freeze(content_groups(keyed, "cache_key", "page_key").withColumnRenamed("first_page", "page_key"))
     hits = cache_hits(groups, cache.select("cache_key").distinct(), artefacts)
-    units = cache_misses(groups, cache, artefacts, job.force)
+    units = freeze(cache_misses(groups, cache, artefacts, job.force))
     work = blocks.join(units.select("page_key", "cache_key"), "page_key")
     memo = corrected_memo(work, rules, translate)
     done = freeze(apply_memo(work, memo).drop("uses"))
@@ -86,7 +91,7 @@ def translate_pages(
     empty = units.join(done.select("page_key").distinct(), "page_key", "left_anti").withColumn(
         "status", F.lit(schema.NO_TEXT_BLOCKS)
     )
-    return TranslatedPages(keyed, groups, hits, units, complete, quarantine, empty)
+    return TranslatedPages(keyed, groups, hits, units, done, complete, quarantine, empty)
 
 
 def page_records(result: TranslatedPages, job: TranslationJob, created_at: Column | None = None) -> DataFrame:
@@ -119,13 +124,12 @@ def page_report(result: TranslatedPages) -> DataFrame:
 
     Pages of equal content share the outcome of the page that stands for them.
     """
+    whole = F.bool_and(F.col("status") == schema.OK)
     outcome = (
-        result.blocks.groupBy("cache_key")
-        .agg(F.count(F.lit(1)).alias("n_blocks"), F.lit("translated").alias("outcome"))
-        .unionByName(
-            result.quarantine.groupBy("cache_key").agg(
-                F.count(F.lit(1)).alias("n_blocks"), F.lit(schema.PAGE_FAILED).alias("outcome")
-            )
+        result.processed.groupBy("cache_key")
+        .agg(
+            F.count(F.lit(1)).alias("n_blocks"),
+            F.when(whole, "translated").otherwise(schema.PAGE_FAILED).alias("outcome"),
         )
         .unionByName(result.empty.select("cache_key", F.lit(0).alias("n_blocks"), F.col("status").alias("outcome")))
     )

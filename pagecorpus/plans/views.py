@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagecorpus.session import spread
+
 
 @dataclass(frozen=True)
 class Views:
@@ -18,6 +20,9 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread_table(self, name: str, *columns: str) -> DataFrame:
+        return spread(self.table(name).select(*columns))
+
     @property
     def page_paths(self) -> DataFrame:
         """Documents as files ``source/doc_id.ext``, some of them hidden."""
@@ -33,15 +38,16 @@ class Views:
     def doc_blocks(self) -> DataFrame:
         """Every line of every document is a block."""
         lines = F.posexplode(F.split("text", "\n")).alias("pos", "original_text")
-        return self.table("documents").select(F.col("doc_id").alias("page_key"), lines)
+        return self.spread_table("documents", "doc_id", "text").select(F.col("doc_id").alias("page_key"), lines)
 
     @property
     def doc_pages(self) -> DataFrame:
-        return self.table("documents").select(F.col("doc_id").alias("page_key"), F.sha2("text", 256).alias("sha"))
+        sha = F.sha2("text", 256).alias("sha")
+        return self.spread_table("documents", "doc_id", "text").select(F.col("doc_id").alias("page_key"), sha)
 
     @property
     def conv_blocks(self) -> DataFrame:
-        return self.table("conversations").select(
+        return self.spread_table("conversations", "conv_id", "turn", "text").select(
             F.col("conv_id").alias("page_key"), F.col("turn").alias("pos"), F.col("text").alias("original_text")
         )
 
@@ -50,7 +56,8 @@ class Views:
         """Line items as pixel corners on a 1000 x 1400 page."""
         x1 = F.col("l_quantity") * 20 - 50
         y1 = F.col("l_discount") * 10000 - 100
-        return self.table("lineitem").select(
+        columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+        return self.spread_table("lineitem", *columns).select(
             F.col("l_orderkey").alias("page_key"),
             F.col("l_linenumber").alias("pos"),
             F.lit(1000.0).alias("img_w"),
@@ -68,7 +75,7 @@ class Views:
     def grid_cells(self) -> DataFrame:
         """Embeddings of 64 values as 8 x 8 rasters."""
         cell = F.posexplode("embedding").alias("i", "v")
-        return self.table("embeddings").select(F.col("vec_id").alias("page_key"), cell).select(
+        return self.spread_table("embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("page_key"), cell).select(
             "page_key",
             F.floor(F.col("i") / 8).cast("int").alias("row"),
             (F.col("i") % 8).alias("col"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from pagecorpus.plans.page_translation import TranslationJob, page_records, translate_pages
-from pagecorpus.session import freeze
+from pagecorpus.session import spread
 from pagecorpus.sources import store
 
 
@@ -32,7 +32,7 @@ def auto_translate(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        pages, blocks = to_pages(freeze(batch))
+        pages, blocks = to_pages(spread(batch))
         known = store.read_current(spark, root, before=version).select("cache_key")
         result = translate_pages(pages, blocks, known, rules, translate, job)
         store.write_version(page_records(result, job), root, version)
