@@ -71,7 +71,8 @@ def _refine_joined(
     blocks: DataFrame, rules: DataFrame, keys: Sequence[str], source: str, target: str, out: str
 ) -> DataFrame:
     pairs = matching_rules(blocks, rules, keys, source)
-    bodies = pairs.join(broadcast_if_small(freeze(rules.select("rule_ord", "replacements"))), "rule_ord")
+    # A table of known size: the planner broadcasts it or, if it is large, shuffles.
+    bodies = pairs.join(freeze(rules.select("rule_ord", "replacements")), "rule_ord")
     # Bounded by the rules whose needles occur in one block.
     per_block = bodies.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rule_ord", "replacements"))).alias("_rules")

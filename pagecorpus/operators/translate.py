@@ -53,13 +53,14 @@ def enrich(
     source_language: str = "ja",
     target_language: str = "ko",
     concurrency: int = DEFAULT_CONCURRENCY,
-    tasks: int = 1,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Call ``translator`` for every ``text``; failures become rows with a status.
 
     At most ``concurrency`` calls are in flight per task, so ``tasks`` times that many
-    in the cluster. Other columns are kept. Freeze the result before using it twice:
-    an unfrozen plan calls again. A repeated task repeats its calls.
+    in the cluster; without ``tasks`` the partitions of ``texts`` decide. Other columns
+    are kept. Freeze the result before using it twice: an unfrozen plan calls again.
+    A repeated task repeats its calls.
     """
     limit = resolve_concurrency(configured=concurrency)
     columns = [c for c in texts.columns if c not in ("translated_text", "status", "error")]
@@ -85,7 +86,7 @@ def enrich(
                     error=[a[2] for a in answers],
                 )
 
-    return source.repartition(tasks).mapInPandas(
+    return (source.repartition(tasks) if tasks else source).mapInPandas(
         run, schema=f"{out}, translated_text string, status string, error string"
     )
 

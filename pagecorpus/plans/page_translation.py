@@ -30,6 +30,11 @@ class TranslationJob:
     cache_empty: bool = False
     languages_in_key: bool = False
 
+    def __post_init__(self) -> None:
+        for code in (self.source_language, self.target_language):
+            if code not in schema.LANGUAGES:
+                raise ValueError(f"unknown language {code!r}; known are {', '.join(schema.LANGUAGES)}")
+
     def key(self, sha: Column | str) -> Column:
         languages = (self.source_language, self.target_language) if self.languages_in_key else None
         return cache_key(sha, self.engine_version, self.provider, languages)

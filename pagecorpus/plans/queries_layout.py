@@ -269,7 +269,7 @@ def light_cells(v: Views) -> DataFrame:
 
     def channel(offset: int) -> Column:
         idx = (F.col("i") + offset) % 64 + 1
-        return F.lit(1.0) - F.abs(F.element_at("embedding", index).cast("double"))
+        return F.lit(1.0) - F.abs(F.element_at("embedding", idx).cast("double"))
 
     cells = v.table("embeddings").select(
         F.col("vec_id").alias("page_key"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")

@@ -153,7 +153,7 @@ def _zip_rows(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": [f"{i}.cbz" for i in batch["doc_id"]], "content": packed})
 
     rows = documents.select("doc_id", "text").mapInPandas(pack, schema="path string, content binary")
-    return rows.withColumn("archive_sha", fingerprint("content"))
+    return rows.withColumn("archive_sha", fingerprint("content")).withColumn("status", F.lit("ok"))
 
 
 @query(
@@ -325,22 +325,28 @@ def document_round_trip(v: Views) -> DataFrame:
 
 
 @query(
-    f"""WITH {DOC_BLOCKS}, kept AS (
- SELECT * FROM doc_blocks WHERE NOT (page_key % 5 = 3 AND page_key % 4 <> 1))
-SELECT {ROUND_TRIP.replace("concat('tr:', original_text)", "concat(CASE WHEN page_key % 4 = 1 THEN 'v3:' ELSE '' END, 'tr:', original_text)")} FROM kept"""
+    f"""WITH {DOC_BLOCKS}, marks AS (
+ SELECT d.doc_id, coalesce(l.quality = 0, false) AS gone, coalesce(l.toxic = 1, false) AS again
+ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+kept AS (SELECT b.*, again FROM doc_blocks b JOIN marks ON page_key = doc_id WHERE again OR NOT gone)
+SELECT {ROUND_TRIP.replace("concat('tr:', original_text)", "concat(CASE WHEN again THEN 'v3:' ELSE '' END, 'tr:', original_text)")} FROM kept"""
 )
 def versioned_table(v: Views) -> DataFrame:
     """Write all records, delete some, write some again, read what is in force."""
     root = work_path(v.spark, "translations")
     records = _records(v)
-    number = F.col("cache_key").cast("bigint")
+
+    def labelled(condition: str) -> DataFrame:
+        keys = v.table("labels").where(condition).select(F.col("doc_id").cast("string").alias("cache_key"))
+        return records.join(keys, "cache_key", "left_semi")
+
     store.initialise(v.spark, root)
     store.write_version(records, root, 1)
-    store.write_deletions(records.where(number % 5 == 3), root, 2)
+    store.write_deletions(labelled("quality = 0"), root, 2)
     renamed = F.transform(
         "blocks", lambda x: x.withField("translated_text", F.concat(F.lit("v3:"), x["translated_text"]))
     )
-    store.write_version(records.where(number % 4 == 1).withColumn("blocks", renamed), root, 3)
+    store.write_version(labelled("toxic = 1").withColumn("blocks", renamed), root, 3)
     return _block_rows(store.read_current(v.spark, root))
 
 

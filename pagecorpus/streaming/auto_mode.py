@@ -49,3 +49,11 @@ def auto_translate(
 def parquet_arrivals(spark: SparkSession, folder: str, glob: str, schema) -> DataFrame:
     """Files of one folder as a stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+
+
+def once_within(arrivals: DataFrame, time: str, delay: str, sha: str = "sha") -> DataFrame:
+    """Drop repeated contents that arrive within ``delay``; the state is bounded by it.
+
+    Optional: the table look-up in :func:`auto_translate` finds repeats of any age.
+    """
+    return arrivals.withWatermark(time, delay).dropDuplicatesWithinWatermark([sha])
