@@ -84,7 +84,8 @@ def translate_pages(
     ``pages(page_key, sha)``, ``blocks(page_key, pos, original_text, ...)``,
     ``cache(cache_key)``; pages of equal content are one unit of work.
     """
-    keyed = pages.withColumn("cache_key", job.key("sha"))
+    # Contents are hashed in one pass; from here on pages are a key table.
+    keyed = freeze(pages.withColumn("cache_key", job.key("sha")).select("page_key", "cache_key"))
     # Equal contents first: what follows sees each cache key once, however many copies it has.
     groups = freeze(content_groups(keyed, "cache_key", "page_key").withColumnRenamed("first_page", "page_key"))
     hits = cache_hits(groups, cache.select("cache_key").distinct(), artefacts)

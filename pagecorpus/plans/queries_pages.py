@@ -19,6 +19,7 @@ from pagecorpus.plans.catalogue import query
 from pagecorpus.plans.views import BOXES, CONV_BLOCKS, DOC_BLOCKS, PAGE_PATHS, Views
 from pagecorpus.session import freeze, work_path
 from pagecorpus.sources import archives, project_json, scan, store
+from pagecorpus.sources.router import open_inputs
 
 
 @query(
@@ -137,6 +138,41 @@ def selected_index(v: Views) -> DataFrame:
     return paging.selected_index(paging.folder_siblings(manifest, selected), selected)
 
 
+@query(
+    f"""WITH {PAGE_PATHS}, inputs AS (
+ SELECT DISTINCT volume AS input, true AS is_folder FROM page_paths UNION SELECT DISTINCT lang, true FROM documents
+ UNION SELECT min(path), false FROM page_paths GROUP BY volume UNION SELECT max(path), false FROM page_paths GROUP BY volume),
+kinds AS (
+ SELECT input, is_folder, CASE WHEN is_folder THEN 'folder'
+  WHEN regexp_matches(lower(input), '[^/]\\.(jpg|jpeg|png|webp|tif|tiff|bmp|gif)$') THEN 'image'
+  WHEN regexp_matches(lower(input), '[^/]\\.(zip|cbz)$') THEN 'archive' ELSE 'unsupported' END AS kind FROM inputs),
+inside AS (SELECT path AS input, concat(page_id, '.png') AS entry FROM page_paths p JOIN labels l ON page_id = doc_id WHERE path LIKE '%.cbz'),
+opened AS (
+ SELECT input, kind, p.path, nat FROM kinds k JOIN pages p ON p.volume = split_part(input, '/', 1) WHERE kind IN ('folder', 'image')
+ UNION ALL SELECT k.input, kind, entry, [entry] FROM kinds k JOIN inside i ON k.input = i.input WHERE kind = 'archive')
+SELECT input, kind AS outcome, path, row_number() OVER (PARTITION BY input ORDER BY nat, path) AS page_no FROM opened
+UNION ALL SELECT input, CASE WHEN kind = 'unsupported' THEN 'unsupported' ELSE 'no_images' END, NULL, NULL FROM kinds
+WHERE input NOT IN (SELECT input FROM opened)"""
+)
+def opened_inputs(v: Views) -> DataFrame:
+    """Folders, images and archives opened at once; labelled archives have one page."""
+    files = v.page_paths
+    ends = files.groupBy("volume").agg(F.min("path").alias("a"), F.max("path").alias("z"))
+    single = ends.select(F.explode(F.array("a", "z")).alias("path")).distinct().withColumn("is_folder", F.lit(False))
+    folders = files.select("volume").union(v.table("documents").select("lang")).distinct().toDF("path")
+    labelled = v.table("labels").select(F.col("doc_id").alias("page_id"))
+    entries = files.where(paths.is_archive("path")).join(labelled, "page_id", "left_semi")
+    entries = entries.select(F.col("path").alias("archive"), F.concat("page_id", F.lit(".png")).alias("entry"))
+    pages, problems = open_inputs(folders.withColumn("is_folder", F.lit(True)).union(single), files, entries)
+    nothing = problems.select(
+        "input",
+        F.col("status").alias("outcome"),
+        F.lit(None).cast("string").alias("path"),
+        F.lit(None).cast("bigint").alias("page_no"),
+    )
+    return pages.withColumnRenamed("input_kind", "outcome").unionByName(nothing)
+
+
 def _zip_rows(documents: DataFrame) -> DataFrame:
     """One archive per document: its text as a page, a note and a resource fork."""
 
@@ -201,14 +237,14 @@ def cache_keys(v: Views) -> DataFrame:
 
 
 def _keyed(v: Views) -> DataFrame:
-    return v.table("documents").select(
-        F.col("doc_id").alias("page_id"), cache_key(fingerprint("text"), "engine-v1", "google_web").alias("cache_key")
-    )
+    """Page keys; contents are hashed once."""
+    key = cache_key("sha", "engine-v1", "google_web")
+    return freeze(v.doc_pages.select(F.col("page_key").alias("page_id"), key.alias("cache_key")))
 
 
-def _cached(v: Views, condition: str = "true") -> DataFrame:
+def _cached(v: Views, pages: DataFrame, condition: str = "true") -> DataFrame:
     labelled = v.table("labels").where(condition).select(F.col("doc_id").alias("page_id"))
-    return _keyed(v).join(labelled, "page_id", "left_semi").select("cache_key").distinct()
+    return pages.join(labelled, "page_id", "left_semi").select("cache_key").distinct()
 
 
 CACHED = f"""keyed AS (SELECT doc_id AS page_id, {KEY} AS cache_key FROM documents),
@@ -222,9 +258,10 @@ SELECT page_id, cache_key, cache_key IN (SELECT cache_key FROM drawn) AS with_ar
 FROM keyed WHERE cache_key IN (SELECT cache_key FROM cached)"""
 )
 def cache_hits(v: Views) -> DataFrame:
-    drawn = _cached(v, "quality = 1")
-    hits = cache.cache_hits(_keyed(v), _cached(v))
-    full = cache.cache_hits(_keyed(v), _cached(v), drawn).select("page_id", F.lit(True).alias("_full"))
+    pages = _keyed(v)
+    known = _cached(v, pages)
+    hits = cache.cache_hits(pages, known)
+    full = cache.cache_hits(pages, known, _cached(v, pages, "quality = 1")).select("page_id", F.lit(True).alias("_full"))
     return hits.join(full, "page_id", "left").select(
         "page_id", "cache_key", F.coalesce("_full", F.lit(False)).alias("with_artefact")
     )
@@ -237,9 +274,10 @@ UNION ALL SELECT page_id, cache_key, 'artefact' FROM keyed WHERE cache_key NOT I
 UNION ALL SELECT page_id, cache_key, 'force' FROM keyed"""
 )
 def cache_misses(v: Views) -> DataFrame:
-    pages, known = _keyed(v), _cached(v)
+    pages = _keyed(v)
+    known = _cached(v, pages)
     plain = cache.cache_misses(pages, known).withColumn("mode", F.lit("plain"))
-    artefact = cache.cache_misses(pages, known, _cached(v, "quality = 1")).withColumn("mode", F.lit("artefact"))
+    artefact = cache.cache_misses(pages, known, _cached(v, pages, "quality = 1")).withColumn("mode", F.lit("artefact"))
     forced = cache.cache_misses(pages, known, force=True).withColumn("mode", F.lit("force"))
     return plain.unionByName(artefact).unionByName(forced).select("page_id", "cache_key", "mode")
 

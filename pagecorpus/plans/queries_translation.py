@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagecorpus.operators import translate as tr
 from pagecorpus.plans.catalogue import query
-from pagecorpus.plans.page_translation import TranslationJob, page_records, page_report, translate_pages
+from pagecorpus.plans.page_translation import TranslatedPages, TranslationJob, page_records, page_report, translate_pages
 from pagecorpus.plans.queries_text import refined_sql, sample_rules, sql_trim
 from pagecorpus.plans.views import CONV_BLOCKS, DOC_BLOCKS, Views
 from pagecorpus.operators.blocks import explode_pages
@@ -115,14 +115,13 @@ def progress(v: Views) -> DataFrame:
 JOB = TranslationJob(engine_version="engine-v1")
 
 
-def _cached_keys(v: Views) -> DataFrame:
+def _translated(v: Views) -> TranslatedPages:
+    """Translate the documents whose contents no labelled document has."""
+    pages = freeze(v.doc_pages)
     labelled = v.table("labels").select(F.col("doc_id").alias("page_key"))
-    return v.doc_pages.join(labelled, "page_key", "left_semi").select(JOB.key("sha").alias("cache_key")).distinct()
-
-
-def _translated(v: Views, cached: DataFrame):
+    cached = pages.join(labelled, "page_key", "left_semi").select(JOB.key("sha").alias("cache_key")).distinct()
     return translate_pages(
-        v.doc_pages, v.doc_blocks, cached, sample_rules(v), lambda texts: tr.from_memory(texts, memory(v)), JOB
+        pages, v.doc_blocks, cached, sample_rules(v), lambda texts: tr.from_memory(texts, memory(v)), JOB
     )
 
 
@@ -146,7 +145,7 @@ FROM keyed k LEFT JOIN verdicts x ON k.cache_key = x.cache_key"""
 )
 def page_translation(v: Views) -> DataFrame:
     """The whole job: fingerprint, cache, memo, glossary, page verdicts."""
-    return page_report(_translated(v, _cached_keys(v)))
+    return page_report(_translated(v))
 
 
 @query(
@@ -155,7 +154,7 @@ SELECT cache_key, pos, original_text, refined_text AS translated_text FROM refin
 )
 def page_translation_records(v: Views) -> DataFrame:
     """Cache records of the same job, unfolded."""
-    records = page_records(_translated(v, _cached_keys(v)), JOB)
+    records = page_records(_translated(v), JOB)
     rows = explode_pages(records, ["cache_key"])
     return rows.select("cache_key", F.col("pos").cast("int").alias("pos"), "original_text", "translated_text")
 

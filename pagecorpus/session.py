@@ -25,8 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/pagecorpus/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this application.
+
+    That folder can be removed as a whole once the application has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/pagecorpus-{application}/{label}-{uuid.uuid4().hex}"
 
 
 def freeze(df: DataFrame) -> DataFrame:
