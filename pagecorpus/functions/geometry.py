@@ -28,8 +28,8 @@ def max_y(r: Column) -> Column:
 
 def clipped_corners(xyxy: Column, img_w: Column, img_h: Column) -> Column:
     """Corner struct cut to the image, null unless four numbers span a positive area."""
-    x1, y1, x2, y2 = (F.try_element_at(xyxy, F.lit(i)) for i in (1, 2, 3, 4))
-    complete = (F.size(xyxy) == 4) & ~F.exists(xyxy, lambda v: v.isNull())
+    x1, y1, x2, y2 = (F.get(xyxy, F.lit(i)) for i in range(4))
+    complete = (F.size(xyxy) == 4) & x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull()
     corners = F.struct(
         F.greatest(F.lit(0.0), x1).alias("x1"),
         F.greatest(F.lit(0.0), y1).alias("y1"),
@@ -40,11 +40,15 @@ def clipped_corners(xyxy: Column, img_w: Column, img_h: Column) -> Column:
     return F.when(complete & spans, corners)
 
 
+def box_of_corners(c: Column, img_w: Column, img_h: Column) -> Column:
+    """Fractional top-left box of pixel corners ``(x1, y1, x2, y2)``."""
+    return rect(c["x1"] / img_w, c["y1"] / img_h, (c["x2"] - c["x1"]) / img_w, (c["y2"] - c["y1"]) / img_h)
+
+
 def normalised_box(xyxy: Column, img_w: Column, img_h: Column) -> Column:
-    """Fractional top-left box of pixel corners; null when the corners are not usable."""
+    """Fractional box of a corner list; null when the corners are not usable."""
     c = clipped_corners(xyxy, img_w, img_h)
-    box = rect(c["x1"] / img_w, c["y1"] / img_h, (c["x2"] - c["x1"]) / img_w, (c["y2"] - c["y1"]) / img_h)
-    return F.when(c.isNotNull(), box)
+    return F.when(c.isNotNull(), box_of_corners(c, img_w, img_h))
 
 
 def flip_box(box: Column) -> Column:

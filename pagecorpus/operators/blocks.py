@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus import schema
-from pagecorpus.functions.geometry import normalised_box
+from pagecorpus.functions.geometry import box_of_corners, clipped_corners
 from pagecorpus.functions.text import contains_script, display_text, is_blank, utrim
 
 # Blocks per assembled row. A page with more blocks becomes several segments, so no
@@ -18,8 +18,9 @@ SEGMENT = 4096
 
 def normalise_boxes(blocks: DataFrame, xyxy: str = "xyxy", img_w: str = "img_w", img_h: str = "img_h") -> DataFrame:
     """Add ``box``; blocks without four usable corners are dropped."""
-    boxed = blocks.withColumn("box", normalised_box(F.col(xyxy), F.col(img_w), F.col(img_h)))
-    return boxed.where(F.col("box").isNotNull())
+    w, h = F.col(img_w), F.col(img_h)
+    cut = blocks.withColumn("_c", clipped_corners(F.col(xyxy), w, h)).where(F.col("_c").isNotNull())
+    return cut.withColumn("box", box_of_corners(F.col("_c"), w, h)).drop("_c")
 
 
 def block_content(blocks: DataFrame, lines: str = "text", translation: str = "translation") -> DataFrame:

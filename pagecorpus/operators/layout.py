@@ -124,17 +124,19 @@ def line_count(measured: Column | str, limit: Column, space: int) -> Column:
     return F.aggregate(_col(measured), start, place, lambda acc: acc["n"] + (acc["cur_w"] > 0).cast("int"))
 
 
-def first_fitting(sizes: Column, fits: Callable[[Column], Column]) -> Column:
-    """First size of a descending list that fits, null when none does; stops searching there."""
+def first_fitting(high: Column, low: Column, fits: Callable[[Column], Column]) -> Column:
+    """First of ``high, high - 1, ...`` down to ``low`` that fits, null when none does.
+
+    Sizes after the first fit are not tried.
+    """
     none = F.lit(None).cast("double")
-    return F.aggregate(sizes, none, lambda found, s: F.coalesce(found, F.when(fits(s), s)))
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(high - low).cast("int")))
 
+    def attempt(found: Column, i: Column) -> Column:
+        size = high - i.cast("double")
+        return F.coalesce(found, F.when((size >= low) & fits(size), size))
 
-def descending(high: Column, low: Column) -> Column:
-    """``high, high - 1, ...`` down to ``low``; empty when ``high`` is below ``low``."""
-    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(high - low).cast("int")))
-    sizes = F.transform(steps, lambda i: high - i.cast("double"))
-    return F.filter(sizes, lambda s: s >= low)
+    return F.aggregate(steps, none, attempt)
 
 
 def _minimum_size(r: Column, scale: float, base: float, share: float) -> Column:
@@ -185,7 +187,7 @@ def fit_vertical(
         return (n > 0) & (columns(size) * F.ceil(size * F.lit(1.18)) <= F.col("_w"))
 
     staged = blocks.withColumns({"_w": width, "_h": height, "_high": high, "_low": low})
-    staged = staged.withColumn("_fit", first_fitting(descending(F.col("_high"), F.col("_low")), fits))
+    staged = staged.withColumn("_fit", first_fitting(F.col("_high"), F.col("_low"), fits))
     hard = F.greatest(F.lit(7.0), F.col("_low") * F.lit(0.72))
     staged = staged.withColumn("font_size", F.coalesce("_fit", hard))
     size = F.col("font_size")
@@ -243,12 +245,11 @@ def fit_horizontal(
         cheap = (F.col("_widest") <= limit(size)) & (F.col("_ink") <= limit(size) * lines_allowed(size))
         return cheap & (line_count("_words", limit(size), widths.space) <= lines_allowed(size))
 
-    candidates = F.concat(
-        descending(F.col("_high"), F.col("_low")), descending(F.col("_low") - F.lit(1.0), F.col("_hard"))
-    )
-    sized = staged.withColumn("_fit", first_fitting(candidates, fits)).withColumn(
-        "font_size", F.coalesce("_fit", "_hard")
+    fitting = F.coalesce(
+        first_fitting(F.col("_high"), F.col("_low"), fits),
+        first_fitting(F.col("_low") - F.lit(1.0), F.col("_hard"), fits),
     )
+    sized = staged.withColumn("_fit", fitting).withColumn("font_size", F.coalesce("_fit", "_hard"))
     size = F.col("font_size")
     result = sized.withColumn("line_height", F.ceil(size * F.lit(1.06)).cast("double"))
     if with_lines:

@@ -6,7 +6,7 @@ raster size known per page; rectangles live in image coordinates (bottom-left or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from pagecorpus.functions import geometry as g
 from pagecorpus.operators.components import component_roots
 from pagecorpus.session import freeze
 
+# (rectangles, rectangle column, step column) -> grid points with a ``light`` flag.
+Sampler = Callable[[DataFrame, str, str], DataFrame]
+
 # Side of a tile in cells; components are found inside tiles, then stitched together.
 TILE = 32
 # Columns per bucket of the rectangle-cell join.
@@ -46,17 +49,20 @@ def sample_raster(points: DataFrame, cells: DataFrame, page: str = "page_key") -
     return joined.withColumn("light", F.coalesce("light", F.lit(False))).drop("_pr", "_pc")
 
 
-def light_coverage(rects: DataFrame, cells: DataFrame, keys: Sequence[str], rect: str = "rect") -> DataFrame:
+def raster_sampler(cells: DataFrame, page: str = "page_key") -> Sampler:
+    """Sample a cell table; rectangles carry img_w, img_h, raster_w, raster_h."""
+    return lambda rects, rect, step: sample_raster(grid_points(rects, rect, step), cells, page)
+
+
+def light_coverage(rects: DataFrame, sampler: Sampler, keys: Sequence[str], rect: str = "rect") -> DataFrame:
     """Share of light sampling points per rectangle; 0 below four pixels in a direction.
 
-    ``rects`` carry the keys (page_key among them), img_w, img_h, raster_w, raster_h.
+    ``rects`` carry the keys (page_key among them), img_w, img_h and what the sampler needs.
     """
     img_w, img_h = F.col("img_w"), F.col("img_h")
     cut = rects.withColumn("_cut", g.clamp_rect(F.col(rect), img_w, img_h))
     large = (F.col("_cut")["width"] >= 4) & (F.col("_cut")["height"] >= 4)
-    sampled = sample_raster(
-        grid_points(cut.where(large).withColumn("_step", g.coverage_step(img_w, img_h)), "_cut", "_step"), cells
-    )
+    sampled = sampler(cut.where(large).withColumn("_step", g.coverage_step(img_w, img_h)), "_cut", "_step")
     shares = sampled.groupBy(*keys).agg(
         (F.count_if("light").cast("double") / F.count(F.lit(1)).cast("double")).alias("coverage")
     )
@@ -82,7 +88,7 @@ def cells_in_rects(rects: DataFrame, cells: DataFrame, page: str = "page_key") -
 
 
 def best_column_x(
-    bases: DataFrame, cells: DataFrame, keys: Sequence[str], base: str = "base", width: str = "column_width", steps: int = 14
+    bases: DataFrame, sampler: Sampler, keys: Sequence[str], base: str = "base", width: str = "column_width", steps: int = 14
 ) -> DataFrame:
     """``(keys, column_x)``: the lightest of ``steps + 1`` column positions, null when none will do.
 
@@ -95,7 +101,7 @@ def best_column_x(
         "x", b["x"] + (b["width"] - w) * (F.col("step").cast("double") / F.lit(float(steps)))
     )
     tried = tried.withColumn("rect", g.rect(F.col("x"), b["y"], w, b["height"]))
-    covered = light_coverage(tried, cells, [*keys, "step"])
+    covered = light_coverage(tried, sampler, [*keys, "step"])
     off_middle = F.abs((F.col("x") + w / F.lit(2.0)) - (b["x"] + b["width"] / F.lit(2.0)))
     penalty = off_middle / F.greatest(F.lit(1.0), b["width"]) * F.lit(0.08)
     scored = (
@@ -120,17 +126,17 @@ def search_windows(blocks: DataFrame, rect: str = "rect") -> DataFrame:
 
 
 def light_regions(
-    windows: DataFrame, sampled: DataFrame, keys: Sequence[str] = ("page_key", "pos"), rect: str = "rect", tile: int = TILE
+    windows: DataFrame, sampler: Sampler, keys: Sequence[str] = ("page_key", "pos"), rect: str = "rect", tile: int = TILE
 ) -> DataFrame:
     """``(keys, region)``: the light area connected to each text rectangle.
 
-    ``sampled`` holds the light flags of ``grid_points(windows, "search", "step")``. All
-    light points connected (by edges) to a light point in or next to the text rectangle
-    count. Blocks without an acceptable region have no row.
+    ``windows`` come from :func:`search_windows`. All light points of a window connected
+    (by edges) to a light point in or next to the text rectangle count. Blocks without an
+    acceptable region have no row.
     """
     r, s, search = F.col(rect), F.col("step"), F.col("search")
     near = g.inset(r, -s, -s)
-    points = sampled.where("light").select(
+    points = sampler(windows, "search", "step").where("light").select(
         *keys, "row", "col", g.contains_point(near, F.col("px"), F.col("py")).alias("seed")
     )
     boxes = flood_boxes(points, keys, tile)

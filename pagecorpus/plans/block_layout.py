@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,37 +31,33 @@ def lay_out(
     blocks: DataFrame,
     keys: Sequence[str] = ("page_key", "pos"),
     text_only: bool = False,
-    cells: DataFrame | None = None,
-    sample: Callable[[DataFrame], DataFrame] | None = None,
+    sampler: regions.Sampler | None = None,
     scale: float = 1.0,
     widths: layout.AdvanceWidths = layout.AdvanceWidths(),
 ) -> DataFrame:
     """``(keys, flow, container, text_rect, font_size, line_height, lines, columns, overflow)``.
 
-    ``text_only`` draws on the page itself: containers then follow the light region found
-    in ``cells`` (a raster table; blocks carry raster_w, raster_h) or through ``sample``,
-    which turns search windows into light flags.
+    ``text_only`` draws on the page itself: containers then follow the light region that
+    ``sampler`` finds around each text.
     """
     keys = list(keys)
     w, h = F.col("img_w"), F.col("img_h")
     staged = measured_blocks(blocks)
-    if text_only and (cells is not None or sample is not None):
+    if text_only and sampler is not None:
         staged = freeze(staged)
-        windows = regions.search_windows(staged)
-        flags = sample(windows) if sample else regions.sample_raster(regions.grid_points(windows, "search", "step"), cells)
-        found = regions.light_regions(windows, flags, keys)
+        found = regions.light_regions(regions.search_windows(staged), sampler, keys)
         staged = staged.join(found, keys, "left")
     else:
         staged = staged.withColumn("region", F.lit(None).cast(staged.schema["rect"].dataType))
     container = layout.container_rect(F.col("fallback"), F.col("rect"), F.col("region"), w, h)
     staged = staged.withColumn("container", g.integral_rect(container))
     bubble, rect = F.col("container"), F.col("rect")
-    if text_only and cells is not None:
+    if text_only and sampler is not None:
         staged = freeze(staged)
         narrow = staged.where(layout.needs_narrow_column(bubble, F.col("flow"), F.col("source_is_vertical")))
         base = g.text_inset(bubble, F.col("flow"))
         bases = narrow.withColumn("base", base).withColumn("column_width", layout.column_width(base, rect, bubble))
-        staged = staged.join(regions.best_column_x(bases, cells, keys), keys, "left")
+        staged = staged.join(regions.best_column_x(bases, sampler, keys), keys, "left")
     else:
         staged = staged.withColumn("column_x", F.lit(None).cast("double"))
     staged = staged.withColumn(

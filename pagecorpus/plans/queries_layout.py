@@ -12,7 +12,7 @@ from pagecorpus.operators import layout, regions
 from pagecorpus.plans.catalogue import query
 from pagecorpus.plans.queries_text import sql_renderable
 from pagecorpus.plans.views import BOXES, CONV_BLOCKS, GRID_CELLS, Views
-from pagecorpus.sources.scan import sample_images
+from pagecorpus.sources.scan import image_sampler
 
 def _size() -> tuple[Column, Column]:
     return F.col("img_w"), F.col("img_h")
@@ -307,7 +307,7 @@ looked AS (
 SELECT page_key, (count(*) FILTER (WHERE light))::DOUBLE / count(*)::DOUBLE AS coverage FROM looked GROUP BY page_key"""
 )
 def light_coverage(v: Views) -> DataFrame:
-    return regions.light_coverage(_rasters(v), v.grid_cells, ["page_key"])
+    return regions.light_coverage(_rasters(v), regions.raster_sampler(v.grid_cells), ["page_key"])
 
 
 @query(
@@ -351,7 +351,7 @@ def best_columns(v: Views) -> DataFrame:
     bases = _rasters(v).withColumn(
         "base", g.rect(F.lit(8.0), F.lit(20.0), F.lit(80.0), F.lit(44.0))
     ).withColumn("column_width", F.lit(30.0))
-    return regions.best_column_x(bases, v.grid_cells, ["page_key"])
+    return regions.best_column_x(bases, regions.raster_sampler(v.grid_cells), ["page_key"])
 
 
 def _seeded(v: Views) -> DataFrame:
@@ -410,8 +410,8 @@ FROM found WHERE n >= 4 AND fw >= rw*0.60::DOUBLE AND fh >= rh*0.60::DOUBLE
 @query(REGIONS)
 def light_regions(v: Views) -> DataFrame:
     windows = regions.search_windows(_rasters(v))
-    sampled = regions.sample_raster(regions.grid_points(windows, "search", "step"), v.grid_cells)
-    return regions.light_regions(windows, sampled, ["page_key", "pos"]).select("page_key", "region.*")
+    found = regions.light_regions(windows, regions.raster_sampler(v.grid_cells), ["page_key", "pos"])
+    return found.select("page_key", "region.*")
 
 
 @query(REGIONS)
@@ -426,5 +426,5 @@ def light_regions_from_images(v: Views) -> DataFrame:
         F.unhex(F.array_join(pixel, "")).alias("data"),
     )
     windows = regions.search_windows(_rasters(v))
-    sampled = sample_images(windows, images, ["page_key", "pos"])
-    return regions.light_regions(windows, sampled, ["page_key", "pos"]).select("page_key", "region.*")
+    found = regions.light_regions(windows, image_sampler(images), ["page_key", "pos"])
+    return found.select("page_key", "region.*")

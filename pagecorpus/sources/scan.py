@@ -14,6 +14,7 @@ from pagecorpus.functions import paths
 from pagecorpus.functions.keys import fingerprint
 from pagecorpus.functions.text import _col
 from pagecorpus.operators.paging import natural_positions, supported_pages
+from pagecorpus.operators.regions import Sampler
 
 
 def file_manifest(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -91,13 +92,17 @@ def pixel_is_light(data: Column, channels: Column, index: Column) -> Column:
     return _let(_let(digits, colour), lambda c: g.is_light(c["r"], c["g"], c["b"], c["a"]))
 
 
-def sample_images(windows: DataFrame, images: DataFrame, keys: list[str], rect: str = "search", step: str = "step") -> DataFrame:
+def image_sampler(images: DataFrame) -> Sampler:
+    """Sample ``images(page_key, width, height, channels, data)``; rectangles carry img_w, img_h."""
+    return lambda rects, rect, step: sample_images(rects, images, rect, step)
+
+
+def sample_images(rects: DataFrame, images: DataFrame, rect: str, step: str) -> DataFrame:
     """Light flags of a sampling grid straight from image bytes.
 
-    ``windows`` carry page_key, img_w, img_h; ``images`` carry page_key, width, height,
-    channels, data. The bytes are read in the row that holds them and go no further.
+    The bytes are read in the row that holds them and go no further.
     """
-    joined = windows.join(images.select("page_key", "width", "height", "channels", "data"), "page_key")
+    joined = rects.join(images.select("page_key", "width", "height", "channels", "data"), "page_key")
     r, s = F.col(rect), F.col(step)
     rows, cols = g.grid_extent(r, s)
 
@@ -120,7 +125,7 @@ def sample_images(windows: DataFrame, images: DataFrame, keys: list[str], rect:
     columns = F.transform(F.sequence(F.lit(0), cols - 1), across)
     joined = joined.withColumns({"_lines": lines, "_columns": columns})
     grid = F.flatten(F.transform("_lines", lambda ln: F.transform("_columns", lambda ac: point(ln, ac))))
-    return joined.withColumn("_grid", grid).select(*windows.columns, F.inline("_grid"))
+    return joined.withColumn("_grid", grid).select(*rects.columns, F.inline("_grid"))
 
 
 @dataclass(frozen=True)

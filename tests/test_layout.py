@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pagecorpus.functions import geometry as g
 from pagecorpus.functions.text import graphemes
 from pagecorpus.operators import layout
+from pagecorpus.operators.regions import raster_sampler
 from pagecorpus.plans.block_layout import lay_out
+from pagecorpus.sources.scan import image_sampler
 
 WIDTHS = layout.AdvanceWidths()
 
@@ -192,9 +194,19 @@ def test_lay_out_on_light_page(spark):
         F.floor(F.col("id") / 64).cast("int").alias("row"),
         (F.col("id") % 64).cast("int").alias("col"),
     ).withColumn("light", F.col("col").between(5, 58) & F.col("row").between(8, 24))
-    placed = {r.pos: r for r in lay_out(page_blocks(spark), text_only=True, cells=cells).collect()}
+    placed = {r.pos: r for r in lay_out(page_blocks(spark), text_only=True, sampler=raster_sampler(cells)).collect()}
     assert sorted(placed) == [0, 1, 2]
     # Rows 8..24 of 10 pixels are light: y 110..280 from below. The region follows the sampling grid.
     box = placed[0].container
     assert 104 <= box.y <= 122 and 268 <= box.y + box.height <= 286
     assert box.width >= 358
+    # The tall bubble of a vertical source gets one column.
+    assert placed[1].text_rect.width < placed[1].container.width * 0.9
+    data = b"".join(
+        (b"\xff" if 5 <= c <= 58 and 8 <= r <= 24 else b"\x00") * 3 for r in range(36) for c in range(64)
+    )
+    images = spark.createDataFrame(
+        [(1, 64, 36, 3, bytearray(data))], "page_key int, width int, height int, channels int, data binary"
+    )
+    again = lay_out(page_blocks(spark), text_only=True, sampler=image_sampler(images)).collect()
+    assert {r.pos: r for r in again} == placed

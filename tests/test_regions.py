@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagecorpus.functions import geometry as g
 from pagecorpus.operators import regions
 from pagecorpus.operators.components import component_roots
-from pagecorpus.sources.scan import sample_images
+from pagecorpus.sources.scan import image_sampler
 
 
 def flood(cells, seeds):
@@ -102,8 +102,7 @@ def brute_region(windows_row):
 
 def test_light_region_from_image_bytes(spark):
     images, windows = page_of_light(spark)
-    sampled = sample_images(windows, images, ["page_key", "pos"])
-    found = regions.light_regions(windows, sampled, ["page_key", "pos"]).first().region
+    found = regions.light_regions(windows, image_sampler(images), ["page_key", "pos"]).first().region
     assert (found.x, found.y, found.width, found.height) == brute_region(windows.first())
 
 
@@ -115,7 +114,7 @@ def test_coverage_limits(spark):
     cells = spark.range(100).select(
         F.lit(1).alias("page_key"), F.floor(F.col("id") / 10).cast("int").alias("row"), (F.col("id") % 10).cast("int").alias("col")
     ).withColumn("light", F.col("col") < 3)
-    got = {r.pos: r.coverage for r in regions.light_coverage(rects, cells, ["page_key", "pos"]).collect()}
+    got = {r.pos: r.coverage for r in regions.light_coverage(rects, regions.raster_sampler(cells), ["page_key", "pos"]).collect()}
     assert got == {0: 0.0, 1: 0.6, 2: 1.0}
 
 
