@@ -9,9 +9,10 @@ from pagecorpus.functions import geometry as g
 from pagecorpus.functions.text import renderable
 from pagecorpus.operators import blocks as b
 from pagecorpus.operators import layout, regions
+from pagecorpus.plans.block_layout import lay_out
 from pagecorpus.plans.catalogue import query
-from pagecorpus.plans.queries_text import sql_renderable
-from pagecorpus.plans.views import BOXES, CONV_BLOCKS, GRID_CELLS, Views
+from pagecorpus.plans.queries_text import sql_compact, sql_renderable
+from pagecorpus.plans.views import BOXES, CONV_BLOCKS, GEOMETRY, GRID_CELLS, Views
 from pagecorpus.sources.scan import image_sampler
 
 def _size() -> tuple[Column, Column]:
@@ -153,15 +154,12 @@ def _wrap_sql(jobs: str) -> str:
 wrapped AS (SELECT jid, n + (cur > 0)::BIGINT AS n_lines FROM steps WHERE idx = len(words))"""
 
 
-@query(
-    f"""WITH RECURSIVE {CONV_BLOCKS}, captions AS (
- SELECT page_key, pos, list_filter(string_split({sql_renderable('original_text')}, ' '), lambda x: x <> '') AS words,
-  150.0::DOUBLE + page_key % 7 * 90 AS tw, 120.0::DOUBLE + pos * 110 AS th,
-  CASE WHEN pos % 2 = 1 THEN (10 + page_key % 30)::DOUBLE END AS detected FROM conv_blocks),
-limits AS (
+def _fit_sql(captions: str) -> str:
+    """Size search over ``captions(page_key, pos, words, tw, th, detected)``: ``judged`` and ``best``."""
+    return f"""limits AS (
  SELECT *, tw-12 AS w, th-8 AS h,
   least(greatest(least(th*0.42::DOUBLE, tw*0.22::DOUBLE), coalesce(detected*0.92::DOUBLE, least(th*0.42::DOUBLE, tw*0.22::DOUBLE)), 16.0::DOUBLE), 112.0::DOUBLE) AS high,
-  greatest(8.0::DOUBLE, least(greatest(greatest(13.0::DOUBLE, least(tw, th)*0.10::DOUBLE), 11.0::DOUBLE), 28.0::DOUBLE)) AS low FROM captions),
+  greatest(8.0::DOUBLE, least(greatest(greatest(13.0::DOUBLE, least(tw, th)*0.10::DOUBLE), 11.0::DOUBLE), 28.0::DOUBLE)) AS low FROM {captions}),
 hards AS (SELECT *, greatest(7.0::DOUBLE, low*0.72::DOUBLE) AS hard FROM limits),
 sizes AS (
  SELECT *, high - i AS size FROM (SELECT *, unnest(range(0, 130)) AS i FROM hards) WHERE high - i >= low
@@ -172,7 +170,15 @@ jobs AS (SELECT row_number() OVER () AS jid, *, w * 1000.0::DOUBLE / size AS lim
 judged AS (
  SELECT j.*, n_lines, i < 1000 AND 600 <= lim AND n_lines * ceil(size*1.06::DOUBLE) <= h AS fits
  FROM jobs j JOIN wrapped x ON j.jid = x.jid),
-best AS (SELECT page_key, pos, max(size) FILTER (WHERE fits) AS fit FROM judged GROUP BY page_key, pos)
+best AS (SELECT page_key, pos, max(size) FILTER (WHERE fits) AS fit FROM judged GROUP BY page_key, pos)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CONV_BLOCKS}, captions AS (
+ SELECT page_key, pos, list_filter(string_split({sql_renderable('original_text')}, ' '), lambda x: x <> '') AS words,
+  150.0::DOUBLE + page_key % 7 * 90 AS tw, 120.0::DOUBLE + pos * 110 AS th,
+  CASE WHEN pos % 2 = 1 THEN (10 + page_key % 30)::DOUBLE END AS detected FROM conv_blocks),
+{_fit_sql("captions")}
 SELECT DISTINCT j.page_key, j.pos, size AS font_size, ceil(size*1.06::DOUBLE) AS line_height, CAST(n_lines AS INTEGER) AS n_lines, fit IS NULL AS overflow
 FROM judged j JOIN best b ON j.page_key = b.page_key AND j.pos = b.pos
 WHERE CASE WHEN fit IS NULL THEN i = 1000 ELSE i < 1000 AND size = fit END"""
@@ -182,6 +188,52 @@ def horizontal_fit(v: Views) -> DataFrame:
     return fitted.select("page_key", "pos", "font_size", "line_height", "n_lines", "overflow")
 
 
+@query(
+    f"""WITH RECURSIVE {CONV_BLOCKS}, norm AS (
+ SELECT page_key, pos, 1000.0::DOUBLE AS img_w, 1400.0::DOUBLE AS img_h, (page_key % 10) / 20.0::DOUBLE AS bx, pos / 16.0::DOUBLE AS bt,
+  0.1::DOUBLE + (page_key % 7) / 16.0::DOUBLE AS bw, 0.05::DOUBLE + pos / 32.0::DOUBLE AS bh, length({sql_compact("original_text")})::DOUBLE AS n,
+  false AS source_is_vertical, CASE WHEN pos % 2 = 1 THEN (10 + page_key % 30)::DOUBLE END AS detected, original_text FROM conv_blocks),
+{GEOMETRY},
+captions AS (SELECT *, list_filter(string_split({sql_renderable("original_text")}, ' '), lambda x: x <> '') AS words FROM texts WHERE flow = 'horizontal'),
+{_fit_sql("captions")}
+SELECT DISTINCT j.page_key, j.pos, flow, ix AS cx, iy AS cy, iw AS cw, ih AS ch, tx, ty, tw, th, size AS font_size,
+ ceil(size*1.06::DOUBLE) AS line_height, CAST(n_lines AS INTEGER) AS n_lines, fit IS NULL AS overflow
+FROM judged j JOIN best b ON j.page_key = b.page_key AND j.pos = b.pos
+WHERE CASE WHEN fit IS NULL THEN i = 1000 ELSE i < 1000 AND size = fit END"""
+)
+def page_layout(v: Views) -> DataFrame:
+    """The whole layout job on conversation turns; none of them is short enough to be vertical."""
+    box = g.rect(
+        (F.col("page_key") % 10) / F.lit(20.0),
+        F.col("pos") / F.lit(16.0),
+        F.lit(0.1) + (F.col("page_key") % 7) / F.lit(16.0),
+        F.lit(0.05) + F.col("pos") / F.lit(32.0),
+    )
+    blocks = v.conv_blocks.select(
+        "page_key",
+        "pos",
+        "original_text",
+        F.lit("").alias("translated_text"),
+        F.lit(1000.0).alias("img_w"),
+        F.lit(1400.0).alias("img_h"),
+        box.alias("box"),
+        F.lit(None).cast("boolean").alias("source_is_vertical"),
+        F.when(F.col("pos") % 2 == 1, 10.0 + F.col("page_key") % 30).alias("detected_font_size"),
+    )
+    placed = lay_out(blocks, widths=EVEN)
+    return placed.select(
+        "page_key",
+        "pos",
+        "flow",
+        *_flat("container", "c"),
+        *_flat("text_rect", "t"),
+        "font_size",
+        "line_height",
+        F.size("lines").alias("n_lines"),
+        "overflow",
+    )
+
+
 @query(
     f"""WITH RECURSIVE {CONV_BLOCKS}, jobs AS (
  SELECT page_key, pos, CAST(8 + pos AS BIGINT) AS k,

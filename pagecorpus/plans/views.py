@@ -107,7 +107,7 @@ DOC_BLOCKS = """doc_blocks AS (
 CONV_BLOCKS = """conv_blocks AS (
  SELECT conv_id AS page_key, turn AS pos, text AS original_text FROM conversations)"""
 
-BOXES = """boxes AS (
+CORNERS = """boxes AS (
  SELECT l_orderkey AS page_key, l_linenumber AS pos, 1000.0::DOUBLE AS img_w, 1400.0::DOUBLE AS img_h,
   l_quantity*20 - 50 AS x1, l_discount*10000 - 100 AS y1,
   l_quantity*20 - 50 + l_tax*5000 AS x2, l_discount*10000 - 100 + l_quantity*12 AS y2,
@@ -119,8 +119,10 @@ cut AS (
   least(img_w, x2) AS a2, least(img_h, y2) AS b2 FROM boxes),
 norm AS (
  SELECT *, a1/img_w AS bx, b1/img_h AS bt, (a2-a1)/img_w AS bw, (b2-b1)/img_h AS bh
- FROM cut WHERE a2 > a1 AND b2 > b1),
-rects AS (
+ FROM cut WHERE a2 > a1 AND b2 > b1)"""
+
+# From normalised boxes to text areas; continues a WITH list that defines ``norm``.
+GEOMETRY = """rects AS (
  SELECT *, bx*img_w AS rx, greatest(1.0::DOUBLE, bw*img_w) AS rw, greatest(1.0::DOUBLE, bh*img_h) AS rh,
   img_h - bt*img_h - greatest(1.0::DOUBLE, bh*img_h) AS ry FROM norm),
 flows AS (
@@ -145,6 +147,8 @@ texts AS (
   CASE WHEN iw-2.0::DOUBLE*tdx < 0 OR ih-2.0::DOUBLE*tdy < 0 THEN 0.0::DOUBLE ELSE iw-2.0::DOUBLE*tdx END AS tw,
   CASE WHEN iw-2.0::DOUBLE*tdx < 0 OR ih-2.0::DOUBLE*tdy < 0 THEN 0.0::DOUBLE ELSE ih-2.0::DOUBLE*tdy END AS th FROM insets)"""
 
+BOXES = f"{CORNERS},\n{GEOMETRY}"
+
 GRID_CELLS = """grid_cells AS (
  SELECT vec_id AS page_key, CAST(floor((i-1)/8) AS INTEGER) AS "row", CAST((i-1) % 8 AS INTEGER) AS col,
   CAST(embedding[i] AS DOUBLE) AS lum, embedding[i] > 0 AS light
