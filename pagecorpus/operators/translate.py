@@ -72,7 +72,8 @@ def enrich(
         if not trimmed:
             return None, schema.EMPTY_TEXT, None
         try:
-            return translator(text, source_language, target_language), schema.OK, None
+            answer = translator(text, source_language, target_language)
+            return answer, schema.MISSING_TRANSLATION if answer is None else schema.OK, None
         except Exception as failure:  # the user's callable may raise anything
             return None, schema.TRANSLATOR_ERROR, f"{type(failure).__name__}: {failure}"
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus import schema
-from pagecorpus.functions.keys import cache_key
+from pagecorpus.functions.keys import block_id, cache_key
 from pagecorpus.operators.blocks import assemble_pages
 from pagecorpus.operators.cache import cache_hits, cache_misses, content_groups
 from pagecorpus.operators.glossary import is_inline, refine
@@ -102,12 +102,15 @@ def translate_pages(
 
 def page_records(result: TranslatedPages, job: TranslationJob, created_at: Column | None = None) -> DataFrame:
     """Cache records of the translated pages (and of empty ones, if the job says so)."""
-    names = result.blocks.columns
+    blocks = result.blocks
+    if "id" not in blocks.columns:
+        blocks = blocks.withColumn("id", block_id("cache_key", "pos"))
+    names = blocks.columns
     fields = [
         (F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.BLOCK.fields
     ]
-    documents = assemble_pages(result.blocks, fields, ["page_key", "cache_key"])
+    documents = assemble_pages(blocks, fields, ["page_key", "cache_key"])
     if job.cache_empty:
         nothing = result.empty.select(
             "page_key", "cache_key", F.lit(0).alias("segment"), F.array().cast("array<" + schema.BLOCK.simpleString() + ">").alias("blocks")

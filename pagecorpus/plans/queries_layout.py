@@ -332,7 +332,7 @@ def light_cells(v: Views) -> DataFrame:
 
 def _rasters(v: Views) -> DataFrame:
     """One page per embedding: a 96 x 96 image with an 8 x 8 raster and one text rectangle."""
-    return v.table("embeddings").select(
+    return v.spread_table("embeddings", "vec_id", "label").select(
         F.col("vec_id").alias("page_key"),
         F.lit(0).alias("pos"),
         F.lit(96.0).alias("img_w"),

@@ -38,13 +38,16 @@ def project_blocks(documents: DataFrame, keys: list[str], text: str = "json", pa
 
     With ``page_name`` only that page; a document without it has no rows.
     """
-    valid = parsed(documents, text).where(F.col("status") == schema.OK)
+    # Outer forms and late filters: earlier ones would parse each document again.
+    usable = F.when(F.col("status") == schema.OK, F.col("project.pages"))
+    documents = parsed(documents, text)
     if page_name is None:
-        pages = valid.select(*keys, F.explode("project.pages").alias("page_name", "_blocks"))
+        pages = documents.select(*keys, F.explode_outer(usable).alias("page_name", "_blocks"))
     else:
-        found = F.try_element_at("project.pages", F.lit(page_name))
-        pages = valid.select(*keys, F.lit(page_name).alias("page_name"), found.alias("_blocks"))
-    rows = pages.select(*keys, "page_name", F.posexplode("_blocks").alias("pos", "_b"))
+        found = F.try_element_at(usable, F.lit(page_name))
+        pages = documents.select(*keys, F.lit(page_name).alias("page_name"), found.alias("_blocks"))
+    rows = pages.select(*keys, "page_name", F.posexplode_outer("_blocks").alias("pos", "_b"))
+    rows = rows.where(F.col("pos").isNotNull())
     return rows.select(
         *keys,
         "page_name",

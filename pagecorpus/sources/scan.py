@@ -74,22 +74,22 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def pixel_is_light(data: Column, channels: Column, index: Column) -> Column:
     """Lightness of pixel ``index`` of interleaved grey, BGR or BGRA bytes."""
 
-    def byte(digits: Column, i: int) -> Column:
-        pair = F.substring(digits, F.lit(2 * i + 1), F.lit(2))
-        return F.conv(pair, 16, 10).cast("double") / F.lit(255.0)
+    def level(value: Column, shift: int) -> Column:
+        return F.shiftright(value, shift).bitwiseAND(F.lit(255)).cast("double") / F.lit(255.0)
 
-    def colour(digits: Column) -> Column:
-        grey = F.length(digits) < 6
-        alpha = F.when(F.length(digits) == 8, byte(digits, 3)).otherwise(1.0)
+    def colour(value: Column) -> Column:
+        rest = F.when(channels == 4, F.shiftright(value, 8)).otherwise(value)
+        grey = channels < 3
         return F.struct(
-            byte(digits, 0).alias("b"),
-            F.when(grey, byte(digits, 0)).otherwise(byte(digits, 1)).alias("g"),
-            F.when(grey, byte(digits, 0)).otherwise(byte(digits, 2)).alias("r"),
-            alpha.alias("a"),
+            F.when(grey, level(value, 0)).otherwise(level(rest, 16)).alias("b"),
+            F.when(grey, level(value, 0)).otherwise(level(rest, 8)).alias("g"),
+            level(rest, 0).alias("r"),
+            F.when(channels == 4, level(value, 0)).otherwise(1.0).alias("a"),
         )
 
-    digits = F.hex(F.substring(data, index * channels + 1, channels))
-    return _let(_let(digits, colour), lambda c: g.is_light(c["r"], c["g"], c["b"], c["a"]))
+    pixel = F.substring(data, index * channels + 1, channels)
+    number = F.conv(F.hex(pixel), 16, 10).cast("bigint")
+    return _let(_let(number, colour), lambda c: g.is_light(c["r"], c["g"], c["b"], c["a"]))
 
 
 def image_sampler(images: DataFrame) -> Sampler:
@@ -125,7 +125,9 @@ def sample_images(rects: DataFrame, images: DataFrame, rect: str, step: str) ->
     columns = F.transform(F.sequence(F.lit(0), cols - 1), across)
     joined = joined.withColumns({"_lines": lines, "_columns": columns})
     grid = F.flatten(F.transform("_lines", lambda ln: F.transform("_columns", lambda ac: point(ln, ac))))
-    return joined.withColumn("_grid", grid).select(*rects.columns, F.inline("_grid"))
+    # A grid has at least one point. The outer form keeps the planner from testing that,
+    # for which it would work the grid out again.
+    return joined.withColumn("_grid", grid).select(*rects.columns, F.inline_outer("_grid"))
 
 
 @dataclass(frozen=True)

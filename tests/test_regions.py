@@ -1,5 +1,4 @@
 import random
-from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F

@@ -56,7 +56,11 @@ def test_batch_report_and_replay(spark, tmp_path):
         5: (3, schema.PAGE_FAILED),
         6: (0, "cached"),
     }
-    assert page_records(result, JOB).count() == 2
+    records = page_records(result, JOB)
+    assert records.count() == 2
+    ids = [b.id for r in records.collect() for b in r.blocks]
+    assert len(set(ids)) == 3 and all(len(i) == 36 and i[8] == i[13] == i[18] == i[23] == "-" for i in ids)
+    assert ids == [b.id for r in records.collect() for b in r.blocks]
     assert page_records(result, TranslationJob("engine-v1", cache_empty=True)).count() == 3
     forced = translate_pages(pages, blocks, cache, rules, shout, TranslationJob("engine-v1", force=True))
     assert {r.page_key: r.outcome for r in page_report(forced).collect()}[6] == "translated"
