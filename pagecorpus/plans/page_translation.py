@@ -89,14 +89,15 @@ def translate_pages(
     # Equal contents first: what follows sees each cache key once, however many copies it has.
     groups = freeze(content_groups(keyed, "cache_key", "page_key").withColumnRenamed("first_page", "page_key"))
     hits = cache_hits(groups, cache.select("cache_key").distinct(), artefacts)
-    units = freeze(cache_misses(groups, cache, artefacts, job.force))
-    work = blocks.join(units.select("page_key", "cache_key"), "page_key")
+    sizes = blocks.groupBy("page_key").agg(F.count(F.lit(1)).alias("page_blocks"))
+    units = freeze(cache_misses(groups, cache, artefacts, job.force).join(sizes, "page_key", "left"))
+    with_text = units.where(F.col("page_blocks").isNotNull()).select("page_key", "cache_key", "page_blocks")
+    # The block count of a page tells whether its rows have to be spread.
+    work = spread_lookup(blocks, with_text, ["page_key"], "page_blocks", ["pos"])
     memo = corrected_memo(work, rules, translate)
     done = freeze(apply_memo(work, memo).drop("uses"))
     complete, quarantine = split_pages(done)
-    empty = units.join(done.select("page_key").distinct(), "page_key", "left_anti").withColumn(
-        "status", F.lit(schema.NO_TEXT_BLOCKS)
-    )
+    empty = units.where(F.col("page_blocks").isNull()).withColumn("status", F.lit(schema.NO_TEXT_BLOCKS))
     return TranslatedPages(keyed, groups, hits, units, done, complete, quarantine, empty)
 
 
