@@ -81,6 +81,8 @@ def _final_state(arrivals: DataFrame, files_per_batch: int) -> DataFrame:
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Many small stores: without this each of them reserves several megabytes of disk.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     updates, checkpoint = work_path(spark, "updates"), work_path(spark, "stream")
     folder = arrivals.inputFiles()[0].rpartition("/")[0] if arrivals.inputFiles() else None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagecorpus.llm import exact_stream, simhash
+from pagecorpus.llm import exact_stream, licences, secrets, simhash, warc
 from pagecorpus.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,48 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query(
+    """SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+ CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER same THEN 'revisit' ELSE 'response' END
+  AS record_type,
+ CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER same THEN min(page_id) OVER same END
+  AS refers_to
+FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))"""
+)
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query()
+def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.licence_notices(table(spark, folder, "documents", "doc_id", "text"))
+    starts = F.transform("base_places", lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licences.labels_of(F.col("base_places")).alias("base_labels"),
+        licences.labels_of(F.col("places")).alias("labels"),
+        "score",
+    )
+
+
+@query()
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, folder, "documents", "doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(F.col("found")).alias("spans"),
+    )
+
+
 @query(
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
