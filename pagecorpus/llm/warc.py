@@ -190,7 +190,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
             for row in batch.to_pylist():
                 if out is None:
                     name, size, count = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = files.open_output_stream(f"{local}/{name}")
+                    out = files.open_output_stream(f"{local}/{name}", compression=None)
                 data = encode_record(row["page_id"], row["url"], row["payload"], row["refers_to"], row["digest"])
                 out.write(data)
                 size, count = size + len(data), count + 1
