@@ -10,11 +10,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagecorpus.session import freeze
+from pagecorpus.session import broadcast_if_small, freeze
 
 #: Characters that end a word, as the contracts of several operators fix them.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+#: Where a row lies. The names should clash with none of a user's table.
+FILE, ROW = "__llm_file", "__llm_row"
+PLACE = [FILE, ROW]
+
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """The given columns of a whole table."""
@@ -36,17 +40,23 @@ def is_remainder(doc_id: str, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == value, F.lit(False))
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Located ``rows`` less those whose place is in ``gone``; only the places are shuffled if they are few."""
+    gone = broadcast_if_small(freeze(gone.select(*PLACE).distinct()))
+    return rows.join(gone, PLACE, "left_anti").drop(*PLACE)
+
+
 def crc32_of(values) -> int:
     """CRC-32 of an array's bytes."""
     return zlib.crc32(values.tobytes())
 
 
-def located(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``columns`` with ``_file`` and ``_row``: where each row lies, the same in every read.
+def located(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
+    """``columns`` with the columns ``PLACE``: where each row lies, the same in every read.
 
     Rows that don't come straight from files are written to the shared folder first.
     """
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
     try:
         return df.select(*columns, *place)
     except AnalysisException:

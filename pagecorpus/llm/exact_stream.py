@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagecorpus.llm.common import located
+from pagecorpus.llm.common import FILE, ROW, located, without
 from pagecorpus.session import broadcast_if_small, freeze, work_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,7 +32,8 @@ def exact_groups(
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int = 64,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``(doc_id, keep_id, group_size, kept, digest, _file, _row)``.
+    """One row per row of ``docs``: ``(doc_id, keep_id, group_size, kept, digest)`` and the row's
+    place in the columns ``PLACE``.
 
     Texts are equal when all their bytes are; null counts as the empty text. Of equal texts
     the row with the largest identifier stays. Repeated identifiers: of rows that share the
@@ -50,7 +51,7 @@ def exact_groups(
     spread = hits.groupBy("digest").agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"))
     mixed = freeze(spread.where("_low != _high").select("digest"))
 
-    place = F.struct("doc_id", "_file", "_row")
+    place = F.struct("doc_id", FILE, ROW)
     several = groups.where("group_size > 1")
     joined = arrivals.join(several, "digest", "left")
     if not mixed.isEmpty():
@@ -66,8 +67,8 @@ def exact_groups(
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
         F.when(F.col("group_size").isNull(), True).otherwise(place.eqNullSafe(F.col("keeper"))).alias("kept"),
         "digest",
-        "_file",
-        "_row",
+        FILE,
+        ROW,
     )
 
 
@@ -86,7 +87,7 @@ def _final_state(arrivals: DataFrame, files_per_batch: int) -> DataFrame:
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     updates, checkpoint = work_path(spark, "updates"), work_path(spark, "stream")
     folder = arrivals.inputFiles()[0].rpartition("/")[0] if arrivals.inputFiles() else None
-    keeper = F.max(F.struct("doc_id", "_file", "_row")).alias("keeper")
+    keeper = F.max(F.struct("doc_id", FILE, ROW)).alias("keeper")
     counted = F.count(F.lit(1)).alias("group_size")
     none = arrivals.limit(0).groupBy("digest").agg(keeper, counted)
     none.write.parquet(f"{updates}/batch=-1")
@@ -115,7 +116,5 @@ def _final_state(arrivals: DataFrame, files_per_batch: int) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
     source = docs if docs.inputFiles() else freeze(docs)
-    gone = exact_groups(source, doc_id, text).where(~F.col("kept")).select("_file", "_row")
-    gone = broadcast_if_small(freeze(gone))
-    rows = located(source, source.columns)
-    return rows.join(gone, ["_file", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = exact_groups(source, doc_id, text).where(~F.col("kept"))
+    return without(located(source, source.columns), gone)

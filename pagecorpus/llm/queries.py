@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagecorpus.llm import exact_stream, licences, secrets, simhash, warc
-from pagecorpus.llm.common import table
+from pagecorpus.llm import (
+    decontaminate,
+    exact_stream,
+    language,
+    licences,
+    packing,
+    secrets,
+    simhash,
+    suffix_tree,
+    toxicity,
+    warc,
+)
+from pagecorpus.llm.common import is_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +40,20 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query()
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    held_out = is_remainder("doc_id", 4, 2)
+    found = language.language_of(docs, ~held_out)
+    return found.withColumn("held_out", held_out)
+
+
+@query()
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(packing.tokenised(table(spark, folder, "documents", "doc_id", "text")))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @query(
     """SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER same THEN 'revisit' ELSE 'response' END
@@ -41,6 +66,16 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, folder, "pages", "page_id", "url", "html"))
 
 
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    held_out = is_remainder("doc_id", 4, 2)
+    labelled = toxicity.with_labels(docs.where(~held_out), table(spark, folder, "labels", "doc_id", "toxic"))
+    scored = toxicity.toxicity(docs, labelled)
+    predicted = (F.col("score") >= toxicity.CUT).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted, F.col("toxic").alias("toxic_in_language"))
+
+
 @query()
 def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.licence_notices(table(spark, folder, "documents", "doc_id", "text"))
@@ -71,6 +106,20 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op8_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = is_remainder("doc_id", 10, 0)
+    scored = suffix_tree.score_texts(table(spark, folder, "documents", "doc_id", "text"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
+@query()
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    pairs = decontaminate.leaked_items(docs, table(spark, folder, "benchmark", "item_id", "text"))
+    return pairs.drop("tiles")
+
+
 @query(
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

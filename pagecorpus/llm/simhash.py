@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagecorpus.llm.common import FILE, ROW, located, without
 from pagecorpus.operators.components import component_roots
 from pagecorpus.session import freeze, spread
 
@@ -110,3 +111,16 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(freeze(lookup), "f").select(
         "doc_id", as_hex(F.col("f")).alias("fingerprint"), "component_id", "group_size"
     )
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of its smallest identifier.
+
+    Of rows that share it the first by file and row stays; a null comes after all others.
+    """
+    source = docs if docs.inputFiles() else freeze(docs)
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), FILE, ROW)
+    rows = located(source, source.columns)
+    groups = simhash_groups(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(f"doc_id.{FILE}", f"doc_id.{ROW}")
+    return without(rows, gone)
