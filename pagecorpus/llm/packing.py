@@ -10,9 +10,11 @@ the buckets before, so the pieces of one length never meet in one task.
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ KEPT, BLOCK = 400_000, 1 << 20
 #: Pieces per hash bucket in which ranks are counted.
 BUCKET_ROWS = 100_000
 
+_TWO_BLANKS = re.compile(r"\s[ \n]")
+
 
 class Encoder:
     """Token ids of whole texts; the ids of strings between blanks are encoded once and kept.
@@ -105,11 +109,15 @@ class Encoder:
         return self.pool[places]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, so that what it has learned outlives a task."""
+    return Encoder(path)
+
+
 def _unsafe(text: str) -> bool:
     """Whether a blank or line break follows another blank of any kind."""
-    import re
-
-    return re.search(r"\s[ \n]", text) is not None
+    return _TWO_BLANKS.search(text) is not None
 
 
 def _blocks(text: str) -> Iterator[str]:
@@ -153,7 +161,7 @@ def tokenised(
     form = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer or default_tokenizer())
+        own = encoder(tokenizer or default_tokenizer())
         for batch in batches:
             origin, starts, sizes, checks, totals, kept, held = [], [], [], [], [], [], 0
 
@@ -165,7 +173,7 @@ def tokenised(
                 return pa.RecordBatch.from_arrays(columns, names)
 
             for k, value in enumerate(batch.column(1)):
-                ids = np.append(encoder.encode(value.as_py() or ""), np.uint32(end)).astype("<u4")
+                ids = np.append(own.encode(value.as_py() or ""), np.uint32(end)).astype("<u4")
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]
                     origin.append(k)
@@ -206,7 +214,6 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = LENGTH) -> li
         while left:
             room = max(open_packs, default=0)
             if room < size:
-                # Fresh packs can hold the length as often as it fits, all filled at once.
                 lengths, count, room = (), left, capacity
             else:
                 lengths, count = open_packs[room].pop()
