@@ -11,11 +11,6 @@ from pagecorpus import schema
 from pagecorpus.functions.geometry import box_of_corners, clipped_corners
 from pagecorpus.functions.text import contains_script, display_text, is_blank, utrim
 
-# Blocks per assembled row. A page with more blocks becomes several segments, so no
-# page has to fit one task; an ordinary page is exactly one row.
-SEGMENT = 4096
-
-
 def normalise_boxes(blocks: DataFrame, xyxy: str = "xyxy", img_w: str = "img_w", img_h: str = "img_h") -> DataFrame:
     """Add ``box``; blocks without four usable corners are dropped."""
     w, h = F.col(img_w), F.col(img_h)
@@ -89,37 +84,30 @@ def assemble_pages(
     fields: Sequence[str | Column],
     keys: Sequence[str] = ("page_key",),
     pos: str = "pos",
-    segment: int = SEGMENT,
+    segment: int | None = None,
 ) -> DataFrame:
-    """Blocks back into ordered arrays: one row per page and ``segment`` positions."""
-    item = F.struct(F.col(pos).alias("_pos"), F.struct(*fields).alias("_item"))
-    grouped = (
-        blocks.withColumn("segment", F.floor(F.col(pos) / segment).cast("int"))
-        .groupBy(*keys, "segment")
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    )
-    return grouped.select(*keys, "segment", F.transform("_items", lambda i: i["_item"]).alias("blocks"))
+    """Blocks back into ordered arrays, one row per page: a page is one document.
+
+    Every block starts with its ``pos``, so gaps stay. With ``segment`` a row holds that
+    many positions at most and a page may have several.
+    """
+    items = F.array_sort(F.collect_list(F.struct(F.col(pos).cast("int").alias("pos"), *fields)))
+    number = F.lit(0) if segment is None else F.floor(F.col(pos) / segment).cast("int")
+    return blocks.withColumn("segment", number).groupBy(*keys, "segment").agg(items.alias("blocks"))
 
 
-def explode_pages(pages: DataFrame, keys: Sequence[str] = ("page_key",), segment: int = SEGMENT) -> DataFrame:
-    """Inverse of :func:`assemble_pages` for pages with positions 0, 1, 2, ..."""
-    rows = pages.select(*keys, "segment", F.posexplode("blocks").alias("_i", "_block"))
-    position = F.col("segment") * segment + F.col("_i")
-    return rows.select(*keys, position.alias("pos"), "_block.*")
+def explode_pages(pages: DataFrame, keys: Sequence[str] = ("page_key",)) -> DataFrame:
+    """Inverse of :func:`assemble_pages`, whatever its segments."""
+    return pages.select(*keys, F.explode("blocks").alias("_block")).select(*keys, "_block.*")
 
 
 def page_text(
-    blocks: DataFrame, text: str = "original_text", sep: str = "\n", key: str = "page_key", pos: str = "pos", segment: int = SEGMENT
+    blocks: DataFrame, text: str = "original_text", sep: str = "\n", key: str = "page_key", pos: str = "pos"
 ) -> DataFrame:
-    """Texts of a page joined in order, one row per ``segment`` positions."""
-    item = F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))
-    grouped = (
-        blocks.withColumn("segment", F.floor(F.col(pos) / segment).cast("int"))
-        .groupBy(key, "segment")
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    )
-    joined = F.array_join(F.transform("_items", lambda i: i["t"]), sep)
-    return grouped.select(key, "segment", joined.alias("page_text"))
+    """Texts of a page joined in order, one text per page."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
+    joined = F.array_join(F.transform(items, lambda i: i["t"]), sep)
+    return blocks.groupBy(key).agg(joined.alias("page_text"))
 
 
 def rejoin(blocks: DataFrame, translations: DataFrame, keys: Sequence[str] = ("page_key", "pos")) -> DataFrame:

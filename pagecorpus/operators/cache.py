@@ -12,20 +12,26 @@ from pagecorpus.session import freeze
 
 
 def cache_hits(pages: DataFrame, cache: DataFrame, artefacts: DataFrame | None = None, key: str = "cache_key") -> DataFrame:
-    """Pages with a cached record; with ``artefacts`` the rendered file must exist too."""
-    hits = pages.join(cache, key, "inner")
+    """Pages with a cached record, each once; with ``artefacts`` the rendered file must exist too."""
+    hits = pages.join(cache.select(key), key, "left_semi")
     if artefacts is not None:
         hits = hits.join(artefacts.select(key), key, "left_semi")
     return hits
 
 
 def cache_misses(
-    pages: DataFrame, cache: DataFrame, artefacts: DataFrame | None = None, force: bool = False, key: str = "cache_key"
+    pages: DataFrame,
+    cache: DataFrame,
+    artefacts: DataFrame | None = None,
+    force: bool | DataFrame = False,
+    key: str = "cache_key",
 ) -> DataFrame:
-    """Pages still to do; ``force`` sends every page to this side."""
-    if force:
+    """Pages still to do. ``force`` sends every page to this side, or those of a key table."""
+    if force is True:
         return pages
     done = cache.select(key)
+    if isinstance(force, DataFrame):
+        done = done.join(force.select(key), key, "left_anti")
     if artefacts is not None:
         done = done.join(artefacts.select(key), key, "left_semi")
     return pages.join(done, key, "left_anti")

@@ -16,7 +16,7 @@ from pagecorpus.operators.skew import spread_lookup
 from pagecorpus.session import freeze
 
 
-def component_roots(edges: DataFrame, within: Sequence[str], max_rounds: int = 200) -> DataFrame:
+def component_roots(edges: DataFrame, within: Sequence[str]) -> DataFrame:
     """``(within, node, root)`` for every node of ``edges(within, u, v)``.
 
     ``root`` is the smallest node of the component; edges never leave a ``within`` group.
@@ -28,16 +28,12 @@ def component_roots(edges: DataFrame, within: Sequence[str], max_rounds: int = 2
         .distinct()
     )
     state = _signature(current)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    while state[0]:
         current = freeze(_small_star(_large_star(current, within), within))
         following = _signature(current)
         if following == state:
             break
         state = following
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(*within, F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return current.select(*within, F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

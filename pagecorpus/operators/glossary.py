@@ -14,19 +14,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus.functions.text import clean_breaks, compact, utrim
-from pagecorpus.session import broadcast_if_small, freeze
+from pagecorpus.session import freeze
 
 # Up to this many replacements are written out as one expression; a larger glossary is joined.
 INLINE_LIMIT = 64
+# Characters of the longest gram that needles are looked up by.
+GRAM = 4
+# Rows and bytes of a needle table up to which it is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
+
+
+def _rule_key() -> Column:
+    """A rule's own identity. Rules of equal ``rule_ord`` apply in the order of this text."""
+    return F.to_json(F.struct("needles", "replacements"))
 
 
 def _inline_rules(rules: DataFrame, limit: int = INLINE_LIMIT) -> list | None:
-    """Rules in order when they are few, else None. Reads at most ``limit + 1`` rows."""
-    rows = rules.select("rule_ord", "needles", "replacements").limit(limit + 1).collect()
-    size = sum(max(1, len(r.replacements)) for r in rows)
-    if len(rows) > limit or size > limit:
+    """Rules in order when they are few, else None. Counted before any of them is fetched."""
+    sized = F.coalesce(F.sum(F.greatest(F.lit(1), F.size("replacements"))), F.lit(0)).alias("n")
+    if rules.agg(sized).first().n > limit:
         return None
-    return sorted(rows, key=lambda r: r.rule_ord)
+    rows = rules.select("rule_ord", "needles", "replacements", _rule_key().alias("key")).collect()
+    return sorted(rows, key=lambda r: (r.rule_ord, r.key))
 
 
 def is_inline(rules: DataFrame, limit: int = INLINE_LIMIT) -> bool:
@@ -70,12 +79,13 @@ def refine(
 def _refine_joined(
     blocks: DataFrame, rules: DataFrame, keys: Sequence[str], source: str, target: str, out: str
 ) -> DataFrame:
-    pairs = matching_rules(blocks, rules, keys, source)
+    keyed = rules.withColumn("_rule", _rule_key())
+    pairs = _matching(blocks, keyed, keys, source).select(*keys, "_rule", "rule_ord").distinct()
     # A table of known size: the planner broadcasts it or, if it is large, shuffles.
-    bodies = pairs.join(freeze(rules.select("rule_ord", "replacements")), "rule_ord")
+    bodies = pairs.join(freeze(keyed.select("_rule", "rule_ord", "replacements")), ["_rule", "rule_ord"])
     # Bounded by the rules whose needles occur in one block.
     per_block = bodies.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("rule_ord", "replacements"))).alias("_rules")
+        F.array_sort(F.collect_list(F.struct("rule_ord", "_rule", "replacements"))).alias("_rules")
     )
     joined = blocks.join(per_block, list(keys), "left").withColumn(
         "_src", compact(F.coalesce(F.col(source), F.lit("")))
@@ -91,28 +101,43 @@ def _refine_joined(
 def matching_rules(
     blocks: DataFrame, rules: DataFrame, keys: Sequence[str] = ("page_key", "pos"), source: str = "original_text"
 ) -> DataFrame:
-    """``(keys, rule_ord)`` for every rule that applies to a block.
+    """``(keys, rule_ord)`` for every rule that applies to a block."""
+    return _matching(blocks, rules, keys, source).select(*keys, "rule_ord").distinct()
+
 
-    Needles are looked up by their first characters (as many as the shortest needle has),
-    so the match is an equi join with a check of the rest.
+def _matching(blocks: DataFrame, rules: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
+    """``keys`` with the columns of the rules that apply, repeats possible.
+
+    A needle is looked up by its first characters, four or all it has, among the distinct
+    grams of that length of a block: an equi join. Up to four characters that settles it;
+    for longer needles the few candidates are checked against the source.
     """
-    needles = freeze(
-        rules.select("rule_ord", F.explode("needles").alias("needle")).where(F.length("needle") > 0).distinct()
-    )
-    lengths = needles.agg(F.min(F.length("needle")).alias("k"), F.max(F.length("needle")).alias("m")).first()
+    named = [c for c in rules.columns if c in ("rule_ord", "_rule")]
+    needles = rules.select(*named, F.explode("needles").alias("_needle")).where(F.length("_needle") > 0).distinct()
+    size = F.least(F.length("_needle"), F.lit(GRAM))
+    heads = freeze(needles.select(*named, "_needle", size.alias("_n"), F.left("_needle", size).alias("_gram")))
+    lengths = sorted(r["_n"] for r in heads.select("_n").distinct().collect())  # GRAM rows at most
     sources = blocks.select(*keys, compact(F.coalesce(F.col(source), F.lit(""))).alias("_src"))
-    if lengths.k is None:
-        return sources.select(*keys, F.lit(None).cast("int").alias("rule_ord")).limit(0)
-    # One window per source position, as long as the longest needle: a needle occurs in
-    # the source exactly when some window starts with it.
-    pattern = F.lit(f"(?s)(?=(.{{1,{lengths.m}}})).")
-    windows = F.array_distinct(F.regexp_extract_all("_src", pattern, F.lit(1)))
-    exploded = sources.select(*keys, F.explode(windows).alias("_win")).withColumn(
-        "_gram", F.left(F.col("_win"), F.lit(lengths.k))
-    )
-    heads = needles.select("rule_ord", "needle", F.left(F.col("needle"), F.lit(lengths.k)).alias("_gram"))
-    found = exploded.join(broadcast_if_small(heads), "_gram").where(F.startswith("_win", F.col("needle")))
-    return found.select(*keys, "rule_ord").distinct()
+    if not lengths:
+        return sources.limit(0).crossJoin(rules.select(*named).limit(0)).select(*keys, *named)
+
+    def grams(n: int) -> Column:
+        own = F.array_distinct(F.regexp_extract_all("_src", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
+        return F.transform(own, lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_gram")))
+
+    met = sources.select(*keys, F.inline(F.concat(*[grams(n) for n in lengths]))).join(_small(heads), ["_n", "_gram"])
+    exact = met.where(F.length("_needle") <= GRAM).select(*keys, *named)
+    if max(lengths) < GRAM:
+        return exact
+    open_pairs = met.where(F.length("_needle") > GRAM).select(*keys, *named, "_needle")
+    checked = open_pairs.join(sources, list(keys)).where(F.contains("_src", F.col("_needle")))
+    return exact.unionByName(checked.select(*keys, *named))
+
+
+def _small(heads: DataFrame) -> DataFrame:
+    """A frozen table with a broadcast hint if its rows and its bytes are few."""
+    size = heads.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("_needle") * 2 + 64), F.lit(0)).alias("b")).first()
+    return F.broadcast(heads) if size.n <= BROADCAST_ROWS and size.b <= BROADCAST_BYTES else heads
 
 
 def rule_coverage(
@@ -130,13 +155,13 @@ def rule_coverage(
         staged = blocks.withColumn("_src", compact(F.coalesce(F.col(source), F.lit(""))))
         fired = [F.when(_matches(F.col("_src"), r.needles), F.lit(r.rule_ord)) for r in inline]
         hits = F.array_compact(F.array(*fired)) if fired else F.array().cast("array<int>")
-        pairs = staged.select(*keys, F.explode(hits).alias("rule_ord"))
+        pairs = staged.select(*keys, F.explode(F.array_distinct(hits)).alias("rule_ord"))
     # Pages first, so a page shared by many blocks is counted from one partial row.
     per_page = pairs.groupBy("rule_ord", keys[0]).agg(F.count(F.lit(1)).alias("_n"))
     counts = per_page.groupBy("rule_ord").agg(
         F.sum("_n").alias("n_blocks"), F.count(F.lit(1)).alias("n_pages")
     )
-    joined = rules.select("rule_ord").join(counts, "rule_ord", "left")
+    joined = rules.select("rule_ord").distinct().join(counts, "rule_ord", "left")
     return joined.select(
         "rule_ord",
         F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),

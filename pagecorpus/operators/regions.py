@@ -236,7 +236,7 @@ def _tile_runs(points: DataFrame, keys: list[str], tile: int) -> DataFrame:
         lambda a, b: F.struct(F.floor(a / t).cast("int").alias("r"), (a % t).alias("a"), (b % t).alias("b")),
     )
     with_runs = grouped.withColumn("_runs", zipped).drop("_cells")
-    labelled = with_runs.withColumn("_labels", _run_labels(F.col("_runs")))
+    labelled = with_runs.withColumn("_labels", _run_labels(F.col("_runs"), tile))
     tagged = F.zip_with(
         "_runs", "_labels", lambda run, label: F.struct(run["r"].alias("r"), run["a"].alias("a"), run["b"].alias("b"), label.alias("label"))
     )
@@ -257,17 +257,21 @@ def _tile_runs(points: DataFrame, keys: list[str], tile: int) -> DataFrame:
     )
 
 
-def _run_labels(runs: Column) -> Column:
+def _run_labels(runs: Column, tile: int = TILE) -> Column:
     """Component of each run: the 1-based index of the component's first run.
 
     One pass in row order: a run takes the smallest label among the runs it touches in
-    the row above, and the other labels it touches are renamed to that one.
+    the row above, and the other labels it touches are renamed to that one. A row of a
+    tile has half as many runs as columns at most, so those of its own row and the row
+    above are among the last ``tile`` + 1 runs.
     """
 
     def step(labels: Column, run: Column) -> Column:
+        recent = F.least(F.size(labels), F.lit(tile + 1))
+        first = F.size(labels) - recent + 1
         earlier = F.zip_with(
-            F.slice(runs, F.lit(1), F.size(labels)),
-            labels,
+            F.slice(runs, first, recent),
+            F.slice(labels, first, recent),
             lambda o, label: F.when(
                 (o["r"] == run["r"] - 1) & (o["a"] <= run["b"]) & (o["b"] >= run["a"]), label
             ),

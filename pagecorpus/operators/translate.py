@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus import schema
@@ -41,10 +41,16 @@ def passthrough(blocks: DataFrame, source: str = "original_text", target: str =
     )
 
 
+def text_key(text: Column | str) -> Column:
+    """What texts are looked up by: 32 bytes, whatever their length."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def distinct_texts(blocks: DataFrame, source: str = "original_text") -> DataFrame:
-    """Each distinct trimmed text once, with the number of blocks that use it."""
+    """``(text_key, text, uses)``: each distinct trimmed text once, with the blocks that use it."""
     texts = blocks.where(~is_blank(source)).select(utrim(source).alias("text"))
-    return texts.groupBy("text").agg(F.count(F.lit(1)).alias("uses"))
+    counted = texts.groupBy("text").agg(F.count(F.lit(1)).alias("uses"))
+    return counted.select(text_key("text").alias("text_key"), "text", "uses")
 
 
 def enrich(
@@ -103,17 +109,17 @@ def from_memory(texts: DataFrame, memory: DataFrame) -> DataFrame:
 def apply_memo(
     blocks: DataFrame, memo: DataFrame, keys: Sequence[str] = ("page_key", "pos"), source: str = "original_text"
 ) -> DataFrame:
-    """Memo rows ``(text, uses, translated_text, status, error)`` back onto the blocks."""
-    keyed = blocks.withColumn("text", F.when(~is_blank(source), utrim(source)))
-    joined = spread_lookup(keyed.where(F.col("text").isNotNull()), memo, ["text"], "uses", keys, how="left")
-    blank = keyed.where(F.col("text").isNull())
-    both = joined.unionByName(blank, allowMissingColumns=True)
-    return both.withColumn(
-        "status",
-        F.when(F.col("text").isNull(), schema.EMPTY_TEXT).otherwise(
-            F.coalesce("status", F.lit(schema.MISSING_TRANSLATION))
-        ),
-    ).drop("text")
+    """Memo rows ``(text_key, uses, translated_text, status, error)`` back onto the blocks.
+
+    Blank blocks are looked up by a short key of their own, which spreads them and matches
+    no text.
+    """
+    blank = is_blank(source)
+    alone = F.unhex(F.hex(F.xxhash64(*keys)))
+    keyed = blocks.withColumn("text_key", F.when(blank, alone).otherwise(text_key(utrim(source))))
+    joined = spread_lookup(keyed, memo.drop("text"), ["text_key"], "uses", keys, how="left")
+    missing = F.coalesce("status", F.lit(schema.MISSING_TRANSLATION))
+    return joined.withColumn("status", F.when(blank, schema.EMPTY_TEXT).otherwise(missing)).drop("text_key")
 
 
 def memo_translate(
@@ -124,7 +130,7 @@ def memo_translate(
 ) -> DataFrame:
     """Translate each distinct text once and join back.
 
-    ``translate`` maps ``(text, uses)`` to the memo, e.g. ``lambda t: enrich(t, fn)``.
+    ``translate`` maps ``(text_key, text, uses)`` to the memo, e.g. ``lambda t: enrich(t, fn)``.
     The memo is frozen: it is read more than once and may have cost service calls.
     """
     memo = freeze(translate(distinct_texts(blocks, source)))

@@ -12,12 +12,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+# The module that registered a query.
+MODULES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Callable[[Views], DataFrame]], Callable[[Views], DataFrame]]:
     """Register a function of the views under its own name."""
 
     def register(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        MODULES[build.__name__] = build.__module__
         QUERIES[build.__name__] = lambda spark, folder: build(Views(spark, folder))
         if sql is not None:
             ORACLES[build.__name__] = sql

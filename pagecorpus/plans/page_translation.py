@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagecorpus import schema
 from pagecorpus.functions.keys import block_id, cache_key
-from pagecorpus.operators.blocks import assemble_pages
+from pagecorpus.operators.blocks import assemble_pages, explode_pages
 from pagecorpus.operators.cache import cache_hits, cache_misses, content_groups
 from pagecorpus.operators.glossary import is_inline, refine
 from pagecorpus.operators.skew import spread_lookup
@@ -20,7 +20,10 @@ from pagecorpus.session import freeze
 
 @dataclass(frozen=True)
 class TranslationJob:
-    """Options of one run. ``languages_in_key`` keeps language pairs apart in the cache."""
+    """Options of one run. ``languages_in_key`` keeps language pairs apart in the cache.
+
+    ``force`` translates every page again; :func:`translate_pages` also takes a key table.
+    """
 
     engine_version: str
     provider: str = "google_web"
@@ -42,11 +45,12 @@ class TranslationJob:
 
 @dataclass(frozen=True)
 class TranslatedPages:
-    """``pages``: every page with its cache key. ``groups``: each cache key once, with the
-    page that stands for it and its number of copies. ``hits``: groups the cache answers.
-    ``units``: groups to translate. ``processed``: all their blocks with a status.
-    ``blocks``: corrected blocks of units without failure. ``quarantine``: blocks of the
-    other units. ``empty``: units without text."""
+    """``pages``: every page with its cache key, null if its content has no hash. ``groups``:
+    each cache key once, with its first page and its number of copies. ``hits``: groups the
+    cache answers. ``units``: groups to translate, with the first page that has blocks (or
+    the first) and their number. ``processed``: all their blocks with a status. ``blocks``:
+    corrected blocks of units without failure. ``quarantine``: blocks of the other units.
+    ``empty``: units of which no copy has text."""
 
     pages: DataFrame
     groups: DataFrame
@@ -66,7 +70,7 @@ def corrected_memo(blocks: DataFrame, rules: DataFrame, translate: Callable[[Dat
         memo = freeze(memo)
     refined = refine(memo, rules, ["text"], source="text", out="_refined")
     return freeze(
-        refined.select("text", "uses", F.col("_refined").alias("translated_text"), "status", "error")
+        refined.select("text_key", "text", "uses", F.col("_refined").alias("translated_text"), "status", "error")
     )
 
 
@@ -78,22 +82,36 @@ def translate_pages(
     translate: Callable[[DataFrame], DataFrame],
     job: TranslationJob,
     artefacts: DataFrame | None = None,
+    force: DataFrame | None = None,
 ) -> TranslatedPages:
     """Fingerprint, look up, translate what is missing, correct, keep whole pages only.
 
     ``pages(page_key, sha)``, ``blocks(page_key, pos, original_text, ...)``,
-    ``cache(cache_key)``; pages of equal content are one unit of work.
+    ``cache(cache_key)``; pages of equal content are one unit of work, done with the blocks
+    of the first copy that has any. ``force(cache_key)`` lists pages to do again. A page
+    without hash is no copy of another and never reaches the cache. ``blocks`` is read once.
     """
     # Contents are hashed in one pass; from here on pages are a key table.
     keyed = freeze(pages.withColumn("cache_key", job.key("sha")).select("page_key", "cache_key"))
     # Equal contents first: what follows sees each cache key once, however many copies it has.
-    groups = freeze(content_groups(keyed, "cache_key", "page_key").withColumnRenamed("first_page", "page_key"))
-    hits = cache_hits(groups, cache.select("cache_key").distinct(), artefacts)
-    sizes = blocks.groupBy("page_key").agg(F.count(F.lit(1)).alias("page_blocks"))
-    units = freeze(cache_misses(groups, cache, artefacts, job.force).join(sizes, "page_key", "left"))
-    with_text = units.where(F.col("page_blocks").isNotNull()).select("page_key", "cache_key", "page_blocks")
-    # The block count of a page tells whether its rows have to be spread.
-    work = spread_lookup(blocks, with_text, ["page_key"], "page_blocks", ["pos"])
+    readable = keyed.where(F.col("cache_key").isNotNull())
+    groups = freeze(content_groups(readable, "cache_key", "page_key").withColumnRenamed("first_page", "page_key"))
+    missed = freeze(cache_misses(groups, cache, artefacts, job.force or (False if force is None else force)))
+    hits = cache_hits(groups, cache, artefacts).join(missed.select("cache_key"), "cache_key", "left_anti")
+    # Which copy has blocks shows only in the blocks: those of all missed copies are kept,
+    # with the size of their page, which also tells whether its rows have to be spread.
+    copies = freeze(spread_lookup(readable, missed.select("cache_key", "n_copies"), ["cache_key"], "n_copies", ["page_key"]))
+    candidates = freeze(blocks.join(copies, "page_key"))
+    sizes = freeze(candidates.groupBy("cache_key", "page_key").agg(F.count(F.lit(1)).alias("page_blocks")))
+    chosen = sizes.groupBy("cache_key").agg(F.min_by(F.struct("page_key", "page_blocks"), "page_key").alias("_first"))
+    found = missed.join(chosen, "cache_key", "left")
+    units = freeze(
+        found.withColumn("page_key", F.coalesce("_first.page_key", "page_key"))
+        .withColumn("page_blocks", F.col("_first.page_blocks"))
+        .drop("_first")
+    )
+    with_text = units.where(F.col("page_blocks").isNotNull()).select("page_key", "page_blocks")
+    work = spread_lookup(candidates, with_text, ["page_key"], "page_blocks", ["pos"])
     memo = corrected_memo(work, rules, translate)
     done = freeze(apply_memo(work, memo).drop("uses"))
     complete, quarantine = split_pages(done)
@@ -110,6 +128,7 @@ def page_records(result: TranslatedPages, job: TranslationJob, created_at: Colum
     fields = [
         (F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.BLOCK.fields
+        if f.name != "pos"
     ]
     documents = assemble_pages(blocks, fields, ["page_key", "cache_key"])
     if job.cache_empty:
@@ -130,7 +149,7 @@ def page_records(result: TranslatedPages, job: TranslationJob, created_at: Colum
 
 
 def page_report(result: TranslatedPages) -> DataFrame:
-    """One row per page: cached, translated, page_failed or no_text_blocks.
+    """One row per page: cached, translated, page_failed, no_text_blocks or unreadable_page.
 
     Pages of equal content share the outcome of the page that stands for them.
     """
@@ -145,10 +164,34 @@ def page_report(result: TranslatedPages) -> DataFrame:
     )
     copies = result.groups.select("cache_key", "n_copies").join(outcome, "cache_key", "left")
     pages = result.pages.select("page_key", "cache_key")
-    joined = spread_lookup(pages, freeze(copies), ["cache_key"], "n_copies", ["page_key"])
-    return joined.select(
+    readable = pages.where(F.col("cache_key").isNotNull())
+    joined = spread_lookup(readable, freeze(copies), ["cache_key"], "n_copies", ["page_key"])
+    report = joined.select(
         "page_key",
         "cache_key",
         F.coalesce("n_blocks", F.lit(0)).cast("bigint").alias("n_blocks"),
         F.coalesce("outcome", F.lit("cached")).alias("outcome"),
     )
+    unreadable = pages.where(F.col("cache_key").isNull())
+    return report.unionByName(
+        unreadable.select(
+            "page_key", "cache_key", F.lit(0).cast("bigint").alias("n_blocks"), F.lit(schema.UNREADABLE_PAGE).alias("outcome")
+        )
+    )
+
+
+def page_results(result: TranslatedPages, cached: DataFrame, records: DataFrame) -> DataFrame:
+    """The blocks of every page after the job, copies included: ``(page_key, cache_key, origin, pos, ...)``.
+
+    ``cached`` and ``records`` are stored records before the job and those it made; a new
+    record goes before a cached one. Pages without a record have no rows.
+    """
+    fresh = records.select("cache_key", "blocks", F.lit("translated").alias("origin"))
+    kept = cached.join(records.select("cache_key"), "cache_key", "left_anti")
+    known = kept.select("cache_key", "blocks", F.lit("cached").alias("origin")).unionByName(fresh)
+    counted = known.join(result.groups.select("cache_key", "n_copies"), "cache_key")
+    pages = result.pages.select("page_key", "cache_key").where(F.col("cache_key").isNotNull())
+    held = counted.select("cache_key").distinct()
+    pages = pages.join(held, "cache_key", "left_semi")
+    joined = spread_lookup(pages, freeze(counted), ["cache_key"], "n_copies", ["page_key"])
+    return explode_pages(joined, ["page_key", "cache_key", "origin"])

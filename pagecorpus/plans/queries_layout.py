@@ -466,17 +466,47 @@ def light_regions(v: Views) -> DataFrame:
     return found.select("page_key", "region.*")
 
 
-@query(REGIONS)
-def light_regions_from_images(v: Views) -> DataFrame:
-    """The same rasters as image bytes: white where the value is positive, else black."""
+def _images(v: Views) -> DataFrame:
+    """The rasters as image bytes: white where the value is positive, else black."""
     pixel = F.transform("embedding", lambda e: F.when(e > 0, "FFFFFF").otherwise("000000"))
-    images = v.table("embeddings").select(
+    return v.table("embeddings").select(
         F.col("vec_id").alias("page_key"),
         F.lit(8).alias("width"),
         F.lit(8).alias("height"),
         F.lit(3).alias("channels"),
         F.unhex(F.array_join(pixel, "")).alias("data"),
     )
+
+
+@query(
+    f"""WITH {GRID_CELLS}, rasters AS (
+ SELECT vec_id AS page_key, i AS pos, 1.0::DOUBLE + i * 5 AS rx, 40.0::DOUBLE AS ry, 20.0::DOUBLE + label % 8 AS rw
+ FROM embeddings, (SELECT unnest(range(0, 12)) AS i)),
+points AS (
+ SELECT *, rx + (c + 0.5::DOUBLE) * 8 AS px, ry + (r + 0.5::DOUBLE) * 8 AS py FROM rasters,
+  (SELECT unnest(range(0, 3)) AS r), (SELECT unnest(range(0, 5)) AS c) WHERE c < ceil(rw / 8)),
+looked AS (
+ SELECT p.page_key, pos, coalesce(light, false) AS light FROM points p LEFT JOIN grid_cells g ON p.page_key = g.page_key
+  AND g.col = CAST(floor(px / 96 * 8) AS INTEGER) AND g."row" = CAST(floor((96 - py) / 96 * 8) AS INTEGER))
+SELECT page_key, CAST(pos AS INTEGER) AS pos, (count(*) FILTER (WHERE light))::DOUBLE / count(*)::DOUBLE AS coverage FROM looked GROUP BY ALL"""
+)
+def light_coverage_from_images(v: Views) -> DataFrame:
+    """Twelve rectangles per image."""
+    twelve = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("pos")
+    rects = v.spread_table("embeddings", "vec_id", "label").select(F.col("vec_id").alias("page_key"), "label", twelve)
+    left = F.lit(1.0) + F.col("pos") * 5
+    placed = rects.select(
+        "page_key",
+        "pos",
+        F.lit(96.0).alias("img_w"),
+        F.lit(96.0).alias("img_h"),
+        g.rect(left, F.lit(40.0), F.lit(20.0) + F.col("label") % 8, F.lit(24.0)).alias("rect"),
+    )
+    return regions.light_coverage(placed, image_sampler(_images(v)), ["page_key", "pos"])
+
+
+@query(REGIONS)
+def light_regions_from_images(v: Views) -> DataFrame:
     windows = regions.search_windows(_rasters(v))
-    found = regions.light_regions(windows, image_sampler(images), ["page_key", "pos"])
+    found = regions.light_regions(windows, image_sampler(_images(v)), ["page_key", "pos"])
     return found.select("page_key", "region.*")

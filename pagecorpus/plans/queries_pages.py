@@ -141,36 +141,51 @@ def selected_index(v: Views) -> DataFrame:
 @query(
     f"""WITH {PAGE_PATHS}, inputs AS (
  SELECT DISTINCT volume AS input, true AS is_folder FROM page_paths UNION SELECT DISTINCT lang, true FROM documents
- UNION SELECT min(path), false FROM page_paths GROUP BY volume UNION SELECT max(path), false FROM page_paths GROUP BY volume),
+ UNION SELECT path, false FROM page_paths),
 kinds AS (
  SELECT input, is_folder, CASE WHEN is_folder THEN 'folder'
   WHEN regexp_matches(lower(input), '[^/]\\.(jpg|jpeg|png|webp|tif|tiff|bmp|gif)$') THEN 'image'
   WHEN regexp_matches(lower(input), '[^/]\\.(zip|cbz)$') THEN 'archive' ELSE 'unsupported' END AS kind FROM inputs),
 inside AS (SELECT path AS input, concat(page_id, '.png') AS entry FROM page_paths p JOIN labels l ON page_id = doc_id WHERE path LIKE '%.cbz'),
 opened AS (
- SELECT input, kind, p.path, nat FROM kinds k JOIN pages p ON p.volume = split_part(input, '/', 1) WHERE kind IN ('folder', 'image')
- UNION ALL SELECT k.input, kind, entry, [entry] FROM kinds k JOIN inside i ON k.input = i.input WHERE kind = 'archive')
-SELECT input, kind AS outcome, path, row_number() OVER (PARTITION BY input ORDER BY nat, path) AS page_no FROM opened
-UNION ALL SELECT input, CASE WHEN kind = 'unsupported' THEN 'unsupported' ELSE 'no_images' END, NULL, NULL FROM kinds
-WHERE input NOT IN (SELECT input FROM opened)"""
+ SELECT input, kind, CASE WHEN kind = 'image' THEN split_part(input, '/', 1) ELSE input END AS folder FROM kinds WHERE kind <> 'unsupported'),
+listed AS (
+ SELECT volume AS folder, path, nat FROM pages WHERE volume IN (SELECT folder FROM opened WHERE kind IN ('folder', 'image'))
+ UNION ALL SELECT input, entry, [entry] FROM inside WHERE input IN (SELECT folder FROM opened WHERE kind = 'archive')),
+numbered AS (SELECT folder, path, row_number() OVER (PARTITION BY folder ORDER BY nat, path) AS page_no FROM (
+ SELECT * FROM listed UNION ALL
+ SELECT folder, input, [input] FROM opened WHERE kind = 'image' AND folder NOT IN (SELECT folder FROM listed)))
+SELECT NULL AS input, 'page' AS outcome, folder, path, page_no FROM numbered
+UNION ALL SELECT o.input, kind, o.folder, NULL, coalesce(page_no - 1, 0) FROM opened o
+ LEFT JOIN numbered n ON o.folder = n.folder AND o.input = n.path WHERE o.folder IN (SELECT folder FROM numbered)
+UNION ALL SELECT input, CASE WHEN kind = 'unsupported' THEN 'unsupported' ELSE 'no_images' END, NULL, NULL, NULL FROM kinds
+WHERE input NOT IN (SELECT input FROM opened WHERE folder IN (SELECT folder FROM numbered))"""
 )
 def opened_inputs(v: Views) -> DataFrame:
-    """Folders, images and archives opened at once; labelled archives have one page."""
+    """All folders, images and archives opened at once; labelled archives have one page."""
     files = v.page_paths
-    ends = files.groupBy("volume").agg(F.min("path").alias("a"), F.max("path").alias("z"))
-    single = ends.select(F.explode(F.array("a", "z")).alias("path")).distinct().withColumn("is_folder", F.lit(False))
+    single = files.select("path").withColumn("is_folder", F.lit(False))
     folders = files.select("volume").union(v.table("documents").select("lang")).distinct().toDF("path")
     labelled = v.table("labels").select(F.col("doc_id").alias("page_id"))
     entries = files.where(paths.is_archive("path")).join(labelled, "page_id", "left_semi")
     entries = entries.select(F.col("path").alias("archive"), F.concat("page_id", F.lit(".png")).alias("entry"))
-    pages, problems = open_inputs(folders.withColumn("is_folder", F.lit(True)).union(single), files, entries)
-    nothing = problems.select(
-        "input",
-        F.col("status").alias("outcome"),
-        F.lit(None).cast("string").alias("path"),
-        F.lit(None).cast("bigint").alias("page_no"),
+    opened, pages, problems = open_inputs(folders.withColumn("is_folder", F.lit(True)).union(single), files, entries)
+    nothing = F.lit(None).cast("string")
+    rows = pages.select(nothing.alias("input"), F.lit("page").alias("outcome"), "folder", "path", "page_no")
+    rows = rows.unionByName(
+        opened.select(
+            "input", F.col("input_kind").alias("outcome"), "folder", nothing.alias("path"), F.col("page_index").alias("page_no")
+        )
+    )
+    return rows.unionByName(
+        problems.select(
+            "input",
+            F.col("status").alias("outcome"),
+            nothing.alias("folder"),
+            nothing.alias("path"),
+            F.lit(None).cast("bigint").alias("page_no"),
+        )
     )
-    return pages.withColumnRenamed("input_kind", "outcome").unionByName(nothing)
 
 
 def _zip_rows(documents: DataFrame) -> DataFrame:
@@ -313,8 +328,9 @@ def delete_records(v: Views) -> DataFrame:
     return cache.delete_keys(v.table("documents").select("doc_id", "source"), gone, ["doc_id"])
 
 
-def _records(v: Views) -> DataFrame:
+def _records(v: Views, blocks: DataFrame | None = None, segment: int | None = None) -> DataFrame:
     """Documents as page records, one block per line."""
+    blocks = v.doc_blocks if blocks is None else blocks
     block = [
         F.concat_ws("/", "page_key", "pos").alias("id"),
         F.struct(
@@ -326,7 +342,7 @@ def _records(v: Views) -> DataFrame:
         (F.col("pos") % 2 == 0).alias("source_is_vertical"),
         F.when(F.col("pos") % 3 == 0, F.col("pos").cast("double")).alias("detected_font_size"),
     ]
-    pages = b.assemble_pages(v.doc_blocks, block)
+    pages = b.assemble_pages(blocks, block, segment=segment)
     return pages.select(
         F.col("page_key").cast("string").alias("cache_key"),
         "segment",
@@ -362,6 +378,45 @@ def document_round_trip(v: Views) -> DataFrame:
     return _block_rows(store.from_documents(documents))
 
 
+@query(f"WITH {DOC_BLOCKS} SELECT {ROUND_TRIP} FROM doc_blocks WHERE pos % 3 <> 1")
+def document_round_trip_gaps(v: Views) -> DataFrame:
+    """The same with gaps in the positions and pages stored in several segments."""
+    gapped = v.doc_blocks.where(F.col("pos") % 3 != 1)
+    documents = store.to_documents(_records(v, gapped, segment=2))
+    return _block_rows(store.from_documents(documents))
+
+
+@query(
+    """SELECT doc_id, 'invalid_document' AS status FROM documents WHERE doc_id % 5 IN (1, 2, 3)"""
+)
+def document_quarantine(v: Views) -> DataFrame:
+    """Documents cut short, without a required block field, and no documents at all."""
+    stored = store.to_documents(_records(v)).select(F.col("cache_key").cast("bigint").alias("doc_id"), "json")
+    kind = F.col("doc_id") % 5
+    spoiled = (
+        F.when(kind == 1, F.left("json", F.length("json") / 2))
+        .when(kind == 2, F.replace("json", F.lit('"confidence"'), F.lit('"other"')))
+        .when(kind == 3, F.lit("nonsense"))
+        .otherwise(F.col("json"))
+    )
+    return store.quarantined_documents(stored.withColumn("json", spoiled)).select("doc_id", "status")
+
+
+LONG = """long_blocks AS (SELECT event_id % 2 AS page_key, event_id // 2 AS pos, event_type AS original_text FROM events)"""
+
+
+@query(
+    f"""WITH {LONG}
+SELECT page_key, count(*) AS n_blocks, string_agg(original_text, chr(10) ORDER BY pos) AS page_text FROM long_blocks GROUP BY page_key"""
+)
+def long_pages(v: Views) -> DataFrame:
+    """Two pages that share all events: one record and one text each."""
+    half = F.floor(F.col("event_id") / 2).alias("pos")
+    blocks = v.table("events").select((F.col("event_id") % 2).alias("page_key"), half, F.col("event_type").alias("original_text"))
+    records = b.assemble_pages(blocks, ["original_text"]).select("page_key", F.size("blocks").cast("bigint").alias("n_blocks"))
+    return records.join(b.page_text(blocks), "page_key").select("page_key", "n_blocks", "page_text")
+
+
 @query(
     f"""WITH {DOC_BLOCKS}, marks AS (
  SELECT d.doc_id, coalesce(l.quality = 0, false) AS gone, coalesce(l.toxic = 1, false) AS again
@@ -488,8 +543,7 @@ def top_candidates(v: Views) -> DataFrame:
 
 @query(
     f"""WITH {CONV_BLOCKS}
-SELECT page_key, CAST(pos // 4096 AS INTEGER) AS segment, string_agg(original_text, ' | ' ORDER BY pos) AS page_text
-FROM conv_blocks GROUP BY 1, 2"""
+SELECT page_key, string_agg(original_text, ' | ' ORDER BY pos) AS page_text FROM conv_blocks GROUP BY 1"""
 )
 def page_texts(v: Views) -> DataFrame:
     return b.page_text(v.conv_blocks, sep=" | ")

@@ -12,6 +12,7 @@ from pagecorpus.operators import blocks as b
 from pagecorpus.operators import glossary, layout
 from pagecorpus.plans.catalogue import query
 from pagecorpus.plans.views import CONV_BLOCKS, DOC_BLOCKS, Views
+from pagecorpus.session import freeze
 
 # Paddings put around lines: ideographic, no-break and ordinary space, tab, line break.
 PAD = "　  \t\n"
@@ -308,6 +309,54 @@ def rule_coverage(v: Views) -> DataFrame:
     return glossary.rule_coverage(v.doc_blocks, sample_rules(v))
 
 
+TIED_RULES = [(1, ["e"], [("e", "1")]), (1, ["qqq"], [("1", "2")]), (1, ["th"], [("1", "3"), ("t", "4")]), (2, ["a", "zz"], [("3", "5")])]
+
+
+def _sql_tied(start: str) -> str:
+    """Rules by order and then by the text of their JSON form."""
+    ordered = sorted(TIED_RULES, key=lambda r: (r[0], "{\"needles\":[" + ",".join(f'"{n}"' for n in r[1])))
+    text = start
+    for _, needles, replacements in ordered:
+        fires = " OR ".join(f"contains(src, '{n}')" for n in needles)
+        for pattern, value in replacements:
+            text = f"replace({text}, CASE WHEN {fires} THEN '{pattern}' ELSE chr(1) END, '{value}')"
+    return text
+
+
+TIED = f"""WITH {DOC_BLOCKS}, sources AS (
+ SELECT page_key, pos, {sql_compact('original_text')} AS src, {sql_trim('original_text')} AS tr FROM doc_blocks)
+SELECT page_key, pos, form, CASE WHEN src = '' OR tr = '' THEN tr ELSE {sql_clean(_sql_tied('tr'))} END AS refined_text
+FROM sources, (VALUES ('inline'), ('joined')) AS f(form)"""
+
+
+@query(TIED)
+def glossary_ties(v: Views) -> DataFrame:
+    """Rules of equal order, of which some don't apply, in both forms."""
+    rules = v.spark.createDataFrame(TIED_RULES, schema.RULES)
+    blocks = v.doc_blocks.withColumn("translated_text", F.col("original_text"))
+    forms = [
+        glossary.refine(blocks, rules, inline_limit=limit).select("page_key", "pos", F.lit(form).alias("form"), "refined_text")
+        for form, limit in (("inline", 64), ("joined", 0))
+    ]
+    return forms[0].unionByName(forms[1])
+
+
+@query(
+    f"""WITH {DOC_BLOCKS}, words AS (
+ SELECT DISTINCT w FROM (SELECT unnest(string_split(original_text, ' ')) AS w FROM doc_blocks) WHERE length(w) > 0),
+needles AS (SELECT DISTINCT w AS needle, CAST(length(w) AS INTEGER) AS rule_ord FROM words WHERE length(w) IN (1, 3, 6) OR length(w) > 12)
+SELECT DISTINCT page_key, pos, rule_ord FROM (
+ SELECT page_key, pos, {sql_compact('original_text')} AS src FROM doc_blocks) s JOIN needles ON contains(src, needle)"""
+)
+def glossary_matches_large(v: Views) -> DataFrame:
+    """A glossary of thousands of needles, words of the documents, some of one letter."""
+    words = v.doc_blocks.select(F.explode(F.split("original_text", " ")).alias("w")).distinct()
+    length = F.length("w")
+    needles = words.where(length.isin(1, 3, 6) | (length > 12))
+    rules = needles.select(length.alias("rule_ord"), F.array("w").alias("needles"), F.array().cast("array<struct<pattern:string,value:string>>").alias("replacements"))
+    return glossary.matching_rules(v.doc_blocks, freeze(rules))
+
+
 def _json_string(c: Column) -> Column:
     """JSON literal of a string."""
     return F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from pagecorpus.operators import translate as tr
 from pagecorpus.plans.catalogue import query
 from pagecorpus.plans.page_translation import TranslatedPages, TranslationJob, page_records, page_report, translate_pages
+from pagecorpus.plans.page_translation import page_results as results_of
 from pagecorpus.plans.queries_text import refined_sql, sample_rules, sql_trim
 from pagecorpus.plans.views import CONV_BLOCKS, DOC_BLOCKS, Views
-from pagecorpus.operators.blocks import explode_pages
-from pagecorpus.session import freeze, work_path
+from pagecorpus.operators.blocks import assemble_pages, explode_pages
+from pagecorpus.session import freeze, shuffle_partitions, work_path
 from pagecorpus.sources import store
-from pagecorpus.streaming.auto_mode import auto_translate, parquet_arrivals
+from pagecorpus.streaming.auto_mode import auto_translate, parquet_arrivals, verdicts
 from pagecorpus.streaming.progress import page_progress
 
 
@@ -113,6 +114,8 @@ def progress(v: Views) -> DataFrame:
 
 
 JOB = TranslationJob(engine_version="engine-v1")
+# Micro-batches in which the documents arrive.
+BATCHES = 3
 
 
 def _translated(v: Views) -> TranslatedPages:
@@ -159,14 +162,89 @@ def page_translation_records(v: Views) -> DataFrame:
     return rows.select("cache_key", F.col("pos").cast("int").alias("pos"), "original_text", "translated_text")
 
 
+@query(
+    f"""WITH {DOC_BLOCKS}, keyed AS (
+ SELECT doc_id AS page_key, CASE WHEN doc_id % 9 <> 4 THEN concat(sha256(text), '-engine-v1-google-web') END AS cache_key FROM documents),
+blocks AS (SELECT * FROM doc_blocks WHERE page_key % 2 = 1 AND pos % 3 <> 1),
+groups AS (SELECT cache_key, min(page_key) AS any_page, min(page_key) FILTER (WHERE page_key IN (SELECT page_key FROM blocks)) AS with_text
+ FROM keyed WHERE cache_key IS NOT NULL GROUP BY cache_key),
+verdicts AS (SELECT cache_key, count(*) AS n_blocks, bool_or(starts_with(original_text, 'Is')) AS failed
+ FROM groups JOIN blocks ON page_key = with_text GROUP BY cache_key)
+SELECT page_key, k.cache_key, coalesce(n_blocks, 0) AS n_blocks, CASE WHEN k.cache_key IS NULL THEN 'unreadable_page'
+ WHEN n_blocks IS NULL THEN 'no_text_blocks' WHEN failed THEN 'page_failed' ELSE 'translated' END AS outcome
+FROM keyed k LEFT JOIN verdicts v ON k.cache_key = v.cache_key"""
+)
+def page_translation_untidy(v: Views) -> DataFrame:
+    """Copies with blocks on one side only, pages without hash, gaps in the positions."""
+    pages = v.doc_pages.withColumn("sha", F.when(F.col("page_key") % 9 != 4, F.col("sha")))
+    blocks = v.doc_blocks.where((F.col("page_key") % 2 == 1) & (F.col("pos") % 3 != 1))
+    nothing = v.spark.createDataFrame([], "cache_key string")
+    memo = freeze(memory(v))
+    return page_report(
+        translate_pages(pages, blocks, nothing, sample_rules(v), lambda texts: tr.from_memory(texts, memo), JOB)
+    )
+
+
+@query(
+    f"""WITH {_job_sql('page_key IN (SELECT doc_id FROM labels) AND page_key % 10 <> 3')},
+made AS (SELECT cache_key, pos, refined_text AS text, 'translated' AS origin FROM refined),
+old AS (SELECT k.cache_key, pos, concat('old:', original_text) AS text, 'cached' AS origin
+ FROM (SELECT cache_key, min(page_key) AS page_key FROM keyed WHERE page_key IN (SELECT doc_id FROM labels) GROUP BY cache_key) k
+ JOIN doc_blocks b ON b.page_key = k.page_key WHERE k.cache_key NOT IN (SELECT cache_key FROM made))
+SELECT page_key, origin, pos, text FROM keyed JOIN (SELECT * FROM made UNION ALL SELECT * FROM old) r ON r.cache_key = keyed.cache_key"""
+)
+def page_results(v: Views) -> DataFrame:
+    """Every page's blocks after a job: labelled documents were cached, and some of those are done again."""
+    pages = freeze(v.doc_pages)
+    labelled = v.table("labels").select(F.col("doc_id").alias("page_key")).distinct()
+    keyed = freeze(pages.join(labelled, "page_key", "left_semi").select("page_key", JOB.key("sha").alias("cache_key")))
+    # A key is done again unless one of its cached pages is kept.
+    kept = keyed.where(F.col("page_key") % 10 != 3).select("cache_key")
+    forced = keyed.select("cache_key").distinct().join(kept, "cache_key", "left_anti")
+    first = keyed.groupBy("cache_key").agg(F.min("page_key").alias("page_key"))
+    old = v.doc_blocks.join(first, "page_key").withColumn("translated_text", F.concat(F.lit("old:"), "original_text"))
+    cached = freeze(assemble_pages(old, ["original_text", "translated_text"], ["cache_key"]))
+    memo = freeze(memory(v))
+    result = translate_pages(
+        pages, v.doc_blocks, cached, sample_rules(v), lambda texts: tr.from_memory(texts, memo), JOB, force=forced
+    )
+    made = page_records(result, JOB)
+    narrow = F.transform("blocks", lambda x: F.struct(x["pos"].alias("pos"), x["original_text"].alias("original_text"), x["translated_text"].alias("translated_text")))
+    rows = results_of(result, cached, made.withColumn("blocks", narrow))
+    return rows.select("page_key", "origin", "pos", F.col("translated_text").alias("text"))
+
+
 @query(
     f"""WITH {_job_sql('false')}
 SELECT cache_key, pos, original_text, refined_text AS translated_text FROM refined"""
 )
 def auto_mode(v: Views) -> DataFrame:
-    """Documents arrive as a file stream; the table holds what the batch job would give."""
-    root, checkpoint = work_path(v.spark, "auto"), work_path(v.spark, "stream")
-    arrivals = parquet_arrivals(v.spark, v.folder, "documents.parquet", v.table("documents").schema)
+    """Documents arrive in three batches; the table holds what the batch job would give."""
+    root = _automatic(v)
+    rows = explode_pages(store.read_current(v.spark, root), ["cache_key"])
+    return rows.select("cache_key", F.col("pos").cast("int").alias("pos"), "original_text", "translated_text")
+
+
+@query(
+    f"""WITH {_job_sql('false')}
+SELECT page_key, k.cache_key, CASE WHEN failed THEN 'page_failed' ELSE 'done' END AS outcome
+FROM keyed k JOIN verdicts x ON k.cache_key = x.cache_key"""
+)
+def auto_mode_verdicts(v: Views) -> DataFrame:
+    """The last verdict of every page of the same stream; a page may be a copy of an earlier one."""
+    found = verdicts(v.spark, _automatic(v))
+    done = F.col("outcome").isin("translated", "cached")
+    return found.select("page_key", "cache_key", F.when(done, "done").otherwise(F.col("outcome")).alias("outcome"))
+
+
+def _automatic(v: Views) -> str:
+    """Run auto mode over all documents in three batches, copies and failing pages in each."""
+    root, checkpoint, folder = (work_path(v.spark, n) for n in ("auto", "stream", "arrivals"))
+    tasks = max(BATCHES, shuffle_partitions(v.spark))
+    v.table("documents").select("doc_id", "text").repartition(tasks, "doc_id").write.parquet(folder)
+    landed = v.spark.read.parquet(folder)
+    each = -(-len(landed.inputFiles()) // BATCHES)
+    arrivals = parquet_arrivals(v.spark, folder, "*.parquet", landed.schema, each)
     memo = freeze(memory(v))
 
     def to_pages(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,5 +256,4 @@ def auto_mode(v: Views) -> DataFrame:
         arrivals, root, checkpoint, to_pages, sample_rules(v), lambda texts: tr.from_memory(texts, memo), JOB
     )
     run.awaitTermination()
-    rows = explode_pages(store.read_current(v.spark, root), ["cache_key"])
-    return rows.select("cache_key", F.col("pos").cast("int").alias("pos"), "original_text", "translated_text")
+    return root

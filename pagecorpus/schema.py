@@ -8,6 +8,7 @@ BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "width"
 
 BLOCK = T.StructType(
     [
+        T.StructField("pos", T.IntegerType()),
         T.StructField("id", T.StringType()),
         T.StructField("box", BOX),
         T.StructField("original_text", T.StringType()),
@@ -31,6 +32,7 @@ PAGE_DOCUMENT = T.StructType(
                         T.StructField("detectedFontSize", T.DoubleType()),
                         T.StructField("id", T.StringType()),
                         T.StructField("originalText", T.StringType()),
+                        T.StructField("position", T.IntegerType()),
                         T.StructField("sourceIsVertical", T.BooleanType()),
                         T.StructField("translatedText", T.StringType()),
                     ]
@@ -85,3 +87,4 @@ NO_IMAGES = "no_images"
 OVERSIZE = "oversize"
 INVALID_DOCUMENT = "invalid_document"
 INVALID_IMAGE = "invalid_image"
+UNREADABLE_PAGE = "unreadable_page"

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,22 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pagecorpus-{application}/{label}-{uuid.uuid4().hex}"
 
 
+_made = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables frozen inside by this thread are removed at the end; read nothing of them later."""
+    outer, _made.paths = getattr(_made, "paths", None), []
+    try:
+        yield
+    finally:
+        for name in _made.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.paths = outer
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """``df`` as a table on shared storage: computed once, read by all later uses.
 
@@ -41,6 +60,8 @@ def freeze(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, "frozen")
+    if getattr(_made, "paths", None) is not None:
+        _made.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -67,16 +67,24 @@ def quarantined(documents: DataFrame, text: str = "json") -> DataFrame:
 def text_blocks(
     documents: DataFrame, sizes: DataFrame, rules: DataFrame, keys: list[str], text: str = "json", page_name: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(blocks, empty)``: normalised, corrected blocks, and documents left without any.
+    """``(blocks, empty)``: normalised, corrected blocks, and valid documents left without any.
 
-    ``sizes`` gives img_w and img_h per key.
+    ``sizes`` gives img_w and img_h per key, or per key and page_name if it has that column.
+    A document of which a page has no usable size is in ``empty`` with status
+    ``invalid_image``, the others there have ``no_text_blocks``.
     """
-    raw = project_blocks(documents, keys, text, page_name).join(sizes, keys)
+    by = [*keys, "page_name"] if "page_name" in sizes.columns else keys
+    usable = sizes.where((F.col("img_w") > 0) & (F.col("img_h") > 0))
+    raw = project_blocks(documents, keys, text, page_name).join(usable, by)
     content = block_content(normalise_boxes(raw))
     refined = refine(content, rules, [*keys, "page_name", "pos"], out="_refined")
     blocks = refined.withColumn("translated_text", F.col("_refined")).drop("_refined", "text", "translation", "xyxy")
-    valid = parsed(documents, text).where(F.col("status") == schema.OK).select(*keys)
-    empty = valid.join(blocks.select(*keys).distinct(), keys, "left_anti").withColumn(
-        "status", F.lit(schema.NO_TEXT_BLOCKS)
+    valid = parsed(documents, text).where(F.col("status") == schema.OK)
+    named = F.explode_outer(F.map_keys("project.pages")) if page_name is None else F.lit(page_name)
+    pages = valid.select(*keys, named.alias("page_name"))
+    unsized = pages.join(usable.select(*by), by, "left_anti").select(*keys).distinct()
+    without = valid.select(*keys).join(blocks.select(*keys).distinct(), keys, "left_anti").join(unsized, keys, "left_anti")
+    empty = without.withColumn("status", F.lit(schema.NO_TEXT_BLOCKS)).unionByName(
+        unsized.withColumn("status", F.lit(schema.INVALID_IMAGE))
     )
     return blocks, empty

@@ -16,39 +16,42 @@ from pagecorpus.sources.scan import route_inputs
 
 def open_inputs(
     inputs: DataFrame, manifest: DataFrame, entries: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``(pages, problems)`` for ``inputs(path, is_folder)``.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(opened, pages, problems)`` for ``inputs(path, is_folder)``.
 
-    A folder gives its own pages, an image the pages of its folder, an archive the pages
-    among ``entries(archive, entry)``. pages: input, input_kind, path, page_no. problems:
-    input, status ``unsupported`` or ``no_images``. ``manifest(path)`` lists known files.
+    A folder opens its own pages, an image the pages of its folder, an archive the pages
+    among ``entries(archive, entry)``. pages: folder, path, page_no, once per folder or
+    archive however many inputs open it. opened: input, input_kind, folder, page_index (the
+    image's place, else 0). problems: input, status ``unsupported`` or ``no_images``.
+    ``manifest(path)`` lists known files.
     """
     routed = freeze(
-        route_inputs(inputs, is_folder="is_folder").select(F.col("path").alias("input"), "input_kind", "status")
+        route_inputs(inputs, is_folder="is_folder").select(F.col("path").alias("input"), "input_kind", "status").distinct()
     )
-    opened = routed.where(F.col("status") == schema.OK).drop("status")
     folder = F.when(F.col("input_kind") == "image", paths.parent("input")).otherwise(F.col("input"))
-    in_folders = opened.where(F.col("input_kind").isin("folder", "image")).withColumn("folder", folder)
+    opened = routed.where(F.col("status") == schema.OK).select("input", "input_kind", folder.alias("folder"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     visible = manifest.where(paths.is_image("path") & ~F.startswith(name, F.lit(".")))
-    files = visible.select("path", paths.parent("path").alias("folder"))
-    pages = in_folders.join(files, "folder").select("input", "input_kind", "path")
+    files = visible.select("path", paths.parent("path").alias("folder")).distinct()
+    wanted = opened.where(F.col("input_kind").isin("folder", "image")).select("folder").distinct()
+    listed = files.join(wanted, "folder", "left_semi").select("folder", "path")
     if entries is not None:
-        inside = supported_pages(entries.withColumnRenamed("entry", "path"))
-        inside = inside.select(F.col("archive").alias("input"), "path")
-        archives = opened.where(F.col("input_kind") == "archive")
-        pages = pages.unionByName(archives.join(inside, "input").select("input", "input_kind", "path"))
-    found = pages.select("input").distinct()
-    alone = opened.where(F.col("input_kind") == "image").join(found, "input", "left_anti")
-    pages = pages.unionByName(alone.withColumn("path", F.col("input")))
-    keyed = pages.withColumn("_nat", natural_key("path"))
-    numbered = with_positions(keyed, ["input"], ["_nat", "path"]).select(
-        "input", "input_kind", "path", F.col("position").alias("page_no")
-    )
-    empty = opened.where(F.col("input_kind") != "image").join(found, "input", "left_anti")
+        inside = supported_pages(entries.withColumnRenamed("entry", "path")).select(F.col("archive").alias("folder"), "path")
+        archives = opened.where(F.col("input_kind") == "archive").select("folder")
+        listed = listed.unionByName(inside.join(archives.distinct(), "folder", "left_semi").select("folder", "path"))
+    found = freeze(listed.select("folder").distinct())
+    alone = opened.where(F.col("input_kind") == "image").join(found, "folder", "left_anti")
+    listed = listed.unionByName(alone.select("folder", F.col("input").alias("path")))
+    keyed = listed.withColumn("_nat", natural_key("path"))
+    pages = with_positions(keyed, ["folder"], ["_nat", "path"]).select("folder", "path", F.col("position").alias("page_no"))
+    pages = freeze(pages)
+    empty = opened.where(F.col("input_kind") != "image").join(found, "folder", "left_anti")
+    places = pages.select("folder", F.col("path").alias("input"), (F.col("page_no") - 1).alias("page_index"))
+    usable = opened.join(empty.select("input"), "input", "left_anti").join(places, ["folder", "input"], "left")
+    usable = usable.select("input", "input_kind", "folder", F.coalesce("page_index", F.lit(0)).cast("bigint").alias("page_index"))
     problems = (
         routed.where(F.col("status") != schema.OK)
         .select("input", "status")
         .unionByName(empty.select("input", F.lit(schema.NO_IMAGES).alias("status")))
     )
-    return numbered, problems
+    return usable, pages, problems

@@ -15,18 +15,17 @@ from pagecorpus.functions.keys import fingerprint
 from pagecorpus.functions.text import _col
 from pagecorpus.operators.paging import natural_positions, supported_pages
 from pagecorpus.operators.regions import Sampler
+from pagecorpus.sources.remote import hash_in_place, walk
 
 
 def file_manifest(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """``path, rel_path, length, modified`` of the files below ``root``; contents are not read.
 
-    Spark's listing leaves out names that start with ``_`` or ``.``.
+    Names that start with ``_`` or ``.`` are listed too, which Spark's own listing leaves out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     bare = F.regexp_replace("path", "^file:/+", "/")
     below = paths.relative_to(bare, root.removeprefix("file:"))
-    listed = files.select("path", below.alias("rel_path"), "length", F.col("modificationTime").alias("modified"))
-    return listed if recursive else listed.where(~F.contains("rel_path", F.lit("/")))
+    return walk(spark, root, recursive).select("path", below.alias("rel_path"), "length", "modified")
 
 
 def scan_pages(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
@@ -36,9 +35,18 @@ def scan_pages(spark: SparkSession, root: str, recursive: bool = False) -> DataF
 
 
 def fingerprinted(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Supported pages with the SHA-256 of their bytes."""
+    """Supported pages with the SHA-256 of their bytes.
+
+    Pages below names that start with ``_``, which Spark's reader passes over, are hashed
+    as streams.
+    """
+    pages = supported_pages(file_manifest(spark, root, recursive), "rel_path", recursive).select("path", "rel_path", "length")
+    passed_over = F.rlike("rel_path", F.lit("(^|/)_"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.where(paths.is_image("path")).select("path", "length", fingerprint("content").alias("sha"))
+    read = files.where(paths.is_image("path")).select("path", fingerprint("content").alias("sha"))
+    plain = pages.where(~passed_over).join(read, "path").select("path", "length", "sha")
+    streamed = pages.where(passed_over).select("path", "length").mapInPandas(hash_in_place, "path string, length bigint, sha string")
+    return plain.unionByName(streamed)
 
 
 def route_inputs(inputs: DataFrame, path: str = "path", is_folder: str | None = None) -> DataFrame:
@@ -100,34 +108,43 @@ def image_sampler(images: DataFrame) -> Sampler:
 def sample_images(rects: DataFrame, images: DataFrame, rect: str, step: str) -> DataFrame:
     """Light flags of a sampling grid straight from image bytes.
 
-    The bytes are read in the row that holds them and go no further.
+    The rectangles of a page go to the row that holds its bytes, which are read there and
+    go no further; there is one such row per page however many rectangles it has.
     """
-    joined = rects.join(images.select("page_key", "width", "height", "channels", "data"), "page_key")
-    r, s = F.col(rect), F.col(step)
-    rows, cols = g.grid_extent(r, s)
-
-    def line(row: Column) -> Column:
-        py = g.sample_y(r, s, row)
-        start = g.pixel_index(F.col("img_h") - py, F.col("img_h"), F.col("height")) * F.col("width")
-        return F.struct(row.alias("row"), py.alias("py"), start.alias("start"))
-
-    def across(col: Column) -> Column:
-        px = g.sample_x(r, s, col)
-        return F.struct(col.alias("col"), px.alias("px"), g.pixel_index(px, F.col("img_w"), F.col("width")).alias("at"))
-
-    def point(ln: Column, ac: Column) -> Column:
-        light = pixel_is_light(F.col("data"), F.col("channels"), ln["start"] + ac["at"])
-        return F.struct(
-            ln["row"].alias("row"), ac["col"].alias("col"), ac["px"].alias("px"), ln["py"].alias("py"), light.alias("light")
+    own = [c for c in rects.columns if c != "page_key"]
+    gathered = rects.groupBy("page_key").agg(F.collect_list(F.struct(*own)).alias("_rects"))
+    joined = images.select("page_key", "width", "height", "channels", "data").join(gathered, "page_key")
+
+    def sampled(o: Column) -> Column:
+        r, s = o[rect], o[step]
+        rows, cols = g.grid_extent(r, s)
+
+        def line(row: Column) -> Column:
+            py = g.sample_y(r, s, row)
+            start = g.pixel_index(o["img_h"] - py, o["img_h"], F.col("height")) * F.col("width")
+            return F.struct(row.alias("row"), py.alias("py"), start.alias("start"))
+
+        def across(col: Column) -> Column:
+            px = g.sample_x(r, s, col)
+            return F.struct(col.alias("col"), px.alias("px"), g.pixel_index(px, o["img_w"], F.col("width")).alias("at"))
+
+        def point(ln: Column, ac: Column) -> Column:
+            light = pixel_is_light(F.col("data"), F.col("channels"), ln["start"] + ac["at"])
+            fields = [ln["row"].alias("row"), ac["col"].alias("col"), ac["px"].alias("px"), ln["py"].alias("py")]
+            return F.struct(o.alias("_o"), *fields, light.alias("light"))
+
+        axes = F.struct(
+            F.transform(F.sequence(F.lit(0), rows - 1), line).alias("lines"),
+            F.transform(F.sequence(F.lit(0), cols - 1), across).alias("columns"),
         )
+        return _let(axes, lambda a: F.flatten(F.transform(a["lines"], lambda ln: F.transform(a["columns"], lambda ac: point(ln, ac)))))
 
-    lines = F.transform(F.sequence(F.lit(0), rows - 1), line)
-    columns = F.transform(F.sequence(F.lit(0), cols - 1), across)
-    joined = joined.withColumns({"_lines": lines, "_columns": columns})
-    grid = F.flatten(F.transform("_lines", lambda ln: F.transform("_columns", lambda ac: point(ln, ac))))
     # A grid has at least one point. The outer form keeps the planner from testing that,
-    # for which it would work the grid out again.
-    return joined.withColumn("_grid", grid).select(*rects.columns, F.inline_outer("_grid"))
+    # for which it would work the grids out again.
+    points = joined.select("page_key", F.inline_outer(F.flatten(F.transform("_rects", sampled))))
+    return points.select("page_key", "_o.*", "row", "col", "px", "py", "light").select(
+        *rects.columns, "row", "col", "px", "py", "light"
+    )
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,8 @@ that version only, so a repeated batch changes nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,9 @@ RECORD = T.StructType(
     ]
 )
 
+# Prefixes spelled out in a filter; with more of them all partitions are read.
+MAX_PREFIXES = 256
+
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
 
@@ -60,10 +65,13 @@ def _write(rows: DataFrame, root: str, version: int, prefix_length: int) -> None
     )
 
 
-def read_current(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+def read_current(
+    spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None, prefix_length: int = 1
+) -> DataFrame:
     """The records in force: for each cache key those of its last version, unless deleted.
 
-    ``before`` ignores that version and later ones.
+    ``before`` ignores that version and later ones. With ``keys(cache_key)`` only these are
+    looked up, and only in the partitions of their prefixes, of which there are few.
     """
     stored = T.StructType(
         [*RECORD.fields, T.StructField("deleted", T.BooleanType())]
@@ -72,6 +80,11 @@ def read_current(spark: SparkSession, root: str, before: int | None = None) -> D
     log = spark.read.schema(stored).parquet(root)
     if before is not None:
         log = log.where(F.col("version") < before)
+    if keys is not None:
+        prefixes = keys.select(F.left("cache_key", F.lit(prefix_length)).alias("p")).distinct().limit(MAX_PREFIXES + 1).collect()
+        if len(prefixes) <= MAX_PREFIXES:
+            log = log.where(F.col("prefix").isin(*[r.p for r in prefixes]))
+        log = log.join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
     last = log.groupBy("prefix", "cache_key").agg(F.max("version").alias("version"))
     current = log.join(last, ["prefix", "cache_key", "version"], "left_semi")
     return current.where(~F.col("deleted")).select(*RECORD.fieldNames())
@@ -96,6 +109,7 @@ def _document() -> Column:
             b["detected_font_size"].alias("detectedFontSize"),
             b["id"].alias("id"),
             b["original_text"].alias("originalText"),
+            b["pos"].alias("position"),
             b["source_is_vertical"].alias("sourceIsVertical"),
             b["translated_text"].alias("translatedText"),
         )
@@ -111,27 +125,57 @@ def _document() -> Column:
 
 
 def to_documents(records: DataFrame) -> DataFrame:
-    """``cache_key, segment, file_name, json``: indented, keys sorted, ISO-8601 times."""
-    body = F.to_json(_document(), {"pretty": "true", "timestampFormat": ISO_SECONDS})
-    name = F.concat(
-        F.col("cache_key"), F.when(F.col("segment") > 0, F.concat(F.lit("."), F.col("segment"))).otherwise(""), F.lit(".json")
+    """``cache_key, file_name, json``, one document per page: indented, keys sorted, ISO-8601 times.
+
+    The segments of a page become one document again.
+    """
+    rest = [f for f in RECORD.fieldNames() if f not in ("cache_key", "segment", "blocks")]
+    parts = F.array_sort(F.collect_list(F.struct("segment", "blocks")))
+    whole = records.groupBy("cache_key").agg(
+        F.min_by(F.struct(*rest), "segment").alias("_r"), F.flatten(F.transform(parts, lambda p: p["blocks"])).alias("blocks")
     )
-    return records.select("cache_key", "segment", name.alias("file_name"), body.alias("json"))
+    body = F.to_json(_document(), {"pretty": "true", "timestampFormat": ISO_SECONDS})
+    name = F.concat(F.col("cache_key"), F.lit(".json"))
+    return whole.select("cache_key", "_r.*", "blocks").select("cache_key", name.alias("file_name"), body.alias("json"))
 
 
-def from_documents(documents: DataFrame, text: str = "json") -> DataFrame:
-    """Records out of interchange documents (a text column, one document per row)."""
+def _parsed(documents: DataFrame, text: str) -> DataFrame:
+    """Add ``_d`` and ``status``: what the format requires is there, or ``invalid_document``."""
     options = {"timestampFormat": ISO_SECONDS}
     d = documents.withColumn("_d", F.from_json(F.col(text), schema.PAGE_DOCUMENT, options))
 
-    def block(b: Column) -> Column:
+    def incomplete(b: Column) -> Column:
+        needed = [b["id"], b["originalText"], b["translatedText"], b["confidence"]]
+        needed += [b["box"][n] for n in ("x", "y", "width", "height")]
+        return b.isNull() | reduce(Column.__or__, [c.isNull() for c in needed])
+
+    fields = [f.name for f in schema.PAGE_DOCUMENT.fields]
+    present = reduce(Column.__and__, [F.col(f"_d.{f}").isNotNull() for f in fields])
+    valid = F.coalesce(present & ~F.exists("_d.blocks", incomplete), F.lit(False))
+    return d.withColumn("status", F.when(valid, schema.OK).otherwise(schema.INVALID_DOCUMENT))
+
+
+def quarantined_documents(documents: DataFrame, text: str = "json") -> DataFrame:
+    """Interchange documents that can't be used, with their status."""
+    return _parsed(documents, text).where(F.col("status") != schema.OK).drop("_d")
+
+
+def from_documents(documents: DataFrame, text: str = "json") -> DataFrame:
+    """Records out of valid interchange documents (a text column, one document per row).
+
+    A block without a stored position has its place in the list.
+    """
+    d = _parsed(documents, text).where(F.col("status") == schema.OK)
+
+    def block(b: Column, i: Column) -> Column:
         box = F.struct(*[b["box"][n].alias(n) for n in ("x", "y", "width", "height")])
         return F.struct(
+            F.coalesce(b["position"], i).alias("pos"),
             b["id"].alias("id"),
             box.alias("box"),
             b["originalText"].alias("original_text"),
-            F.coalesce(b["translatedText"], F.lit("")).alias("translated_text"),
-            F.coalesce(b["confidence"], F.lit(0.0).cast("float")).alias("confidence"),
+            b["translatedText"].alias("translated_text"),
+            b["confidence"].alias("confidence"),
             b["sourceIsVertical"].alias("source_is_vertical"),
             b["detectedFontSize"].alias("detected_font_size"),
         )

@@ -1,16 +1,26 @@
-"""Auto mode: every newly arrived page is translated once."""
+"""Auto mode: every newly arrived page is translated once, and every page has a verdict."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagecorpus.plans.page_translation import TranslationJob, page_records, translate_pages
-from pagecorpus.session import spread
+from pagecorpus import schema
+from pagecorpus.plans.page_translation import TranslationJob, page_records, page_report, translate_pages
+from pagecorpus.session import freeze, scratch, spread
 from pagecorpus.sources import store
 
+# Outcomes after which a page is worth another try.
+FAILED = (schema.PAGE_FAILED, schema.UNREADABLE_PAGE)
+VERDICT = "page_key {kind}, cache_key string, n_blocks bigint, outcome string"
+
+
+def _verdict_root(root: str) -> str:
+    return f"{root.rstrip('/')}-verdicts"
+
 
 def auto_translate(
     arrivals: DataFrame,
@@ -20,22 +30,27 @@ def auto_translate(
     rules: DataFrame,
     translate: Callable[[DataFrame], DataFrame],
     job: TranslationJob,
+    revisit: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> StreamingQuery:
     """Process all arrivals seen so far, then stop.
 
     ``to_pages`` turns a micro-batch into ``(pages, blocks)``. Batch n writes version
     n + 1 of the table below ``root`` and looks only at earlier versions, so a replayed
     batch writes the same records again. Pages translated earlier, or twice in a batch,
-    are found by cache key; no stream state grows with the corpus.
+    are found by cache key; no stream state grows with the corpus. Each batch also writes
+    the outcome of all its pages, see :func:`verdicts`. ``revisit`` turns the page keys that
+    failed in earlier batches into ``(pages, blocks)``, which are tried again.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = batch_id + 1
-        pages, blocks = to_pages(spread(batch))
-        known = store.read_current(spark, root, before=version).select("cache_key")
-        result = translate_pages(pages, blocks, known, rules, translate, job)
-        store.write_version(page_records(result, job), root, version)
+        with scratch(spark):
+            pages, blocks = to_pages(spread(batch))
+            if revisit is not None and batch_id:
+                failed = freeze(failed_pages(spark, root, pages.schema["page_key"].dataType.simpleString(), batch_id + 1))
+                more_pages, more_blocks = revisit(failed.join(pages.select("page_key"), "page_key", "left_anti"))
+                pages, blocks = pages.unionByName(more_pages), blocks.unionByName(more_blocks)
+            translate_batch(pages, blocks, root, batch_id + 1, rules, translate, job)
 
     store.initialise(arrivals.sparkSession, root)
     return (
@@ -46,9 +61,45 @@ def auto_translate(
     )
 
 
-def parquet_arrivals(spark: SparkSession, folder: str, glob: str, schema) -> DataFrame:
+def translate_batch(
+    pages: DataFrame,
+    blocks: DataFrame,
+    root: str,
+    version: int,
+    rules: DataFrame,
+    translate: Callable[[DataFrame], DataFrame],
+    job: TranslationJob,
+) -> None:
+    """Write records and verdicts of some pages as one version; only their keys are looked up."""
+    spark = pages.sparkSession
+    pages = freeze(pages)
+    keys = freeze(pages.select(job.key("sha").alias("cache_key")).where(F.col("cache_key").isNotNull()).distinct())
+    known = store.read_current(spark, root, before=version, keys=keys).select("cache_key")
+    result = translate_pages(pages, blocks, known, rules, translate, job)
+    store.write_version(page_records(result, job), root, version)
+    page_report(result).write.mode("overwrite").parquet(f"{_verdict_root(root)}/version={version}")
+
+
+def verdicts(spark: SparkSession, root: str, kind: str = "bigint", before: int | None = None) -> DataFrame:
+    """The last outcome of every page seen so far; ``kind`` is the type of its key."""
+    stored = spark.read.schema(VERDICT.format(kind=kind) + ", version bigint").parquet(_verdict_root(root))
+    if before is not None:
+        stored = stored.where(F.col("version") < before)
+    last = F.max_by(F.struct("cache_key", "n_blocks", "outcome"), "version").alias("_v")
+    return stored.groupBy("page_key").agg(last).select("page_key", "_v.*")
+
+
+def failed_pages(spark: SparkSession, root: str, kind: str = "bigint", before: int | None = None) -> DataFrame:
+    """Keys of the pages whose last outcome is a failure."""
+    return verdicts(spark, root, kind, before).where(F.col("outcome").isin(*FAILED)).select("page_key")
+
+
+def parquet_arrivals(spark: SparkSession, folder: str, glob: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """Files of one folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def once_within(arrivals: DataFrame, time: str, delay: str, sha: str = "sha") -> DataFrame:

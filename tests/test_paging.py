@@ -24,24 +24,24 @@ def test_positions_with_one_hot_group(spark, slices):
 
 
 def test_flat_folder_siblings(spark):
-    names = ["10.png", "2.jpg", "note.txt", ".hidden.png", "1.webp"]
-    manifest = spark.createDataFrame([("/r/" + n,) for n in names] + [("/q/x.txt",), ("/r/sub/3.png",)], "path string")
-    selected = spark.createDataFrame([("/r/2.jpg",), ("/q/x.txt",)], "path string")
+    names = ["30.tif", "4.gif", "list.csv", ".cut.png", "3.bmp"]
+    manifest = spark.createDataFrame([("/r/" + n,) for n in names] + [("/q/x.txt",), ("/r/sub/8.png",)], "path string")
+    selected = spark.createDataFrame([("/r/4.gif",), ("/q/x.txt",)], "path string")
     siblings = paging.folder_siblings(manifest, selected)
     rows = siblings.orderBy("folder", "page_no").collect()
-    assert [r.path for r in rows] == ["/q/x.txt", "/r/1.webp", "/r/2.jpg", "/r/10.png"]
+    assert [r.path for r in rows] == ["/q/x.txt", "/r/3.bmp", "/r/4.gif", "/r/30.tif"]
     index = {r.path: r.page_index for r in paging.selected_index(siblings, selected).collect()}
-    assert index == {"/r/2.jpg": 1, "/q/x.txt": 0}
+    assert index == {"/r/4.gif": 1, "/q/x.txt": 0}
 
 
 def test_recursive_scan_and_numbers(spark):
-    names = ["chapter/10.png", "chapter/2.png", "cover.jpg", "notes.txt", "__MACOSX/1.png", "_cover.png"]
+    names = ["ep/21.bmp", "ep/3.bmp", "front.gif", "list.csv", "__MACOSX/1.png", "_cover.png"]
     manifest = spark.createDataFrame([(n,) for n in names], "path string").withColumn("volume", F.lit("v"))
     pages = paging.supported_pages(manifest)
     numbered = paging.page_numbers(pages).orderBy("page_no").collect()
-    assert [r.path for r in numbered] == ["_cover.png", "chapter/2.png", "chapter/10.png", "cover.jpg"]
+    assert [r.path for r in numbered] == ["_cover.png", "ep/3.bmp", "ep/21.bmp", "front.gif"]
     assert [r.page_label for r in numbered] == ["1 / 4", "2 / 4", "3 / 4", "4 / 4"]
-    assert [r.prev_path for r in numbered] == [None, "_cover.png", "chapter/2.png", "chapter/10.png"]
+    assert [r.prev_path for r in numbered] == [None, "_cover.png", "ep/3.bmp", "ep/21.bmp"]
     assert [r.path for r in paging.natural_order(pages).collect()] == [r.path for r in numbered]
     labels = paging.volume_labels(spark.createDataFrame([("v",), ("w",)], "volume string"), pages)
     assert {r.volume: r.page_label for r in labels.collect()} == {"v": "1 / 4", "w": "0 / 0"}

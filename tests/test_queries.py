@@ -1,9 +1,16 @@
 """Every registered query against its SQL twin, and checks of the plans."""
 
+import re
+import sys
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from pagecorpus import session
+from pagecorpus.operators import translate
+from pagecorpus.plans import catalogue, page_translation, queries_translation, queries_text
+from pagecorpus.plans.views import Views
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -21,7 +28,13 @@ def canonical(value):
     return repr(round(value, 9) + 0.0) if isinstance(value, float) else repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+def catalogue_names():
+    """Queries of the library proper; those of the training-data package have tests of their own."""
+    own = "pagecorpus.plans."
+    return sorted(n for n in entry_module.queries() if catalogue.MODULES.get(n, "").startswith(own))
+
+
+@pytest.mark.parametrize("name", catalogue_names())
 def test_query_matches_sql(spark, duck, name):
     result = entry_module.queries()[name](spark, FOLDER)
     columns = sorted(result.columns)
@@ -41,8 +54,46 @@ def test_entry_has_rows(spark):
 PYTHON = {"expand_archives", "enrich_texts"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - PYTHON))
-def test_plans_stay_in_the_engine(spark, name):
-    plan = entry_module.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    for unwanted in ("MapInPandas", "PythonUDF", "ArrowEval", "BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert unwanted not in plan
+UNWANTED = ("MapInPandas", "PythonUDF", "ArrowEval", "BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+@pytest.fixture
+def frozen_plans(monkeypatch):
+    """The plans of all tables written on the way, whichever module writes them."""
+    plans = []
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return session.freeze(df)
+
+    for name, module in list(sys.modules.items()):
+        if name.startswith("pagecorpus.") and getattr(module, "freeze", None) is session.freeze and module is not session:
+            monkeypatch.setattr(module, "freeze", recorded)
+    return plans
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue_names()) - PYTHON))
+def test_plans_stay_in_the_engine(spark, frozen_plans, name):
+    last = entry_module.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    for plan in [*frozen_plans, last]:
+        for unwanted in UNWANTED:
+            assert unwanted not in plan
+
+
+def test_page_job_scans_texts_twice(spark, frozen_plans):
+    """Once for the hashes, once for the blocks; the memo's own table is not the job's."""
+    views = Views(spark, FOLDER)
+    memo = session.freeze(queries_translation.memory(views))
+    pages = page_translation.freeze(views.doc_pages)
+    nothing = spark.createDataFrame([], "cache_key string")
+    result = page_translation.translate_pages(
+        pages,
+        views.doc_blocks,
+        nothing,
+        queries_text.sample_rules(views),
+        lambda texts: translate.from_memory(texts, memo),
+        queries_translation.JOB,
+    )
+    page_translation.page_report(result)
+    scans = sum(len(re.findall(r"FileScan parquet [^\n]*documents.parquet[^\n]*text:string", plan)) for plan in frozen_plans)
+    assert scans == 2

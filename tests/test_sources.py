@@ -1,3 +1,4 @@
+import hashlib
 import struct
 import zipfile
 import zlib
@@ -20,16 +21,17 @@ def png(path, width, height, pixel):
 
 
 def test_scans(spark, tmp_path):
-    for name in ["10.png", "2.jpg", "note.txt", ".hidden.png", "1.webp", "chapter/10.png", "chapter/2 페이지.png", "__MACOSX/9.png"]:
+    for name in ["12.gif", "3.bmp", "list.csv", ".cut.png", "_cover.png", "b/11.tif", "b/4 장.png", "_b/5.jpg", "__MACOSX/3.bmp"]:
         target = tmp_path / name
         target.parent.mkdir(exist_ok=True)
         target.write_bytes(b"x" + name.encode())
     flat = scan.scan_pages(spark, str(tmp_path)).orderBy("position").collect()
-    assert [r.rel_path for r in flat] == ["1.webp", "2.jpg", "10.png"]
+    assert [r.rel_path for r in flat] == ["3.bmp", "12.gif", "_cover.png"]
     deep = scan.scan_pages(spark, str(tmp_path), recursive=True).orderBy("position").collect()
-    assert [r.rel_path for r in deep] == ["1.webp", "2.jpg", "10.png", "chapter/2 페이지.png", "chapter/10.png"]
-    shas = scan.fingerprinted(spark, str(tmp_path)).select("sha").distinct().count()
-    assert shas == 5
+    names = ["3.bmp", "12.gif", "_b/5.jpg", "_cover.png", "b/4 장.png", "b/11.tif"]
+    assert [r.rel_path for r in deep] == names
+    shas = {r.path.split("/")[-1]: r.sha for r in scan.fingerprinted(spark, str(tmp_path)).collect()}
+    assert shas == {n.split("/")[-1]: hashlib.sha256(b"x" + n.encode()).hexdigest() for n in names}
 
 
 def test_manifest_does_not_read_contents(spark, tmp_path):
@@ -44,9 +46,10 @@ def test_archives(spark, tmp_path):
             for entry in entries:
                 z.writestr(entry, b"data of " + entry.encode())
 
-    pack("comic.cbz", ["pages/02.png", "pages/01.jpg", "readme.txt", "__MACOSX/pages/01.jpg", "pages/.03.png", "_04.png"])
-    pack("copy.zip", ["pages/02.png", "pages/01.jpg", "readme.txt", "__MACOSX/pages/01.jpg", "pages/.03.png", "_04.png"])
-    pack("text.zip", ["readme.txt"])
+    inside = ["v1/07.webp", "v1/03.jpeg", "info.xml", "__MACOSX/v1/03.jpeg", "v1/.09.png", "_01.png"]
+    pack("tome.cbz", inside)
+    pack("copy.zip", inside)
+    pack("text.zip", ["info.xml"])
     (tmp_path / "broken.zip").write_bytes(b"PK\x03\x04 not really")
     (tmp_path / "other.rar").write_bytes(b"x")
     found = archives.read_archives(spark, str(tmp_path))
@@ -56,11 +59,11 @@ def test_archives(spark, tmp_path):
     entries = archives.expand_archives(todo)
     pages, problems = archives.archive_pages(entries)
     names = sorted(r.entry for r in pages.collect())
-    assert names == ["_04.png", "pages/01.jpg", "pages/02.png"]
-    assert bytes(pages.where("entry = 'pages/01.jpg'").first().content) == b"data of pages/01.jpg"
+    assert names == ["_01.png", "v1/03.jpeg", "v1/07.webp"]
+    assert bytes(pages.where("entry = 'v1/03.jpeg'").first().content) == b"data of v1/03.jpeg"
     status = {r.archive.split("/")[-1]: r.status for r in problems.collect()}
     assert status == {"broken.zip": "extraction_failed", "text.zip": schema.NO_IMAGES}
-    done = found.where(F.contains("path", F.lit("comic"))).select("archive_sha")
+    done = found.where(F.contains("path", F.lit("tome"))).select("archive_sha")
     assert {r.path.split("/")[-1] for r in archives.pending_archives(found, done).collect()} == {"broken.zip", "text.zip"}
 
 
@@ -78,10 +81,24 @@ def test_archives_too_large_for_a_row_are_opened_in_place(spark, tmp_path):
     assert [r.status for r in problems.collect()] == ["extraction_failed"]
 
 
-def test_archives_nobody_can_open_are_reported(spark):
-    far = spark.createDataFrame([("s3a://x/a.zip", 10, None, None, schema.OVERSIZE)], "path string, length long, archive_sha string, content binary, status string")
-    _, problems = archives.archive_pages(archives.expand_archives(archives.pending_archives(far, far.select("archive_sha"))))
-    assert [r.status for r in problems.collect()] == [schema.OVERSIZE]
+def test_archives_nobody_can_open_are_reported(spark, tmp_path):
+    form = "path string, length long, archive_sha string, content binary, status string"
+    for sha, status in ((None, archives.EXTRACTION_FAILED), ("ab", schema.OK)):
+        gone = spark.createDataFrame([(f"file:{tmp_path}/gone.zip", 10, sha, None, status)], form)
+        found = archives.expand_archives(archives.pending_archives(gone, spark.createDataFrame([], "archive_sha string")))
+        _, problems = archives.archive_pages(found)
+        assert [(r.entry, r.status) for r in problems.collect()] == [(None, archives.EXTRACTION_FAILED)]
+
+
+@pytest.mark.parametrize("in_place", [False, True])
+def test_large_entries_leave_their_siblings_alone(spark, tmp_path, in_place):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name, size in (("film.mkv", 5000), ("1.png", 10), ("2.png", 900), ("3.png", 20)):
+            z.writestr(name, b"z" * size)
+    found = archives.read_archives(spark, str(tmp_path), max_row_bytes=10 if in_place else 10**6)
+    pages, problems = archives.archive_pages(archives.expand_archives(found, max_entry_bytes=100))
+    assert {(r.entry, len(r.content)) for r in pages.collect()} == {("1.png", 10), ("3.png", 20)}
+    assert [(r.entry, r.status) for r in problems.collect()] == [("2.png", schema.OVERSIZE)]
 
 
 def test_images(spark, tmp_path):
@@ -104,40 +121,82 @@ def test_other_channel_counts(spark, channels, data, expected):
 
 
 def test_project_documents(spark):
-    good = '{"pages":{"001.png":[{"xyxy":[1,2,3.5,4],"text":["a","b"],"translation":null,"src_is_vertical":true,"_detected_font_size":12.5}]}}'
-    partial = '{"pages":{"001.png":[{"xyxy":[1,2,3.5,4],"text":["a"]},{"text":["a"]}]}}'
-    rows = [(1, good), (2, partial), (3, "{}"), (4, "nonsense"), (5, '{"pages":{"other.png":[]}}')]
+    good = '{"pages":{"p7.png":[{"xyxy":[2,4,7,8],"text":["x","y"],"translation":null,"src_is_vertical":true,"_detected_font_size":9.5}]}}'
+    partial = '{"pages":{"p7.png":[{"xyxy":[2,4,7,8],"text":["x"]},{"text":["x"]}]}}'
+    rows = [(1, good), (2, partial), (3, "{}"), (4, "nonsense"), (5, '{"pages":{"other.png":[]}}'), (6, good)]
     documents = spark.createDataFrame(rows, "doc int, json string")
     status = {r.doc: r.status for r in project_json.parsed(documents).collect()}
     bad = schema.INVALID_DOCUMENT
-    assert status == {1: "ok", 2: bad, 3: bad, 4: bad, 5: "ok"}
+    assert status == {1: "ok", 2: bad, 3: bad, 4: bad, 5: "ok", 6: "ok"}
     assert {r.doc for r in project_json.quarantined(documents).collect()} == {2, 3, 4}
     sizes = spark.createDataFrame([(i, 10.0, 20.0) for i in range(1, 6)], "doc int, img_w double, img_h double")
     rules = spark.createDataFrame([], schema.RULES)
-    blocks, empty = project_json.text_blocks(documents, sizes, rules, ["doc"], page_name="001.png")
+    blocks, empty = project_json.text_blocks(documents, sizes, rules, ["doc"], page_name="p7.png")
     row = blocks.first()
-    assert blocks.count() == 1 and (row.original_text, row.translated_text, row.confidence) == ("a\nb", "", 1.0)
-    assert row.box.asDict() == {"x": 0.1, "y": 0.1, "width": 0.25, "height": 0.1}
-    assert (row.source_is_vertical, row.detected_font_size) == (True, 12.5)
-    assert [(r.doc, r.status) for r in empty.collect()] == [(5, schema.NO_TEXT_BLOCKS)]
+    assert blocks.count() == 1 and (row.original_text, row.translated_text, row.confidence) == ("x\ny", "", 1.0)
+    assert row.box.asDict() == {"x": 0.2, "y": 0.2, "width": 0.5, "height": 0.2}
+    assert (row.source_is_vertical, row.detected_font_size) == (True, 9.5)
+    assert {(r.doc, r.status) for r in empty.collect()} == {(5, schema.NO_TEXT_BLOCKS), (6, schema.INVALID_IMAGE)}
+
+
+def test_sizes_by_page(spark):
+    block = '{"xyxy":[2,4,7,8],"text":["x"]}'
+    documents = spark.createDataFrame([(1, f'{{"pages":{{"a.png":[{block}],"b.png":[{block}]}}}}')], "doc int, json string")
+    rules = spark.createDataFrame([], schema.RULES)
+    sizes = spark.createDataFrame([(1, "a.png", 10.0, 20.0), (1, "b.png", 20.0, 40.0)], "doc int, page_name string, img_w double, img_h double")
+    blocks, empty = project_json.text_blocks(documents, sizes, rules, ["doc"])
+    assert {(r.page_name, r.box.x, r.box.y) for r in blocks.collect()} == {("a.png", 0.2, 0.2), ("b.png", 0.1, 0.1)}
+    assert empty.count() == 0
+    _, empty = project_json.text_blocks(documents, sizes.where("page_name = 'a.png'"), rules, ["doc"])
+    assert [r.status for r in empty.collect()] == [schema.INVALID_IMAGE]
 
 
-def record(spark, key, text, stamp="2024-01-02 03:04:05"):
-    block = (f"id-{key}", (0.1, 0.2, 0.3, 0.4), "テスト", text, 0.9, None, None)
-    row = (key, 0, "/tmp/page.png", "ja", "ko", None, [block])
+def record(spark, key, text, stamp="2021-11-30 21:08:07", positions=(0,), segment=0):
+    blocks = [(p, f"id-{key}-{p}", (0.5, 0.25, 0.125, 0.375), "見本", text, 0.75, None, None) for p in positions]
+    row = (key, segment, "/srv/scan 4.png", "ja", "ko", None, blocks)
     df = spark.createDataFrame([row], store.RECORD)
     return df.withColumn("created_at", F.to_timestamp(F.lit(stamp)))
 
 
 def test_document_json_round_trip(spark):
-    document = store.to_documents(record(spark, "abc123", "테스트")).first()
-    assert document.file_name == "abc123.json"
+    document = store.to_documents(record(spark, "k-09", "견본")).first()
+    assert document.file_name == "k-09.json"
     text = document.json
-    assert '"createdAt" : "2024-01-02T03:04:05Z"' in text
+    assert '"createdAt" : "2021-11-30T21:08:07Z"' in text
     order = [text.index(f'"{k}"') for k in ("blocks", "createdAt", "imageFingerprint", "imageURL", "sourceLanguage", "targetLanguage")]
     assert order == sorted(order) and text.count("\n") > 5
     again = store.from_documents(spark.createDataFrame([(text,)], "json string"))
-    assert again.collect() == record(spark, "abc123", "테스트").collect()
+    assert again.collect() == record(spark, "k-09", "견본").collect()
+
+
+def test_positions_and_segments_survive_json(spark):
+    stored = record(spark, "k", "x", positions=(0, 2)).union(record(spark, "k", "x", positions=(5, 6, 9), segment=1))
+    documents = store.to_documents(stored)
+    assert documents.count() == 1
+    back = store.from_documents(documents).first()
+    assert [b.pos for b in back.blocks] == [0, 2, 5, 6, 9] and back.segment == 0
+    bare = documents.select(F.regexp_replace("json", r'"position" : \d+,\s*', "").alias("json"))
+    assert [b.pos for b in store.from_documents(bare).first().blocks] == [0, 1, 2, 3, 4]
+
+
+def test_broken_documents_are_quarantined(spark):
+    text = store.to_documents(record(spark, "k", "x")).first().json
+    rows = [text, "{broken", text.replace('"box"', '"bax"'), text.replace('"imageURL"', '"url"'), None, "[]"]
+    documents = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, json string")
+    assert {(r.i, r.status) for r in store.quarantined_documents(documents).collect()} == {(i, schema.INVALID_DOCUMENT) for i in range(1, 6)}
+    assert [r.cache_key for r in store.from_documents(documents).collect()] == ["k"]
+
+
+def test_read_by_key(spark, tmp_path):
+    root = str(tmp_path / "t")
+    store.initialise(spark, root)
+    store.write_version(record(spark, "00ab", "one").union(record(spark, "f1", "two")), root, 1)
+    store.write_version(record(spark, "f1", "three"), root, 2)
+    wanted = spark.createDataFrame([("f1",), ("zz",)], "cache_key string")
+    found = store.read_current(spark, root, keys=wanted)
+    assert [(r.cache_key, r.blocks[0].translated_text) for r in found.collect()] == [("f1", "three")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [prefix" in plan
 
 
 def test_read_document_files(spark, tmp_path):

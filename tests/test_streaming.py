@@ -2,9 +2,10 @@ from pyspark.sql import functions as F
 
 from pagecorpus import schema
 from pagecorpus.operators import translate as tr
-from pagecorpus.plans.page_translation import TranslationJob, page_records, page_report, translate_pages
+from pagecorpus.operators.cache import cache_hits
+from pagecorpus.plans.page_translation import TranslationJob, page_records, page_report, page_results, translate_pages
 from pagecorpus.sources import store
-from pagecorpus.streaming.auto_mode import auto_translate, parquet_arrivals
+from pagecorpus.streaming.auto_mode import auto_translate, failed_pages, parquet_arrivals, verdicts
 from pagecorpus.streaming.progress import observed, page_progress
 
 JOB = TranslationJob(engine_version="engine-v1")
@@ -39,6 +40,58 @@ def test_new_pages_are_translated_once(spark, tmp_path):
     second = arrive([(6, "c"), (7, "d\nc")])
     assert set(second) == {("A", "bee"), ("C",), ("D", "C")}
     assert second[("C",)] == first[("C",)]
+    outcome = {r.page_key: r.outcome for r in verdicts(spark, root, "int").collect()}
+    failed = {4: schema.NO_TEXT_BLOCKS, 5: schema.PAGE_FAILED}
+    assert outcome == {1: "translated", 2: "translated", 3: "translated", 6: "cached", 7: "translated"} | failed
+    assert [r.page_key for r in failed_pages(spark, root, "int").collect()] == [5]
+
+
+def test_failed_pages_come_back(spark, tmp_path):
+    folder, root, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    rules = spark.createDataFrame([], schema.RULES)
+    mended = spark.createDataFrame([(1, "a\nb"), (2, "z")], DOCUMENT)
+
+    def again(failed):
+        return to_pages(mended.join(failed, "page_key", "left_semi"))
+
+    for rows in ([(1, "a\n \nb"), (2, "c")], [(3, "d")]):
+        spark.createDataFrame(rows, DOCUMENT).coalesce(1).write.mode("append").parquet(folder)
+        arrivals = parquet_arrivals(spark, folder, "*.parquet", DOCUMENT, files_per_batch=1)
+        auto_translate(arrivals, root, checkpoint, to_pages, rules, shout, JOB, revisit=again).awaitTermination()
+    texts = {tuple(b.translated_text for b in r.blocks) for r in store.read_current(spark, root).collect()}
+    assert texts == {("A", "B"), ("C",), ("D",)}
+    assert failed_pages(spark, root, "int").count() == 0
+
+
+def test_untidy_pages(spark):
+    """Blocks on the second copy only, gaps in positions, two pages without hash."""
+    pages = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, None), (4, None)], "page_key int, sha string")
+    blocks = spark.createDataFrame([(2, 0, "a"), (2, 5, "b"), (3, 0, "c")], "page_key int, pos int, original_text string")
+    rules = spark.createDataFrame([], schema.RULES)
+    nothing = spark.createDataFrame([], "cache_key string")
+    result = translate_pages(pages, blocks, nothing, rules, shout, JOB)
+    outcome = {r.page_key: r.outcome for r in page_report(result).collect()}
+    assert outcome == {1: "translated", 2: "translated", 3: schema.UNREADABLE_PAGE, 4: schema.UNREADABLE_PAGE}
+    records = page_records(result, JOB)
+    assert [(r.image_url, [b.pos for b in r.blocks]) for r in records.collect()] == [("2", [0, 5])]
+    rows = page_results(result, records.limit(0), records)
+    assert {(r.page_key, r.pos, r.translated_text) for r in rows.collect()} == {(k, p, t) for k in (1, 2) for p, t in ((0, "A"), (5, "B"))}
+
+
+def test_forced_pages(spark):
+    pages = spark.createDataFrame([(1, "aa"), (2, "bb")], "page_key int, sha string")
+    blocks = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "page_key int, pos int, original_text string")
+    cache = pages.select(JOB.key("sha").alias("cache_key"))
+    forced = cache.where("cache_key LIKE 'bb%'")
+    result = translate_pages(pages, blocks, cache, spark.createDataFrame([], schema.RULES), shout, JOB, force=forced)
+    assert {r.page_key: r.outcome for r in page_report(result).collect()} == {1: "cached", 2: "translated"}
+    assert result.hits.count() == 1
+
+
+def test_repeated_cache_records_are_one_hit(spark):
+    pages = spark.createDataFrame([("a",), ("b",)], "cache_key string")
+    stored = spark.createDataFrame([("a", 0), ("a", 1)], "cache_key string, segment int")
+    assert cache_hits(pages, stored).count() == 1
 
 
 def test_batch_report_and_replay(spark, tmp_path):

@@ -33,12 +33,12 @@ def test_bounded_calls_keep_order(spark, tmp_path):
         return f"{target}: {text}"
 
     state.pop("lock", None)
-    blocks = spark.createDataFrame([(1, i, t) for i, t in enumerate("一二三")], BLOCKS)
+    blocks = spark.createDataFrame([(1, i, t) for i, t in enumerate("春夏冬")], BLOCKS)
     done = tr.memo_translate(blocks, lambda texts: tr.enrich(texts, slow, concurrency=2, tasks=1))
-    assert [r.translated_text for r in done.orderBy("pos").collect()] == ["ko: 一", "ko: 二", "ko: 三"]
+    assert [r.translated_text for r in done.orderBy("pos").collect()] == ["ko: 春", "ko: 夏", "ko: 冬"]
     seen = [line.split() for line in open(log)]
     assert max(int(n) for n, _ in seen) == 2
-    assert sorted(t for _, t in seen) == sorted("一二三")
+    assert sorted(t for _, t in seen) == sorted("春夏冬")
 
 
 def test_each_distinct_text_is_translated_once(spark, tmp_path):
