@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagecorpus.llm.common import FILE, ROW, located, without
 from pagecorpus.operators.components import component_roots
@@ -55,7 +56,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
