@@ -211,20 +211,25 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = LENGTH) -> li
     shortest = min(histogram, default=0)
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
-        while left:
-            room = max(open_packs, default=0)
-            if room < size:
-                lengths, count, room = (), left, capacity
-            else:
-                lengths, count = open_packs[room].pop()
-                if not open_packs[room]:
-                    del open_packs[room]
+
+        def place(lengths: tuple[int, ...], count: int, room: int) -> None:
+            (open_packs[room] if room >= shortest else closed).append((lengths, count))
+
+        while left and max(open_packs, default=0) >= size:
+            room = max(open_packs)
+            lengths, count = open_packs[room].pop()
+            if not open_packs[room]:
+                del open_packs[room]
             used = min(count, left)
-            if count > used and lengths:
-                open_packs[room].append((lengths, count - used))
+            if count > used:
+                place(lengths, count - used, room)
+            place((*lengths, size), used, room - size)
             left -= used
-            after = room - size
-            (open_packs[after] if after >= shortest else closed).append(((*lengths, size), used))
+        # A fresh pack has most room, so it takes the length as often as it fits.
+        each = capacity // size
+        for copies, count in ((each, left // each), (left % each, 1)):
+            if copies and count:
+                place((size,) * copies, count, capacity - copies * size)
     packs = closed + [p for group in open_packs.values() for p in group]
     merged: dict[tuple[int, ...], int] = defaultdict(int)
     for lengths, count in packs:
