@@ -70,7 +70,8 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     held_out = is_remainder("doc_id", 4, 2)
-    labelled = toxicity.with_labels(docs.where(~held_out), table(spark, folder, "labels", "doc_id", "toxic"))
+    labels = table(spark, folder, "labels", "doc_id", "toxic").where(~held_out)
+    labelled = toxicity.with_labels(docs, labels)
     scored = toxicity.toxicity(docs, labelled)
     predicted = (F.col("score") >= toxicity.CUT).cast("int").alias("predicted")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted, F.col("toxic").alias("toxic_in_language"))
