@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The factors, shares and pixel limits in the functions below.
+
 VERTICAL = "vertical"
 HORIZONTAL = "horizontal"
 

@@ -119,7 +119,8 @@ def _matching(blocks: DataFrame, rules: DataFrame, keys: Sequence[str], source:
     lengths = sorted(r["_n"] for r in heads.select("_n").distinct().collect())  # GRAM rows at most
     sources = blocks.select(*keys, compact(F.coalesce(F.col(source), F.lit(""))).alias("_src"))
     if not lengths:
-        return sources.limit(0).crossJoin(rules.select(*named).limit(0)).select(*keys, *named)
+        nothing = [F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in named]
+        return sources.limit(0).select(*keys, *nothing)
 
     def grams(n: int) -> Column:
         own = F.array_distinct(F.regexp_extract_all("_src", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pagecorpus.functions import geometry as g
 from pagecorpus.functions.text import _col
 
+# The factors, shares and size limits in the functions below.
+
 
 @dataclass(frozen=True)
 class AdvanceWidths:

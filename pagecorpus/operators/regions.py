@@ -18,6 +18,8 @@ from pagecorpus.session import freeze
 # (rectangles, rectangle column, step column) -> grid points with a ``light`` flag.
 Sampler = Callable[[DataFrame, str, str], DataFrame]
 
+# The scores, shares and limits in the functions below.
+
 # Side of a tile in cells; components are found inside tiles, then stitched together.
 TILE = 32
 # Columns per bucket of the rectangle-cell join.

@@ -147,6 +147,7 @@ def sample_images(rects: DataFrame, images: DataFrame, rect: str, step: str) ->
     )
 
 
+# The default names below.
 @dataclass(frozen=True)
 class ArtefactNames:
     """Where a run leaves its files, below ``root/<cache key>/``; ``{run}`` is the key."""
