@@ -12,11 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagecorpus.llm.common import FILE, ROW, located, without
 from pagecorpus.operators.components import component_roots
@@ -56,10 +55,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Identifier and fingerprint; texts become Python strings one at a time."""
+    for batch in batches:
+        prints = pa.array((fingerprint(t.as_py()) for t in batch.column(1)), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "f"])
 
 
 def as_hex(value: Column) -> Column:
@@ -101,7 +101,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     at. An empty table gives no rows.
     """
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
-    prints = freeze(rows.select("doc_id", _fingerprints("_text").alias("f")))
+    prints = freeze(rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, f bigint"))
     distinct = freeze(prints.groupBy("f").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
     roots = component_roots(fingerprint_links(distinct, "f"), [])
     # A fingerprint without links is its own root.
