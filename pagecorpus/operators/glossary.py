@@ -14,14 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus.functions.text import clean_breaks, compact, utrim
-from pagecorpus.session import freeze
+from pagecorpus.session import broadcast_if_small, freeze
 
 # Up to this many replacements are written out as one expression; a larger glossary is joined.
 INLINE_LIMIT = 64
 # Characters of the longest gram that needles are looked up by.
 GRAM = 4
-# Rows and bytes of a needle table up to which it is broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def _rule_key() -> Column:
@@ -126,7 +124,7 @@ def _matching(blocks: DataFrame, rules: DataFrame, keys: Sequence[str], source:
         own = F.array_distinct(F.regexp_extract_all("_src", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
         return F.transform(own, lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_gram")))
 
-    met = sources.select(*keys, F.inline(F.concat(*[grams(n) for n in lengths]))).join(_small(heads), ["_n", "_gram"])
+    met = sources.select(*keys, F.inline(F.concat(*[grams(n) for n in lengths]))).join(broadcast_if_small(heads), ["_n", "_gram"])
     exact = met.where(F.length("_needle") <= GRAM).select(*keys, *named)
     if max(lengths) < GRAM:
         return exact
@@ -135,12 +133,6 @@ def _matching(blocks: DataFrame, rules: DataFrame, keys: Sequence[str], source:
     return exact.unionByName(checked.select(*keys, *named))
 
 
-def _small(heads: DataFrame) -> DataFrame:
-    """A frozen table with a broadcast hint if its rows and its bytes are few."""
-    size = heads.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("_needle") * 2 + 64), F.lit(0)).alias("b")).first()
-    return F.broadcast(heads) if size.n <= BROADCAST_ROWS and size.b <= BROADCAST_BYTES else heads
-
-
 def rule_coverage(
     blocks: DataFrame,
     rules: DataFrame,

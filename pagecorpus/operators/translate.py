@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagecorpus import schema
 from pagecorpus.functions.text import WHITE_SPACE, is_blank, utrim
 from pagecorpus.operators.skew import spread_lookup
-from pagecorpus.session import freeze
+from pagecorpus.session import freeze, is_small
 
 Translator = Callable[[str, str, str], str]
 
@@ -146,7 +146,7 @@ def split_pages(blocks: DataFrame, key: str = "page_key", pos: str = "pos") -> t
     failing = F.count_if(F.col("status") != schema.OK)
     per_page = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("_uses"), failing.alias("n_failed"))
     failed = freeze(per_page.where(F.col("n_failed") > 0))
-    if failed.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES:
+    if is_small(failed, BROADCAST_PAGES):
         marked = blocks.join(F.broadcast(failed.drop("_uses")), key, "left")
     else:
         marked = spread_lookup(blocks, failed, [key], "_uses", [pos], how="left")

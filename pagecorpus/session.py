@@ -37,6 +37,9 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pagecorpus-{application}/{label}-{uuid.uuid4().hex}"
 
 
+# Bytes of a table up to which a broadcast is hinted.
+MAX_BROADCAST_BYTES = 64 << 20
+
 _made = threading.local()
 
 
@@ -66,12 +69,20 @@ def freeze(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether a table has few rows and few bytes. Reads at most ``max_rows + 1`` rows."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    per_row = sum(texts, F.lit(16 * len(df.columns)))
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(per_row), F.lit(0)).alias("b")).first()
+    return row.n <= max_rows and row.b <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting; beyond ``max_rows`` Spark shuffles instead.
+    """Hint a broadcast only after counting rows and bytes; a larger table Spark shuffles.
 
     ``df`` should be cheap to count: frozen, or a small read.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
