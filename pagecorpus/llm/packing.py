@@ -49,7 +49,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.index: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(KEPT, dtype=np.int64), np.zeros(KEPT, dtype=np.int64)
+        self.starts, self.sizes = np.zeros(KEPT + BLOCK, dtype=np.int64), np.zeros(KEPT + BLOCK, dtype=np.int64)
         self.pool, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         # Every character of a byte-level token stands for one byte.
@@ -90,15 +90,11 @@ class Encoder:
         if not parts[0]:
             parts = parts[1:]
         new = list({p: None for p in parts if p not in self.index})
-        if len(self.index) + len(new) > KEPT:
-            self.index, self.used = {}, 0
-            new = list(dict.fromkeys(parts))
-            if len(new) > KEPT:
-                return self.whole(text)
+        known, used = len(self.index), self.used
         # Strings with a blank in front can stand one after the other; others start a text.
-        bare = [p for p in new if p[0] not in " \n"]
-        for p in bare:
-            self._learn([p])
+        for p in new:
+            if p[0] not in " \n":
+                self._learn([p])
         rest = [p for p in new if p[0] in " \n"]
         if rest:
             self._learn(rest)
@@ -106,7 +102,13 @@ class Encoder:
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         places = np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + sizes, sizes)
-        return self.pool[places]
+        ids = self.pool[places]
+        if known + len(new) > KEPT:
+            # Full: what is known stays, the strings of this block are forgotten again.
+            for p in new:
+                del self.index[p]
+            self.used = used
+        return ids
 
 
 @lru_cache(maxsize=1)
