@@ -18,8 +18,9 @@ from pagecorpus.session import broadcast_if_small, freeze
 
 # Up to this many replacements are written out as one expression; a larger glossary is joined.
 INLINE_LIMIT = 64
-# Characters of the longest gram that needles are looked up by.
-GRAM = 4
+# Lengths of the grams that needles are looked up by: the longest that fits a needle. Longer
+# grams keep needles with a common beginning apart.
+GRAMS = (1, 2, 3, 4, 6, 8, 12, 16)
 
 
 def _rule_key() -> Column:
@@ -106,15 +107,15 @@ def matching_rules(
 def _matching(blocks: DataFrame, rules: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
     """``keys`` with the columns of the rules that apply, repeats possible.
 
-    A needle is looked up by its first characters, four or all it has, among the distinct
-    grams of that length of a block: an equi join. Up to four characters that settles it;
-    for longer needles the few candidates are checked against the source.
+    A needle is looked up by its first characters, as many as the longest of ``GRAMS`` that
+    fits, among the distinct grams of that length of a block: an equi join. If that is the
+    whole needle it is settled; otherwise the candidates are checked against the source.
     """
     named = [c for c in rules.columns if c in ("rule_ord", "_rule")]
     needles = rules.select(*named, F.explode("needles").alias("_needle")).where(F.length("_needle") > 0).distinct()
-    size = F.least(F.length("_needle"), F.lit(GRAM))
+    size = F.greatest(*[F.when(F.length("_needle") >= n, F.lit(n)) for n in GRAMS[1:]], F.lit(GRAMS[0]))
     heads = freeze(needles.select(*named, "_needle", size.alias("_n"), F.left("_needle", size).alias("_gram")))
-    lengths = sorted(r["_n"] for r in heads.select("_n").distinct().collect())  # GRAM rows at most
+    lengths = sorted(r["_n"] for r in heads.select("_n").distinct().collect())  # as many rows as GRAMS has
     sources = blocks.select(*keys, compact(F.coalesce(F.col(source), F.lit(""))).alias("_src"))
     if not lengths:
         nothing = [F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in named]
@@ -125,10 +126,10 @@ def _matching(blocks: DataFrame, rules: DataFrame, keys: Sequence[str], source:
         return F.transform(own, lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_gram")))
 
     met = sources.select(*keys, F.inline(F.concat(*[grams(n) for n in lengths]))).join(broadcast_if_small(heads), ["_n", "_gram"])
-    exact = met.where(F.length("_needle") <= GRAM).select(*keys, *named)
-    if max(lengths) < GRAM:
+    exact = met.where(F.length("_needle") == F.col("_n")).select(*keys, *named)
+    if heads.where(F.length("_needle") > F.col("_n")).isEmpty():
         return exact
-    open_pairs = met.where(F.length("_needle") > GRAM).select(*keys, *named, "_needle")
+    open_pairs = met.where(F.length("_needle") > F.col("_n")).select(*keys, *named, "_needle")
     checked = open_pairs.join(sources, list(keys)).where(F.contains("_src", F.col("_needle")))
     return exact.unionByName(checked.select(*keys, *named))
 
