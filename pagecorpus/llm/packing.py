@@ -28,7 +28,7 @@ from pagecorpus.session import freeze, spread
 LENGTH, END = 2048, 1
 TOKENIZER = "byte_bpe_50k.json"
 #: Strings between blanks whose ids a worker keeps, and characters it works on at once.
-KEPT, BLOCK = 250_000, 1 << 20
+KEPT, BLOCK = 600_000, 1 << 20
 #: Pieces per hash bucket in which ranks are counted.
 BUCKET_ROWS = 100_000
 
