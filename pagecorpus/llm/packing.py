@@ -43,13 +43,14 @@ class Encoder:
     before such a place are encoded as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.index: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(KEPT + BLOCK, dtype=np.int64), np.zeros(KEPT + BLOCK, dtype=np.int64)
+        self.kept = kept
+        self.starts, self.sizes = np.zeros(kept + BLOCK, dtype=np.int64), np.zeros(kept + BLOCK, dtype=np.int64)
         self.pool, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         # Every character of a byte-level token stands for one byte.
@@ -103,7 +104,7 @@ class Encoder:
         ends = np.cumsum(sizes)
         places = np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + sizes, sizes)
         ids = self.pool[places]
-        if known + len(new) > KEPT:
+        if known + len(new) > self.kept:
             # Full: what is known stays, the strings of this block are forgotten again.
             for p in new:
                 del self.index[p]
@@ -112,9 +113,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT) -> Encoder:
     """One encoder per worker process, so that what it has learned outlives a task."""
-    return Encoder(path)
+    return Encoder(path, kept)
 
 
 def _unsafe(text: str) -> bool:
@@ -150,11 +151,14 @@ def tokenised(
     tokenizer: str | None = None,
     end: int = END,
     with_ids: bool = False,
+    strings: int = KEPT,
+    retain: bool = True,
 ) -> DataFrame:
     """Pieces of at most ``length`` ids: ``(doc_id, start, length, ids_crc32, doc_tokens[, ids])``.
 
     A document's ids and the end id are cut from the front into full pieces and a rest.
-    ``tokenizer`` is the path of a tokenizer file on the executors. A null text is empty and
+    ``tokenizer`` is the path of a tokenizer file on the executors. A worker keeps the ids of
+    ``strings`` strings; without ``retain`` it gives that memory back after each task. A null text is empty and
     has one piece, the end id. Identifiers may be null or repeat; other columns are not
     looked at; an empty table gives no pieces.
     """
@@ -163,7 +167,7 @@ def tokenised(
     form = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer or default_tokenizer())
+        own = (encoder if retain else Encoder)(tokenizer or default_tokenizer(), strings)
         for batch in batches:
             origin, starts, sizes, checks, totals, kept, held = [], [], [], [], [], [], 0
 

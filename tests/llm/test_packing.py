@@ -45,11 +45,11 @@ def test_ids_of_any_blanks(text):
 
 
 def test_ids_of_documents_with_a_small_cache_and_small_blocks(plain, monkeypatch):
-    monkeypatch.setattr(packing, "KEPT", 300)
     monkeypatch.setattr(packing, "BLOCK", 500)
-    small = packing.Encoder(PATH)
+    small = packing.Encoder(PATH, kept=300)
     for row in documents()[:60]:
         assert small.encode(row["text"]).tolist() == plain(row["text"])
+    assert len(small.index) <= 300
 
 
 @settings(max_examples=60, deadline=None)
