@@ -15,6 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,9 @@ class Encoder:
         parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         if not parts[0]:
             parts = parts[1:]
-        new = list({p: None for p in parts if p not in self.index})
+        at = np.fromiter(map(self.index.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        missing = np.flatnonzero(at < 0)
+        new = list(dict.fromkeys(parts[i] for i in missing))
         known, used = len(self.index), self.used
         # Strings with a blank in front can stand one after the other; others start a text.
         for p in new:
@@ -99,7 +102,7 @@ class Encoder:
         rest = [p for p in new if p[0] in " \n"]
         if rest:
             self._learn(rest)
-        at = np.fromiter(map(self.index.__getitem__, parts), dtype=np.int64, count=len(parts))
+        at[missing] = [self.index[parts[i]] for i in missing]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         places = np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + sizes, sizes)
