@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus.llm.common import FILE, ROW, located, without
+from pagecorpus.llm.minhash import near_links
 from pagecorpus.operators.components import component_roots
-from pagecorpus.session import freeze, spread
+from pagecorpus.session import broadcast_if_small, freeze, spread
 
 RADIUS = 2
 SEED = 42
@@ -115,13 +116,21 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of its smallest identifier.
+    """``docs`` with one row of each group of near copies, that of its smallest identifier.
 
-    Of rows that share it the first by file and row stays; a null comes after all others.
+    Near copies share 0.8 of their five-word shingles (:mod:`pagecorpus.llm.minhash`); groups
+    are closed over links. Of rows that share the identifier the first by file and row stays;
+    a null comes after all others.
     """
     source = docs if docs.inputFiles() else freeze(docs)
-    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), FILE, ROW)
     rows = located(source, source.columns)
-    groups = simhash_groups(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(f"doc_id.{FILE}", f"doc_id.{ROW}")
-    return without(rows, gone)
+    place = F.struct(FILE, ROW)
+    keys, links = near_links(rows.select(place.alias("key"), F.col(text).alias("text")))
+    linked = freeze(component_roots(links, []).join(keys, "node").select("root", f"key.{FILE}", f"key.{ROW}"))
+    # All columns of a row but its identifier may be large, so only the linked rows' identifiers are joined.
+    ids = rows.select(FILE, ROW, F.col(doc_id).isNull().alias("__llm_none"), F.col(doc_id).alias("__llm_id"))
+    ordered = freeze(ids.join(broadcast_if_small(linked), [FILE, ROW]))
+    order = F.struct("__llm_none", "__llm_id", FILE, ROW)
+    first = ordered.groupBy("root").agg(F.min(order).alias("first"))
+    stay = first.select(F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{ROW}").alias(ROW))
+    return without(rows, ordered.join(broadcast_if_small(freeze(stay)), [FILE, ROW], "left_anti"))
