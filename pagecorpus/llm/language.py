@@ -136,7 +136,9 @@ def predict(text: str | None, filters: Filters) -> tuple[str, float, float]:
 def _sample(labelled: DataFrame, text: str, lang: str, per_language: int) -> DataFrame:
     """At most ``per_language`` distinct texts of each language, chosen by their hash."""
     rows = labelled.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).where("_text IS NOT NULL AND _lang IS NOT NULL")
-    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    # Copies of a text are one, so the share that is kept follows the distinct texts.
+    distinct = rows.select("_lang", F.xxhash64("_text").alias("_digest")).distinct()
+    sizes = distinct.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
     names = sizes.orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES)
     key = F.pmod(F.xxhash64("_text"), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     few = rows.withColumn("_key", key).join(F.broadcast(names), "_lang").where(F.col("_key") * F.col("_n") <= 2 * per_language)
