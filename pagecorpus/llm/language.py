@@ -1,7 +1,8 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-One table of 64-bit slots serves all languages: bit l of a slot belongs to language l. The
-AND of an n-gram's slots returns every language that contains it in one look-up. For a text
+One table of 64-bit slots serves 64 languages: bit l of a slot belongs to language l. The
+AND of an n-gram's slots returns every language that contains it in one look-up per table;
+there are as many tables as all languages need. For a text
 the bits are counted per language, the counts are corrected for the filters' false
 positives, and the language with the largest corrected count decides.
 """
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagecorpus.session import freeze, spread
+from pagecorpus.session import broadcast_if_small, freeze, spread
 
 UNDETERMINED = "und"
 #: Lengths of the n-grams, in characters of a line in which runs of non-letters are one blank.
@@ -31,17 +32,18 @@ LEAST_SHARE = {2: 1e-3, 3: 2e-4, 4: 5e-5}
 AGAINST_BEST = 0.25
 #: Slots per inserted n-gram, and slots read per n-gram.
 SLOTS_PER_GRAM, HASHES = 16, 3
-MAX_LANGUAGES = 64
+#: Languages per table of slots.
+PER_TABLE = 64
 #: Characters worked on at once; bounds memory for a text of any length.
 BLOCK = 1 << 19
 
 
 @dataclass
 class Filters:
-    """The slots, the languages by bit, and the share of n-grams each of them holds falsely."""
+    """The slots of every 64 languages, the languages by table and bit, and the share of n-grams each holds falsely."""
 
     languages: list[str]
-    slots: np.ndarray
+    slots: np.ndarray | list[np.ndarray]
     false_rate: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
@@ -103,17 +105,19 @@ def has_letter(text: str | None) -> bool:
 def scores(text: str, filters: Filters) -> tuple[np.ndarray, int]:
     """Corrected counts per language, and the number of n-grams."""
     counts, total, line = np.zeros(len(filters.languages)), 0, _line(text)
+    tables = filters.slots if isinstance(filters.slots, list) else [filters.slots]
     for size in SIZES:
         for hashes in gram_hashes(line, size):
             if not len(hashes):
                 continue
-            held = np.full(len(hashes), np.uint64(0xFFFFFFFFFFFFFFFF))
-            for slots in _slots_of(hashes, len(filters.slots)):
-                held &= filters.slots[slots]
             total += len(hashes)
-            held = held[held != 0]
-            for bit in range(len(counts)):
-                counts[bit] += int(((held >> np.uint64(bit)) & np.uint64(1)).sum())
+            for first, table in zip(range(0, len(counts), PER_TABLE), tables):
+                held = np.full(len(hashes), np.uint64(0xFFFFFFFFFFFFFFFF))
+                for slots in _slots_of(hashes, len(table)):
+                    held &= table[slots]
+                held = held[held != 0]
+                for bit in range(min(PER_TABLE, len(counts) - first)):
+                    counts[first + bit] += int(((held >> np.uint64(bit)) & np.uint64(1)).sum())
     wrong = filters.false_rate
     return np.clip((counts - wrong * total) / np.maximum(1 - wrong, 1e-6), 0, None), total
 
@@ -138,19 +142,18 @@ def _sample(labelled: DataFrame, text: str, lang: str, per_language: int) -> Dat
     rows = labelled.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).where("_text IS NOT NULL AND _lang IS NOT NULL")
     # Copies of a text are one, so the share that is kept follows the distinct texts.
     distinct = rows.select("_lang", F.xxhash64("_text").alias("_digest")).distinct()
-    sizes = distinct.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
-    names = sizes.orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES)
+    sizes = freeze(distinct.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")))
     key = F.pmod(F.xxhash64("_text"), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    few = rows.withColumn("_key", key).join(F.broadcast(names), "_lang").where(F.col("_key") * F.col("_n") <= 2 * per_language)
+    few = rows.withColumn("_key", key).join(broadcast_if_small(sizes), "_lang").where(F.col("_key") * F.col("_n") <= 2 * per_language)
     order = Window.partitionBy("_lang").orderBy("_key", "_text")
     return few.distinct().withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language).select("_text", "_lang")
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE) -> Filters:
-    """Fit the filters on a bounded sample; languages in excess of 64 are the rarest and not learned.
+    """Fit the filters on a bounded sample of every language.
 
     What reaches the driver is one row per kept n-gram, bounded by the inverse of the least
-    shares for each language, whatever the input.
+    shares for each language, whatever the number of documents.
     """
     spark = labelled.sparkSession
 
@@ -174,21 +177,26 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     best = F.max("share").over(Window.partitionBy("size", "gram"))
     least = F.coalesce(*[F.when(F.col("size") == s, F.lit(v)) for s, v in LEAST_SHARE.items()])
     kept = shares.withColumn("best", best).where((F.col("share") >= least) & (F.col("share") >= AGAINST_BEST * F.col("best")))
-    rows = kept.select("lang", "gram").collect()
-    languages = sorted({r.lang for r in rows})
-    n = 1 << max(10, int(np.ceil(np.log2(max(1, len({r.gram for r in rows})) * SLOTS_PER_GRAM))))
-    slots = np.zeros(n, dtype=np.uint64)
-    for bit, name in enumerate(languages):
-        hashes = np.array([r.gram for r in rows if r.lang == name], dtype=np.int64).view(np.uint64)
-        for at in _slots_of(hashes, n):
-            np.bitwise_or.at(slots, at, np.uint64(1 << bit))
-    filled = np.array([((slots >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(languages))])
-    return Filters(languages, slots, filled**HASHES)
+    rows = kept.select("lang", "gram").toPandas()
+    grams = {name: part.to_numpy(dtype=np.int64) for name, part in rows.groupby("lang")["gram"]}
+    languages = sorted(grams)
+    tables, filled = [], []
+    for first in range(0, max(1, len(languages)), PER_TABLE):
+        own = languages[first : first + PER_TABLE]
+        distinct = len(np.unique(np.concatenate([grams[name] for name in own]))) if own else 1
+        n = 1 << max(10, int(np.ceil(np.log2(distinct * SLOTS_PER_GRAM))))
+        slots = np.zeros(n, dtype=np.uint64)
+        for bit, name in enumerate(own):
+            for at in _slots_of(grams[name].view(np.uint64), n):
+                np.bitwise_or.at(slots, at, np.uint64(1 << bit))
+        filled += [((slots >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(own))]
+        tables.append(slots)
+    return Filters(languages, tables, np.array(filled) ** HASHES)
 
 
 def identify(spark: SparkSession, filters: Filters, text: Column) -> Column:
     """Struct (lang, score, fit) of a text column."""
-    shared = spark.sparkContext.broadcast(filters)  # at most 64 languages' kept n-grams
+    shared = spark.sparkContext.broadcast(filters)  # the kept n-grams of the learned languages
 
     @F.pandas_udf("lang string, score double, fit double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
