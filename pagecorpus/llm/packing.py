@@ -41,14 +41,14 @@ class Encoder:
 
     The vocabulary's pre-tokenizer always ends a token between a non-blank and a following
     blank or line break, so a text may be cut there. Texts in which another blank comes
-    before such a place are encoded as they are.
+    before such a place are encoded as they are, and so are texts that hold an added token.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.index: dict[str, int] = {}
         self.kept = kept
         self.starts, self.sizes = np.zeros(kept + BLOCK, dtype=np.int64), np.zeros(kept + BLOCK, dtype=np.int64)
@@ -86,7 +86,7 @@ class Encoder:
         return self._block(text)
 
     def _block(self, text: str) -> np.ndarray:
-        if not text or "\0" in text or _unsafe(text):
+        if not text or "\0" in text or any(t in text for t in self.added) or _unsafe(text):
             return self.whole(text) if text else np.zeros(0, dtype=np.uint32)
         parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         if not parts[0]:
