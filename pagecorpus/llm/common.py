@@ -6,7 +6,6 @@ import string
 import zlib
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +50,19 @@ def crc32_of(values) -> int:
     return zlib.crc32(values.tobytes())
 
 
-def located(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
-    """``columns`` with the columns ``PLACE``: where each row lies, the same in every read.
+def bare(df: DataFrame) -> DataFrame:
+    """``df`` if it only selects and filters columns of one file relation, else a frozen copy.
 
-    Rows that don't come straight from files are written to the shared folder first.
+    Rows of such a relation have a place of their own that every read finds again. Rows made
+    by an explode share the place of the row they come from, and those of a union have none.
     """
-    place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
-    try:
-        return df.select(*columns, *place)
-    except AnalysisException:
-        return freeze(df).select(*columns, *place)
+    node = df._jdf.queryExecution().analyzed()
+    steady = node.deterministic()
+    while steady and node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    return df if steady and node.getClass().getSimpleName() == "LogicalRelation" else freeze(df)
+
+
+def located(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
+    """``columns`` of a :func:`bare` table with the columns ``PLACE``: where each row lies, the same in every read."""
+    return df.select(*columns, F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))

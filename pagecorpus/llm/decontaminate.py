@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecorpus.llm.common import FILE, ROW, located, without
+from pagecorpus.llm.common import FILE, ROW, bare, located, without
 from pagecorpus.session import freeze, spread
 
 #: Tokens of a seed, and so of the shortest tile. A shorter item is a seed as a whole.
@@ -227,7 +227,7 @@ def leaked_items(
 
 def drop_leaking(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item has leaked."""
-    source = docs if docs.inputFiles() else freeze(docs)
+    source = bare(docs)
     rows = located(source, source.columns)
     key = F.concat_ws("#", F.col(ROW).cast("string"), FILE)
     pairs = leaked_items(rows.select(key.alias("key"), F.col(text).alias("text")), items, "key", "text", item_id, item_text)

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagecorpus.llm.common import FILE, ROW, located, without
+from pagecorpus.llm.common import FILE, ROW, bare, located, without
 from pagecorpus.session import broadcast_if_small, freeze, work_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,7 +41,7 @@ def exact_groups(
     null identifier is smaller than any other; a group of nulls only has a null ``keep_id``.
     Other columns are not looked at. An empty table gives no rows.
     """
-    rows = located(docs, [F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text")])
+    rows = located(bare(docs), [F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text")])
     rows = rows.withColumn("digest", digest(F.col("_text")))
     arrivals = freeze(rows.drop("_text"))
     groups = _final_state(arrivals, files_per_batch)
@@ -115,6 +115,6 @@ def _final_state(arrivals: DataFrame, files_per_batch: int) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
-    source = docs if docs.inputFiles() else freeze(docs)
+    source = bare(docs)
     gone = exact_groups(source, doc_id, text).where(~F.col("kept"))
     return without(located(source, source.columns), gone)

@@ -49,7 +49,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers without visible order (the finaliser of SplitMix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -70,13 +70,13 @@ class Runs:
             rising[:1] = 1
             np.cumprod(falling, out=falling)
             total = np.zeros(len(words) + 1, dtype=np.uint64)
-            np.cumsum((_mixed(own + np.uint64(k))) * falling, out=total[1:])
+            np.cumsum((mixed(own + np.uint64(k))) * falling, out=total[1:])
             self.sums.append(total)
             self.powers.append(np.cumprod(rising))
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
         total = self.sums[which]
-        return _mixed((total[ends] - total[starts]) * self.powers[which][starts])
+        return mixed((total[ends] - total[starts]) * self.powers[which][starts])
 
 
 def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -101,7 +101,7 @@ def anchors_of(words: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     low, high = np.maximum(at - (length - gram), 0), np.minimum(at + length, n)
     # Surroundings of unequal extent are unequal.
     extent = ((at - low) * (2 * length) + (high - low)).astype(np.uint64)
-    one, two = (_mixed(runs.hashes(low, high, k) ^ extent) for k in (0, 1))
+    one, two = (mixed(runs.hashes(low, high, k) ^ extent) for k in (0, 1))
     return at, grams[at], one, two
 
 

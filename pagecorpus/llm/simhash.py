@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagecorpus.llm.common import FILE, ROW, located, without
-from pagecorpus.llm.minhash import near_links
+from pagecorpus.llm.common import FILE, ROW, bare, located, without
+from pagecorpus.llm.minhash import near_groups
 from pagecorpus.operators.components import component_roots
 from pagecorpus.session import broadcast_if_small, freeze, spread
 
@@ -118,15 +118,16 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies, that of its smallest identifier.
 
-    Near copies share 0.8 of their five-word shingles (:mod:`pagecorpus.llm.minhash`); groups
-    are closed over links. Of rows that share the identifier the first by file and row stays;
-    a null comes after all others.
+    Near copies share 0.8 of their five-word shingles. At that similarity two fingerprints
+    differ in ten bits on average and link at two with a chance of 0.002, so the candidates
+    are found by :mod:`pagecorpus.llm.minhash`; groups are closed over verified links. Of rows
+    that share the identifier the first by file and row stays; a null comes after all others.
     """
-    source = docs if docs.inputFiles() else freeze(docs)
+    source = bare(docs)
     rows = located(source, source.columns)
     place = F.struct(FILE, ROW)
-    keys, links = near_links(rows.select(place.alias("key"), F.col(text).alias("text")))
-    linked = freeze(component_roots(links, []).join(keys, "node").select("root", f"key.{FILE}", f"key.{ROW}"))
+    keys, roots = near_groups(rows.select(place.alias("key"), F.col(text).alias("text")))
+    linked = freeze(roots.join(keys, "node").select("root", f"key.{FILE}", f"key.{ROW}"))
     # All columns of a row but its identifier may be large, so only the linked rows' identifiers are joined.
     ids = rows.select(FILE, ROW, F.col(doc_id).isNull().alias("__llm_none"), F.col(doc_id).alias("__llm_id"))
     ordered = freeze(ids.join(broadcast_if_small(linked), [FILE, ROW]))

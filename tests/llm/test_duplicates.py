@@ -9,7 +9,7 @@ import xxhash
 from data import FOLDER, awkward, documents, empty
 from pyspark.sql import functions as F
 
-from pagecorpus.llm import exact_stream, simhash
+from pagecorpus.llm import decontaminate, exact_stream, simhash
 
 
 def slow_fingerprint(text, k=3):
@@ -146,3 +146,28 @@ def test_state_is_read_in_batches(spark, tmp_path):
         spark.createDataFrame(rows, form).coalesce(1).write.mode("append").parquet(folder)
     state = exact_stream._final_state(spark.read.parquet(folder), files_per_batch=1)
     assert {(r.digest, r.group_size, r.keeper.doc_id) for r in state.collect()} == {(f"d{k}", 4, 30 + k) for k in range(3)}
+
+
+@pytest.fixture
+def passages(spark):
+    """Five passages of two documents, four of them distinct."""
+    fox, leaks = "the quick brown fox jumps over the lazy dog and runs off", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, [fox, "two", "three"]), (2, [fox, leaks])], "doc_id bigint, texts array<string>")
+    return docs.select("doc_id", F.explode("texts").alias("text")), leaks
+
+
+@pytest.mark.parametrize("form", ["explode", "union", "filtered"])
+def test_rows_of_derived_inputs(spark, tmp_path, passages, form):
+    flat, leaks = passages
+    folder = str(tmp_path / "t")
+    flat.write.parquet(folder)
+    source = spark.read.parquet(folder)
+    nested = source.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    nested.write.parquet(folder + "2")
+    again = spark.read.parquet(folder + "2").select("doc_id", F.explode("texts").alias("text"))
+    docs = {"explode": again, "union": again.unionByName(again.limit(0)), "filtered": source.where("doc_id > 0")}[form]
+    texts = lambda df: sorted(r.text[:5] for r in df.collect())
+    assert texts(exact_stream.drop_exact_copies(docs)) == ["alpha", "the q", "three", "two"]
+    assert texts(simhash.drop_near_copies(docs)) == ["alpha", "the q", "three", "two"]
+    items = spark.createDataFrame([(1, leaks)], "item_id bigint, text string")
+    assert texts(decontaminate.drop_leaking(docs, items)) == ["the q", "the q", "three", "two"]

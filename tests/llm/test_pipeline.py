@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 from data import FOLDER, awkward
-from test_duplicates import slow_components, slow_fingerprint
+from test_near_copies import slow_kept
 
 import __spark_entry__
 import corpus_pipeline
@@ -49,9 +49,7 @@ def test_exact_stage(stages):
 
 
 def test_near_stage(stages):
-    before = sorted(map(tuple, stages[2].collect()), key=lambda r: r[0])
-    roots = slow_components([slow_fingerprint(r[1]) for r in before])
-    assert {r[0] for r in rows(stages[3])} == {r[0] for i, r in enumerate(before) if roots[i] == i}
+    assert {r[0] for r in rows(stages[3])} == slow_kept([(r[0], r[1]) for r in rows(stages[2])])
 
 
 def test_decontamination_stage(spark, stages):
