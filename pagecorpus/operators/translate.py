@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
+from pyspark import BarrierTaskContext, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagecorpus import schema
 from pagecorpus.functions.text import WHITE_SPACE, is_blank, utrim
 from pagecorpus.operators.skew import spread_lookup
 from pagecorpus.session import freeze, is_small
+from pagecorpus.sources.remote import filesystem
 
 Translator = Callable[[str, str, str], str]
 
@@ -53,6 +60,22 @@ def distinct_texts(blocks: DataFrame, source: str = "original_text") -> DataFram
     return counted.select(text_key("text").alias("text_key"), "text", "uses")
 
 
+def _caller(translator: Translator, source_language: str, target_language: str) -> Callable:
+    """``text -> (translated_text, status, error)`` that never raises."""
+
+    def call(text: str) -> tuple[str | None, str, str | None]:
+        trimmed = "" if text is None else text.strip(WHITE_SPACE)
+        if not trimmed:
+            return None, schema.EMPTY_TEXT, None
+        try:
+            answer = translator(text, source_language, target_language)
+            return answer, schema.MISSING_TRANSLATION if answer is None else schema.OK, None
+        except Exception as failure:  # the user's callable may raise anything
+            return None, schema.TRANSLATOR_ERROR, f"{type(failure).__name__}: {failure}"
+
+    return call
+
+
 def enrich(
     texts: DataFrame,
     translator: Translator,
@@ -60,42 +83,113 @@ def enrich(
     target_language: str = "ko",
     concurrency: int = DEFAULT_CONCURRENCY,
     tasks: int | None = None,
+    whole_run: bool = False,
+    journal: str | None = None,
 ) -> DataFrame:
     """Call ``translator`` for every ``text``; failures become rows with a status.
 
-    At most ``concurrency`` calls are in flight per task, so ``tasks`` times that many
-    in the cluster; without ``tasks`` the partitions of ``texts`` decide. Other columns
-    are kept. Freeze the result before using it twice: an unfrozen plan calls again.
-    A repeated task repeats its calls.
+    At most ``concurrency`` calls are in flight per task, so ``tasks`` times that many in the
+    cluster; without ``tasks`` the partitions of ``texts`` decide. With ``whole_run`` they are
+    the limit of the whole run: a barrier stage of at most that many tasks, which start
+    together and share the calls by their number, so more tasks never mean more calls.
+
+    With ``journal``, a folder on shared storage, ``texts`` needs ``text_key``, unique per text.
+    Every chunk of answers is put there as it is complete. Texts answered before, by an
+    earlier run or an earlier attempt of a task, are not asked again; failures are. Without
+    it a repeated task repeats its calls. Other columns are kept. Freeze the result before
+    using it twice: an unfrozen plan calls again.
     """
     limit = resolve_concurrency(configured=concurrency)
     columns = [c for c in texts.columns if c not in ("translated_text", "status", "error")]
     source = texts.select(*columns)
+    known = None
+    if journal is not None:
+        answers = answered(source.sparkSession, journal, source_language, target_language)
+        # Frozen: what is asked must not change while answers are put into the journal.
+        source = freeze(source.join(answers, "text_key", "left"))
+        known = source.where(F.col("translated_text").isNotNull())
+        source = source.where(F.col("translated_text").isNull()).select(*columns)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-
-    def call(text: str) -> tuple[str | None, str, str | None]:
-        trimmed = "" if text is None else text.strip(WHITE_SPACE)
-        if not trimmed:
-            return None, schema.EMPTY_TEXT, None
-        try:
-            answer = translator(text, source_language, target_language)
-            return answer, schema.MISSING_TRANSLATION if answer is None else schema.OK, None
-        except Exception as failure:  # the user's callable may raise anything
-            return None, schema.TRANSLATOR_ERROR, f"{type(failure).__name__}: {failure}"
+    call = _caller(translator, source_language, target_language)
+    run_id, shared = uuid.uuid4().hex, whole_run
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(max_workers=limit) as pool:
+        context = BarrierTaskContext.get() if shared else TaskContext.get()
+        share = limit
+        if shared:
+            workers = len(context.getTaskInfos())
+            share = limit // workers + (context.partitionId() < limit % workers)
+        notes = None if journal is None else TaskJournal(journal, run_id, context.partitionId(), source_language, target_language)
+        with ThreadPoolExecutor(max_workers=share) as pool:
             for batch in batches:
-                answers = list(pool.map(call, batch["text"]))
-                yield batch.assign(
-                    translated_text=[a[0] for a in answers],
-                    status=[a[1] for a in answers],
-                    error=[a[2] for a in answers],
-                )
-
-    return (source.repartition(tasks) if tasks else source).mapInPandas(
-        run, schema=f"{out}, translated_text string, status string, error string"
-    )
+                for at in range(0, len(batch), JOURNAL_ROWS):
+                    part = batch.iloc[at : at + JOURNAL_ROWS]
+                    # Answers of an earlier attempt of this task.
+                    old = {} if notes is None else {k: notes.known[bytes(k)] for k in part["text_key"] if bytes(k) in notes.known}
+                    asked = list(pool.map(lambda r: (r, call(r[1])), [r for r in zip(part.get("text_key", part.index), part["text"]) if r[0] not in old]))
+                    if notes is not None:
+                        notes.put([(k, a[0]) for (k, _), a in asked if a[1] == schema.OK])
+                    found = {k: (a, schema.OK, None) for k, a in old.items()} | {k: a for (k, _), a in asked}
+                    rows = [found[k] for k in part.get("text_key", part.index)]
+                    columns = zip(*rows) if rows else [[], [], []]
+                    yield part.assign(**{n: list(c) for n, c in zip(("translated_text", "status", "error"), columns)})
+
+    if shared:
+        source = source.repartition(min(tasks or limit, limit))
+    elif tasks:
+        source = source.repartition(tasks)
+    made = source.mapInPandas(run, schema=f"{out}, translated_text string, status string, error string", barrier=shared)
+    if known is None:
+        return made
+    kept = known.withColumns({"status": F.lit(schema.OK), "error": F.lit(None).cast("string")})
+    return made.unionByName(kept.select(*made.columns))
+
+
+ANSWER = T.StructType(
+    [T.StructField("text_key", T.BinaryType())]
+    + [T.StructField(n, T.StringType()) for n in ("source_language", "target_language", "translated_text")]
+)
+#: Answers that are put into the journal together: at most as many are asked twice.
+JOURNAL_ROWS = 64
+
+
+class TaskJournal:
+    """Answers of one task in the journal: what earlier attempts of it left, and new chunks.
+
+    A chunk is one Parquet file, written under a hidden name and renamed when it is complete.
+    """
+
+    def __init__(self, journal: str, run: str, task: int, source_language: str, target_language: str):
+        self.files, base = filesystem(journal.rstrip("/"))
+        self.folder, self.languages = f"{base}/run={run}/task={task}", (source_language, target_language)
+        self.files.create_dir(self.folder)
+        self.known: dict[bytes, str] = {}
+        found = self.files.get_file_info(FileSelector(self.folder))
+        for f in found:
+            if f.base_name.startswith("answers"):
+                rows = pq.read_table(f.path, filesystem=self.files, partitioning=None)
+                self.known.update(zip(rows["text_key"].to_pylist(), rows["translated_text"].to_pylist()))
+
+    def put(self, answers: list[tuple[bytes, str]]) -> None:
+        if not answers:
+            return
+        keys, texts = zip(*answers)
+        form = pa.schema([("text_key", pa.binary()), *((n, pa.string()) for n in ("source_language", "target_language", "translated_text"))])
+        rows = pa.table([list(map(bytes, keys)), *([x] * len(keys) for x in self.languages), list(texts)], schema=form)
+        name = uuid.uuid4().hex
+        pq.write_table(rows, f"{self.folder}/_{name}", filesystem=self.files)
+        self.files.move(f"{self.folder}/_{name}", f"{self.folder}/answers-{name}.parquet")
+
+
+def answered(spark: SparkSession, journal: str, source_language: str, target_language: str) -> DataFrame:
+    """``(text_key, translated_text)``: the answers in the journal for a pair of languages, each text once."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        rows = spark.createDataFrame([], ANSWER)
+    else:
+        rows = spark.read.schema(ANSWER).option("recursiveFileLookup", "true").parquet(journal)
+    rows = rows.where((F.col("source_language") == source_language) & (F.col("target_language") == target_language))
+    return rows.groupBy("text_key").agg(F.min("translated_text").alias("translated_text"))
 
 
 def from_memory(texts: DataFrame, memory: DataFrame) -> DataFrame:

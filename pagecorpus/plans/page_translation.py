@@ -15,7 +15,7 @@ from pagecorpus.operators.cache import cache_hits, cache_misses, content_groups
 from pagecorpus.operators.glossary import is_inline, refine
 from pagecorpus.operators.skew import spread_lookup
 from pagecorpus.operators.translate import apply_memo, distinct_texts, split_pages
-from pagecorpus.session import freeze
+from pagecorpus.session import freeze, is_frozen
 
 
 @dataclass(frozen=True)
@@ -89,29 +89,29 @@ def translate_pages(
     ``pages(page_key, sha)``, ``blocks(page_key, pos, original_text, ...)``,
     ``cache(cache_key)``; pages of equal content are one unit of work, done with the blocks
     of the first copy that has any. ``force(cache_key)`` lists pages to do again. A page
-    without hash is no copy of another and never reaches the cache. ``blocks`` is read once.
+    without hash is no copy of another and never reaches the cache. ``blocks`` is read twice:
+    its page keys to choose the copies, then the blocks of the chosen ones.
     """
     # Contents are hashed in one pass; from here on pages are a key table.
-    keyed = freeze(pages.withColumn("cache_key", job.key("sha")).select("page_key", "cache_key"))
+    keyed = pages.select("page_key", job.key("sha").alias("cache_key"))
+    keyed = keyed if is_frozen(pages) else freeze(keyed)
     # Equal contents first: what follows sees each cache key once, however many copies it has.
     readable = keyed.where(F.col("cache_key").isNotNull())
-    groups = freeze(content_groups(readable, "cache_key", "page_key").withColumnRenamed("first_page", "page_key"))
-    missed = freeze(cache_misses(groups, cache, artefacts, job.force or (False if force is None else force)))
-    hits = cache_hits(groups, cache, artefacts).join(missed.select("cache_key"), "cache_key", "left_anti")
-    # Which copy has blocks shows only in the blocks: those of all missed copies are kept,
-    # with the size of their page, which also tells whether its rows have to be spread.
-    copies = freeze(spread_lookup(readable, missed.select("cache_key", "n_copies"), ["cache_key"], "n_copies", ["page_key"]))
-    candidates = freeze(blocks.join(copies, "page_key"))
-    sizes = freeze(candidates.groupBy("cache_key", "page_key").agg(F.count(F.lit(1)).alias("page_blocks")))
+    groups = content_groups(readable, "cache_key", "page_key").withColumnRenamed("first_page", "page_key")
+    missed = cache_misses(groups, cache, artefacts, job.force or (False if force is None else force))
+    # Which copy has blocks shows only in the blocks. Their number also tells whether the rows
+    # of a page have to be spread.
+    sizes = blocks.groupBy("page_key").agg(F.count(F.lit(1)).alias("page_blocks")).join(readable, "page_key")
     chosen = sizes.groupBy("cache_key").agg(F.min_by(F.struct("page_key", "page_blocks"), "page_key").alias("_first"))
-    found = missed.join(chosen, "cache_key", "left")
     units = freeze(
-        found.withColumn("page_key", F.coalesce("_first.page_key", "page_key"))
+        missed.join(chosen, "cache_key", "left")
+        .withColumn("page_key", F.coalesce("_first.page_key", "page_key"))
         .withColumn("page_blocks", F.col("_first.page_blocks"))
         .drop("_first")
     )
-    with_text = units.where(F.col("page_blocks").isNotNull()).select("page_key", "page_blocks")
-    work = spread_lookup(candidates, with_text, ["page_key"], "page_blocks", ["pos"])
+    hits = cache_hits(groups, cache, artefacts).join(units.select("cache_key"), "cache_key", "left_anti")
+    with_text = units.where(F.col("page_blocks").isNotNull()).select("page_key", "cache_key", "page_blocks")
+    work = freeze(spread_lookup(blocks, with_text, ["page_key"], "page_blocks", ["pos"]))
     memo = corrected_memo(work, rules, translate)
     done = freeze(apply_memo(work, memo).drop("uses"))
     complete, quarantine = split_pages(done)

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,13 +67,27 @@ def freeze(df: DataFrame) -> DataFrame:
     if getattr(_made, "paths", None) is not None:
         _made.paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frozen = spark.read.schema(df.schema).parquet(path)
+    frozen._pagecorpus_frozen = True
+    return frozen
+
+
+def is_frozen(df: DataFrame) -> bool:
+    """Whether ``df`` is what :func:`freeze` returned."""
+    return getattr(df, "_pagecorpus_frozen", False)
 
 
 def is_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     """Whether a table has few rows and few bytes. Reads at most ``max_rows + 1`` rows."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
-    per_row = sum(texts, F.lit(16 * len(df.columns)))
+    kinds = {f.name: f.dataType for f in df.schema}
+    texts = [F.octet_length(n) for n, kind in kinds.items() if kind.simpleString() in ("string", "binary")]
+    # Elements that may be long themselves are measured by their text.
+    texts += [
+        16 * F.size(n) if isinstance(kind.elementType, T.NumericType) else F.length(F.to_json(n))
+        for n, kind in kinds.items()
+        if isinstance(kind, T.ArrayType)
+    ]
+    per_row = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(16 * len(df.columns)))
     row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(per_row), F.lit(0)).alias("b")).first()
     return row.n <= max_rows and row.b <= max_bytes
 

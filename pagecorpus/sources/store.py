@@ -1,8 +1,8 @@
 """The translations table and its JSON interchange form.
 
-The table is a folder of Parquet batches, one per version; a later version of a cache key
-replaces earlier ones, a deletion is a version too. Writing a version again overwrites
-that version only, so a repeated batch changes nothing.
+The table is a folder of committed versions (:mod:`pagecorpus.sources.versions`); a later
+version of a cache key replaces earlier ones, a deletion is a version too. Writing a version
+again replaces that version only, in one step, so a repeated batch changes nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagecorpus import schema
-from pagecorpus.session import shuffle_partitions
+from pagecorpus.sources import versions
 
 RECORD = T.StructType(
     [
@@ -28,71 +28,52 @@ RECORD = T.StructType(
     ]
 )
 
-# Prefixes spelled out in a filter; with more of them all partitions are read.
-MAX_PREFIXES = 256
+STORED = T.StructType([*RECORD.fields, T.StructField("deleted", T.BooleanType())])
+KEY = "cache_key"
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
 
-def _versioned(root: str, version: int) -> str:
-    return f"{root.rstrip('/')}/version={version}"
-
-
 def write_version(records: DataFrame, root: str, version: int, prefix_length: int = 1) -> None:
     """Add or replace records by cache key; ``records`` have the columns of ``RECORD``."""
     rows = records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD.fields])
-    _write(rows.withColumn("deleted", F.lit(False)), root, version, prefix_length)
+    versions.write(rows.withColumn("deleted", F.lit(False)), root, version, KEY, prefix_length)
 
 
 def write_deletions(keys: DataFrame, root: str, version: int, prefix_length: int = 1) -> None:
     """Delete by ``cache_key``; keys that are not stored do nothing."""
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD.fields[1:]]
-    rows = keys.select("cache_key", *empty).distinct().withColumn("deleted", F.lit(True))
-    _write(rows, root, version, prefix_length)
-
-
-def _write(rows: DataFrame, root: str, version: int, prefix_length: int) -> None:
-    prefix = F.left(F.col("cache_key"), F.lit(prefix_length))
-    # A prefix is spread over several tasks only where there are more tasks than prefixes.
-    share = max(1, shuffle_partitions(rows.sparkSession) // 16**prefix_length)
-    (
-        rows.withColumn("prefix", prefix)
-        .repartition(F.col("prefix"), F.pmod(F.xxhash64("cache_key"), F.lit(share)))
-        .sortWithinPartitions("prefix", "cache_key")
-        .write.mode("overwrite")
-        .partitionBy("prefix")
-        .parquet(_versioned(root, version))
-    )
+    rows = keys.select(KEY, *empty).distinct().withColumn("deleted", F.lit(True))
+    versions.write(rows, root, version, KEY, prefix_length)
 
 
-def read_current(
-    spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None, prefix_length: int = 1
-) -> DataFrame:
-    """The records in force: for each cache key those of its last version, unless deleted.
+def read_current(spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The records in force: for each cache key those of its last committed version, unless deleted.
 
     ``before`` ignores that version and later ones. With ``keys(cache_key)`` only these are
-    looked up, and only in the partitions of their prefixes, of which there are few.
+    looked up; a list of up to ``versions.MAX_KEYS`` reaches the files' Bloom filters.
     """
-    stored = T.StructType(
-        [*RECORD.fields, T.StructField("deleted", T.BooleanType())]
-        + [T.StructField("version", T.LongType()), T.StructField("prefix", T.StringType())]
-    )
-    log = spark.read.schema(stored).parquet(root)
-    if before is not None:
-        log = log.where(F.col("version") < before)
-    if keys is not None:
-        prefixes = keys.select(F.left("cache_key", F.lit(prefix_length)).alias("p")).distinct().limit(MAX_PREFIXES + 1).collect()
-        if len(prefixes) <= MAX_PREFIXES:
-            log = log.where(F.col("prefix").isin(*[r.p for r in prefixes]))
-        log = log.join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
-    last = log.groupBy("prefix", "cache_key").agg(F.max("version").alias("version"))
-    current = log.join(last, ["prefix", "cache_key", "version"], "left_semi")
+    log = versions.read(spark, root, STORED, before, keys, KEY)
+    last = log.groupBy(KEY).agg(F.max("version").alias("version"))
+    current = log.join(last, [KEY, "version"], "left_semi")
     return current.where(~F.col("deleted")).select(*RECORD.fieldNames())
 
 
+def current_keys(spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The cache keys in force, read without any other column of the records."""
+    log = versions.read(spark, root, STORED, before, keys, KEY)
+    gone = log.groupBy(KEY).agg(F.max_by("deleted", "version").alias("deleted"))
+    return gone.where(~F.col("deleted")).select(KEY)
+
+
+def merge_versions(spark: SparkSession, root: str, before: int | None = None) -> int:
+    """Merge versions of about equal size, so that look-ups open few files; how often."""
+    return versions.merge(spark, root, STORED, KEY, before, "deleted")
+
+
 def initialise(spark: SparkSession, root: str) -> None:
-    """Write an empty first version, so that a new table can be read."""
-    write_version(spark.createDataFrame([], RECORD), root, 0)
+    """Commit an empty first version. A table without any version reads as empty too."""
+    write_version(spark.createDataFrame([], RECORD), root, 0, 0)
 
 
 def compact(spark: SparkSession, source: str, target: str, version: int = 0) -> None:

@@ -5,9 +5,10 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagecorpus import schema
-from pagecorpus.sources import archives, project_json, scan, store
+from pagecorpus.sources import archives, project_json, scan, store, versions
 
 
 def png(path, width, height, pixel):
@@ -196,7 +197,7 @@ def test_read_by_key(spark, tmp_path):
     found = store.read_current(spark, root, keys=wanted)
     assert [(r.cache_key, r.blocks[0].translated_text) for r in found.collect()] == [("f1", "three")]
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [prefix" in plan
+    assert "PushedFilters: [In(cache_key" in plan and "prefix#" in plan.split("PartitionFilters")[1]
 
 
 def test_read_document_files(spark, tmp_path):
@@ -221,3 +222,88 @@ def test_versions_replace_delete_and_compact(spark, tmp_path):
     assert texts(store.read_current(spark, root)) == {"00ab": "again"}
     store.compact(spark, root, target)
     assert texts(store.read_current(spark, target)) == {"00ab": "again"}
+
+
+def rows_read(df):
+    """Rows that the scans of an executed plan gave."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "FileSourceScanExec":
+            total += node.metrics().apply("numOutputRows").value()
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_a_look_up_of_few_keys_reads_few_rows(spark, tmp_path):
+    root, form = str(tmp_path / "t"), T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+    key = lambda c: F.sha2(c.cast("string"), 256).alias("k")
+    for i in range(10):
+        versions.write(spark.range(3000 * i, 3000 * i + 3000).select(key(F.col("id")), F.col("id").alias("v")), root, i, "k", i % 2)
+    absent = spark.range(1_000_000, 1_000_030).select(key(F.col("id")))
+    assert rows_read(versions.read(spark, root, form, keys=absent, key="k")) < 3000
+    some = spark.range(4000, 4003).select(key(F.col("id")))
+    found = versions.read(spark, root, form, keys=some, key="k")
+    assert rows_read(found) < 6000
+    assert {(r.v, r.version) for r in found.collect()} == {(4000, 1), (4001, 1), (4002, 1)}
+    many = spark.range(0, 3 * versions.MAX_KEYS, 2).select(key(F.col("id")))
+    assert versions.read(spark, root, form, keys=many, key="k").count() == 3 * versions.MAX_KEYS // 2
+    assert versions.merge(spark, root, form, "k") == 1
+    assert len(versions.runs(spark, root)) == 1
+    assert {(r.v, r.version) for r in versions.read(spark, root, form, keys=some, key="k").collect()} == {(4000, 1), (4001, 1), (4002, 1)}
+    assert versions.vacuum(spark, root) == 10 and versions.read(spark, root, form).count() == 30_000
+
+
+def test_versions_are_whole_or_not_there(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    texts = lambda: {r.cache_key: r.blocks[0].translated_text for r in store.read_current(spark, root).collect()}
+    store.write_version(record(spark, "a", "one"), root, 1)
+    before = store.read_current(spark, root)
+    # Killed after the data are written: readers keep the old state, and a replay takes its place.
+    monkeypatch.setattr(versions, "_commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        store.write_version(record(spark, "a", "two"), root, 1)
+    with pytest.raises(KeyboardInterrupt):
+        store.write_version(record(spark, "b", "new"), root, 2)
+    monkeypatch.undo()
+    assert texts() == {"a": "one"}
+    # Written again: a reader that planned before sees the old form to its end.
+    store.write_version(record(spark, "a", "three"), root, 1)
+    assert texts() == {"a": "three"}
+    assert before.first().blocks[0].translated_text == "one"
+    assert versions.vacuum(spark, root) == 3
+    assert texts() == {"a": "three"}
+
+
+def test_merging_keeps_what_is_in_force(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    monkeypatch.setattr(versions, "FAN", 3)
+    store.initialise(spark, root)
+    for i in range(1, 8):
+        if i % 3 == 2:
+            store.write_deletions(spark.createDataFrame([(f"k{i - 1}",)], "cache_key string"), root, i)
+        else:
+            store.write_version(record(spark, f"k{i % 5}", f"v{i}").union(record(spark, f"k{i}", f"v{i}")), root, i)
+    texts = lambda: {r.cache_key: r.blocks[0].translated_text for r in store.read_current(spark, root).collect()}
+    expected = texts()
+    # Only what is before version 7 is merged, so that a replay of 7 finds what it found.
+    earlier = store.read_current(spark, root, before=7).count()
+    assert store.merge_versions(spark, root, before=7) >= 1
+    assert texts() == expected and store.read_current(spark, root, before=7).count() == earlier
+    store.write_version(record(spark, "k7", "again"), root, 7)
+    assert texts()["k7"] == "again"
+    with pytest.raises(ValueError):
+        store.write_version(record(spark, "k", "x"), root, 6)
+    with pytest.raises(ValueError):
+        store.read_current(spark, root, before=6)
+    # A marker left by a killed merge is superseded by the one that covers it.
+    merged = versions.runs(spark, root)[0]
+    versions._commit(spark, root, versions.Run(merged.low + 1, merged.low + 1, "gone", 5, 0))
+    assert texts()["k7"] == "again"

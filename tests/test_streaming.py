@@ -4,9 +4,9 @@ from pagecorpus import schema
 from pagecorpus.operators import translate as tr
 from pagecorpus.operators.cache import cache_hits
 from pagecorpus.plans.page_translation import TranslationJob, page_records, page_report, page_results, translate_pages
-from pagecorpus.sources import store
+from pagecorpus.sources import store, versions
 from pagecorpus.streaming.auto_mode import auto_translate, failed_pages, parquet_arrivals, verdicts
-from pagecorpus.streaming.progress import observed, page_progress
+from pagecorpus.streaming.progress import StreamProgress, batch_progress, observed, page_progress
 
 JOB = TranslationJob(engine_version="engine-v1")
 DOCUMENT = "page_key int, content string"
@@ -128,3 +128,43 @@ def test_progress(spark):
     assert observation.get == {"completed": 2, "total": 3}
     done = tr.page_status(blocks).where("page_status = 'ok'")
     assert [r.page_key for r in done.collect()] == [2]
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    folder, root, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    rules, told = spark.createDataFrame([], schema.RULES), []
+    listener = StreamProgress(told.append)
+    spark.streams.addListener(listener)
+    try:
+        for lot in ([(1, "a\nb"), (2, "a\nb"), (3, "")], [(4, "c"), (5, "a\nb"), (6, "x\n \ny")]):
+            spark.createDataFrame(lot, DOCUMENT).coalesce(1).write.mode("append").parquet(folder)
+            arrivals = parquet_arrivals(spark, folder, "*.parquet", DOCUMENT)
+            auto_translate(arrivals, root, checkpoint, to_pages, rules, shout, JOB).awaitTermination()
+            assert listener.ended.wait(20)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = {r.batch: r.asDict() for r in batch_progress(spark, root).collect()}
+    names = ("pages", "cached", "translated", "failed", "empty", "unreadable", "completed", "total")
+    assert [tuple(rows[b][n] for n in names) for b in (1, 2)] == [(3, 0, 2, 0, 1, 0, 2, 2), (3, 1, 1, 1, 0, 0, 3, 4)]
+    assert [(r["batch"], r["rows"]) for r in told if r["rows"]] == [(0, 3), (1, 3)] and all(r["seconds"] > 0 for r in told)
+
+
+def test_time_and_rows_of_a_batch_stay_flat(spark, tmp_path):
+    """Thirty batches: versions are merged, so the last looks at few folders and few rows."""
+    folder, root, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    rules, took = spark.createDataFrame([], schema.RULES), []
+    listener = StreamProgress(lambda row: took.append(row["seconds"]))
+    for i in range(20):
+        lot = [(10 * i + k, f"line {i} {k}") for k in range(5)]
+        spark.createDataFrame(lot, DOCUMENT).coalesce(1).write.mode("append").parquet(folder)
+    spark.streams.addListener(listener)
+    try:
+        arrivals = parquet_arrivals(spark, folder, "*.parquet", DOCUMENT, files_per_batch=1)
+        auto_translate(arrivals, root, checkpoint, to_pages, rules, shout, JOB).awaitTermination()
+        assert listener.ended.wait(20)
+    finally:
+        spark.streams.removeListener(listener)
+    assert store.read_current(spark, root).count() == 100
+    assert len(versions.runs(spark, root)) <= 2 * versions.FAN
+    usual = sorted(took[3:8])[2]
+    assert sorted(took[-5:])[2] < 2 * usual

@@ -1,5 +1,6 @@
 import threading
 import time
+import uuid
 from collections import Counter
 
 import pytest
@@ -89,3 +90,70 @@ def test_spread_lookup_equals_plain_join(spark, how):
     assert sorted(map(tuple, salted.select("k", "i", "v").collect()), key=str) == sorted(
         map(tuple, plain.select("k", "i", "v").collect()), key=str
     )
+
+
+def _keyed(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "text string").select(tr.text_key("text").alias("text_key"), "text")
+
+
+def _calls(folder):
+    return sorted(p.read_text() for p in folder.iterdir())
+
+
+def _noting(folder, fail=()):
+    """A translator that leaves a file per call."""
+
+    def translate(text, source, target):
+        (folder / uuid.uuid4().hex).write_text(text)
+        if text in fail:
+            raise RuntimeError("down")
+        return f"{target}:{text}"
+
+    return translate
+
+
+def test_journal_asks_each_text_once(spark, tmp_path):
+    calls, journal = tmp_path / "calls", str(tmp_path / "journal")
+    calls.mkdir()
+    texts = [f"t{i}" for i in range(300)]
+    first = tr.enrich(_keyed(spark, texts[:200]), _noting(calls, fail={"t3", "t77"}), tasks=4, journal=journal)
+    status = {r.text: r.status for r in first.collect()}
+    assert {t for t, s in status.items() if s != "ok"} == {"t3", "t77"} and len(status) == 200
+    assert _calls(calls) == sorted(texts[:200])
+    # A second run over more texts: only what is new or failed is asked.
+    second = tr.enrich(_keyed(spark, texts), _noting(calls), tasks=3, journal=journal)
+    assert {r.text: r.translated_text for r in second.collect()} == {t: f"ko:{t}" for t in texts}
+    assert _calls(calls) == sorted([*texts, "t3", "t77"])
+    # Another language is another question.
+    other = tr.enrich(_keyed(spark, texts[:2]), _noting(calls), target_language="en", journal=journal)
+    assert {r.translated_text for r in other.collect()} == {"en:t0", "en:t1"}
+
+
+def test_a_repeated_task_finds_its_answers(spark, tmp_path):
+    """What an attempt put into the journal before it died is there for the next one."""
+    first = tr.TaskJournal(str(tmp_path), "r", 3, "ja", "ko")
+    first.put([(b"k1", "one"), (b"k2", "two")])
+    (tmp_path / "run=r" / "task=3" / "_half").write_bytes(b"PAR1")
+    again = tr.TaskJournal(str(tmp_path), "r", 3, "ja", "ko")
+    assert again.known == {b"k1": "one", b"k2": "two"}
+    assert tr.TaskJournal(str(tmp_path), "r", 4, "ja", "ko").known == {}
+    assert tr.answered(spark, str(tmp_path), "ja", "ko").count() == 2
+    assert tr.answered(spark, str(tmp_path / "none"), "ja", "ko").count() == 0
+
+
+@pytest.mark.parametrize("tasks,limit", [(4, 2), (2, 5), (8, 1)])
+def test_one_limit_for_the_whole_run(spark, tmp_path, tasks, limit):
+    """Calls mark their time; never are more of them open than the limit."""
+
+    def slow(text, source, target):
+        start = time.time()
+        time.sleep(0.05)
+        (tmp_path / uuid.uuid4().hex).write_text(f"{start} {time.time()}")
+        return text
+
+    texts = spark.createDataFrame([(f"t{i}",) for i in range(24)], "text string").repartition(tasks)
+    rows = tr.enrich(texts, slow, concurrency=limit, tasks=tasks, whole_run=True).collect()
+    assert sorted(r.translated_text for r in rows) == sorted(f"t{i}" for i in range(24))
+    spans = [tuple(map(float, p.read_text().split())) for p in tmp_path.iterdir()]
+    assert len(spans) == 24
+    assert max(sum(a <= s < b for a, b in spans) for s, _ in spans) <= limit
