@@ -18,9 +18,10 @@ from pagecorpus.session import broadcast_if_small, freeze
 
 # Up to this many replacements are written out as one expression; a larger glossary is joined.
 INLINE_LIMIT = 64
-# Lengths of the grams that needles are looked up by: the longest that fits a needle. Longer
-# grams keep needles with a common beginning apart.
-GRAMS = (1, 2, 3, 4, 6, 8, 12, 16)
+# Length of the grams that needles are looked up by; a shorter needle is its own gram.
+GRAM = 3
+# Needle grams up to this number are kept apart in a block before its grams become rows.
+FEW_GRAMS = 2_000
 
 
 def _rule_key() -> Column:
@@ -107,33 +108,64 @@ def matching_rules(
 def _matching(blocks: DataFrame, rules: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
     """``keys`` with the columns of the rules that apply, repeats possible.
 
-    A needle is looked up by its first characters, as many as the longest of ``GRAMS`` that
-    fits, among the distinct grams of that length of a block: an equi join. If that is the
-    whole needle it is settled; otherwise the candidates are checked against the source.
+    Few needles are looked for in every block. Many are found through an index: of the grams
+    of a needle the one that the fewest blocks hold stands for it, so that needles with a
+    common part stay apart, and a needle with a gram that no block holds is dropped. The
+    blocks that hold the gram are candidates, which the whole needle then settles.
     """
     named = [c for c in rules.columns if c in ("rule_ord", "_rule")]
-    needles = rules.select(*named, F.explode("needles").alias("_needle")).where(F.length("_needle") > 0).distinct()
-    size = F.greatest(*[F.when(F.length("_needle") >= n, F.lit(n)) for n in GRAMS[1:]], F.lit(GRAMS[0]))
-    heads = freeze(needles.select(*named, "_needle", size.alias("_n"), F.left("_needle", size).alias("_gram")))
-    lengths = sorted(r["_n"] for r in heads.select("_n").distinct().collect())  # as many rows as GRAMS has
+    needles = freeze(rules.select(*named, F.explode("needles").alias("_needle")).where(F.length("_needle") > 0).distinct())
     sources = blocks.select(*keys, compact(F.coalesce(F.col(source), F.lit(""))).alias("_src"))
-    if not lengths:
-        nothing = [F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in named]
-        return sources.limit(0).select(*keys, *nothing)
-
-    def grams(n: int) -> Column:
-        own = F.array_distinct(F.regexp_extract_all("_src", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
-        return F.transform(own, lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_gram")))
-
-    met = sources.select(*keys, F.inline(F.concat(*[grams(n) for n in lengths]))).join(broadcast_if_small(heads), ["_n", "_gram"])
-    exact = met.where(F.length("_needle") == F.col("_n")).select(*keys, *named)
-    if heads.where(F.length("_needle") > F.col("_n")).isEmpty():
+    few = needles.limit(INLINE_LIMIT + 1).collect()
+    if len(few) <= INLINE_LIMIT:
+        kinds = [rules.schema[c].dataType for c in named]
+        rows = [F.struct(*[F.lit(r[c]).cast(kind).alias(c) for c, kind in zip(named, kinds)]) for r in few]
+        empty = F.array().cast("array<struct<" + ",".join(f"{c}:{kind.simpleString()}" for c, kind in zip(named, kinds)) + ">>")
+        hits = F.array_compact(F.array(*[F.when(F.contains("_src", F.lit(r["_needle"])), row) for r, row in zip(few, rows)])) if few else empty
+        return sources.select(*keys, F.inline(hits))
+    posted = gram_postings(sources, needles.select("_needle"), keys)
+    heads = freeze(rarest_grams(posted, needles))
+    met = posted.join(broadcast_if_small(heads), "_gram").select(*keys, *named, "_needle")
+    whole = F.length("_needle") <= GRAM
+    exact = met.where(whole).select(*keys, *named)
+    if heads.where(~whole).isEmpty():
         return exact
-    open_pairs = met.where(F.length("_needle") > F.col("_n")).select(*keys, *named, "_needle")
-    checked = open_pairs.join(sources, list(keys)).where(F.contains("_src", F.col("_needle")))
+    checked = met.where(~whole).join(sources, list(keys)).where(F.contains("_src", F.col("_needle")))
     return exact.unionByName(checked.select(*keys, *named))
 
 
+def _needle_grams(needle: Column) -> Column:
+    """The distinct grams of a needle, a short one as it is."""
+    return F.when(F.length(needle) <= GRAM, F.array(needle)).otherwise(_grams(needle, GRAM))
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
+
+
+def gram_postings(sources: DataFrame, needles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, _gram)``: which blocks ``sources(keys, _src)`` hold which gram of ``needles(_needle)``, frozen."""
+    wanted = freeze(needles.select(F.explode(_needle_grams(F.col("_needle"))).alias("_gram")).distinct())
+    lengths = sorted(r.n for r in wanted.select(F.length("_gram").alias("n")).distinct().collect())  # GRAM rows at most
+    own = F.concat(*[_grams(F.col("_src"), n) for n in lengths]) if lengths else F.array().cast("array<string>")
+    some = wanted.limit(FEW_GRAMS + 1).collect()
+    if len(some) <= FEW_GRAMS:
+        held = F.array_intersect(own, F.lit([r["_gram"] for r in some]) if some else F.array().cast("array<string>"))
+        return freeze(sources.select(*keys, F.explode(held).alias("_gram")))
+    return freeze(sources.select(*keys, F.explode(own).alias("_gram")).join(broadcast_if_small(wanted), "_gram").select(*keys, "_gram"))
+
+
+def rarest_grams(posted: DataFrame, needles: DataFrame) -> DataFrame:
+    """``needles`` with ``_gram``, the one of their grams with the fewest postings; needles that can't occur are left out."""
+    held = posted.groupBy("_gram").agg(F.count(F.lit(1)).alias("_blocks"))
+    options = needles.withColumn("_gram", F.explode(_needle_grams(F.col("_needle")))).join(held, "_gram", "left")
+    names = needles.columns
+    best = options.groupBy(*names).agg(
+        F.min_by("_gram", F.struct(F.coalesce("_blocks", F.lit(0)), "_gram")).alias("_gram"), F.min(F.coalesce("_blocks", F.lit(0))).alias("_least")
+    )
+    return best.where("_least > 0").drop("_least")
+
+
 def rule_coverage(
     blocks: DataFrame,
     rules: DataFrame,
