@@ -141,6 +141,8 @@ def enrich(
     made = source.mapInPandas(run, schema=f"{out}, translated_text string, status string, error string", barrier=shared)
     if known is None:
         return made
+    # A barrier stage can't hold other rows than its own.
+    made = freeze(made) if shared else made
     kept = known.withColumns({"status": F.lit(schema.OK), "error": F.lit(None).cast("string")})
     return made.unionByName(kept.select(*made.columns))
 

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus.functions import paths
@@ -18,8 +18,10 @@ from pagecorpus.operators import cache, paging
 from pagecorpus.plans.catalogue import query
 from pagecorpus.plans.views import BOXES, CONV_BLOCKS, DOC_BLOCKS, PAGE_PATHS, Views
 from pagecorpus.session import freeze, work_path
-from pagecorpus.sources import archives, project_json, scan, store
+from pagecorpus.sources import archives, image_headers, project_json, scan, store
+from pagecorpus.sources.remote import filesystem
 from pagecorpus.sources.router import open_inputs
+from pagecorpus.streaming import folders
 
 
 @query(
@@ -378,10 +380,10 @@ def document_round_trip(v: Views) -> DataFrame:
     return _block_rows(store.from_documents(documents))
 
 
-@query(f"WITH {DOC_BLOCKS} SELECT {ROUND_TRIP} FROM doc_blocks WHERE pos % 3 <> 1")
+@query(f"WITH {DOC_BLOCKS}, gapped AS (SELECT page_key, CAST(pos * 3 + page_key % 2 AS INTEGER) AS pos, original_text FROM doc_blocks) SELECT {ROUND_TRIP} FROM gapped")
 def document_round_trip_gaps(v: Views) -> DataFrame:
     """The same with gaps in the positions and pages stored in several segments."""
-    gapped = v.doc_blocks.where(F.col("pos") % 3 != 1)
+    gapped = v.doc_blocks.withColumn("pos", (F.col("pos") * 3 + F.col("page_key") % 2).cast("int"))
     documents = store.to_documents(_records(v, gapped, segment=2))
     return _block_rows(store.from_documents(documents))
 
@@ -402,7 +404,10 @@ def document_quarantine(v: Views) -> DataFrame:
     return store.quarantined_documents(stored.withColumn("json", spoiled)).select("doc_id", "status")
 
 
-LONG = """long_blocks AS (SELECT event_id % 2 AS page_key, event_id // 2 AS pos, event_type AS original_text FROM events)"""
+# Blocks of a long page, above what one segment of a record holds.
+LONG_PAGE = 5_000
+LONG = f"""long_blocks AS (
+ SELECT event_id // {LONG_PAGE} AS page_key, event_id % {LONG_PAGE} AS pos, event_type AS original_text FROM events)"""
 
 
 @query(
@@ -410,9 +415,11 @@ LONG = """long_blocks AS (SELECT event_id % 2 AS page_key, event_id // 2 AS pos,
 SELECT page_key, count(*) AS n_blocks, string_agg(original_text, chr(10) ORDER BY pos) AS page_text FROM long_blocks GROUP BY page_key"""
 )
 def long_pages(v: Views) -> DataFrame:
-    """Two pages that share all events: one record and one text each."""
-    half = F.floor(F.col("event_id") / 2).alias("pos")
-    blocks = v.table("events").select((F.col("event_id") % 2).alias("page_key"), half, F.col("event_type").alias("original_text"))
+    """All events as blocks of pages of ``LONG_PAGE``: one record and one text each."""
+    event = F.col("event_id")
+    blocks = v.table("events").select(
+        F.floor(event / LONG_PAGE).alias("page_key"), (event % LONG_PAGE).alias("pos"), F.col("event_type").alias("original_text")
+    )
     records = b.assemble_pages(blocks, ["original_text"]).select("page_key", F.size("blocks").cast("bigint").alias("n_blocks"))
     return records.join(b.page_text(blocks), "page_key").select("page_key", "n_blocks", "page_text")
 
@@ -559,3 +566,107 @@ def assembled_pages(v: Views) -> DataFrame:
     pages = b.assemble_pages(v.doc_blocks, ["original_text"], segment=16)
     texts = F.array_join(F.transform("blocks", lambda x: x["original_text"]), "\n")
     return pages.select("page_key", "segment", texts.alias("joined"), F.size("blocks").cast("bigint").alias("n"))
+
+
+def _header(w: Column, h: Column) -> Column:
+    """The first bytes of an image of some format, as hexadecimal digits."""
+
+    def big(c: Column, n: int) -> Column:
+        return F.lpad(F.hex(c), 2 * n, "0")
+
+    def little(c: Column, n: int) -> Column:
+        digits = big(c, n)
+        return F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(n, 0, -1)])
+
+    png = ["89504E470D0A1A0A0000000D49484452", big(w, 4), big(h, 4), "0806000000"]
+    forms = [
+        png,
+        ["474946383961", little(w, 2), little(h, 2)],
+        ["424D" + "00" * 12 + "28000000", little(w, 4), little(h, 4)],
+        ["FFD8FFE000046162FFC0001108", big(h, 2), big(w, 2), "03"],
+        ["49492A00080000000200" + "0001030001000000", little(w, 2), "0000" + "0101030001000000", little(h, 2), "0000"],
+        ["4D4D002A000000080002" + "0100000300000001", big(w, 2), "0000" + "0101000300000001", big(h, 2), "0000"],
+        ["52494646160000005745425056503858" + "0A00000000000000", little(w - 1, 3), little(h - 1, 3)],
+        png[:1],
+    ]
+    rows = [F.concat(*[F.lit(p) if isinstance(p, str) else p for p in form]) for form in forms]
+    return F.element_at(F.array(*rows), (F.col("doc_id") % 8 + 1).cast("int"))
+
+
+@query(
+    """WITH sized AS (SELECT doc_id, CAST(1 + doc_id % 5000 AS INTEGER) AS w, CAST(1 + n_chars % 4000 AS INTEGER) AS h,
+ (['png', 'gif', 'bmp', 'jpeg', 'tiff', 'tiff', 'webp', NULL])[doc_id % 8 + 1] AS format FROM documents)
+SELECT doc_id, format, CASE WHEN format IS NOT NULL THEN w END AS width, CASE WHEN format IS NOT NULL THEN h END AS height,
+ CASE WHEN format IS NULL THEN 'invalid_image' ELSE 'ok' END AS status FROM sized"""
+)
+def image_sizes(v: Views) -> DataFrame:
+    """Headers of all page formats, and cut ones, with sizes made of the documents' numbers."""
+    w, h = F.col("doc_id") % 5000 + 1, F.col("n_chars") % 4000 + 1
+    headers = v.spread_table("documents", "doc_id", "n_chars").select("doc_id", F.unhex(_header(w, h)).alias("content"))
+    return image_headers.sizes_of(headers)
+
+
+# Versions in which the documents come to the table of ``keyed_look_up``.
+LOOK_UP_VERSIONS = 10
+
+
+@query(
+    f"""WITH {DOC_BLOCKS}, asked AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)
+SELECT CAST(page_key AS VARCHAR) AS cache_key, pos, concat(CASE WHEN page_key IN (SELECT doc_id FROM good) THEN 'again:' ELSE '' END, 'tr:', original_text)
+ AS translated_text FROM doc_blocks WHERE page_key IN (SELECT doc_id FROM asked)"""
+)
+def keyed_look_up(v: Views) -> DataFrame:
+    """A list of keys looked up in a table of many versions, after neighbouring ones were merged."""
+    root, records = work_path(v.spark, "translations"), freeze(_records(v))
+    labelled = lambda condition: v.table("labels").where(condition).select(F.col("doc_id").cast("string").alias("cache_key")).distinct()
+    for i in range(LOOK_UP_VERSIONS):
+        part = records.where(F.pmod(F.col("cache_key").cast("bigint"), F.lit(LOOK_UP_VERSIONS)) == i)
+        store.write_version(part, root, i, prefix_length=0)
+        store.merge_versions(v.spark, root)
+    renamed = F.transform("blocks", lambda x: x.withField("translated_text", F.concat(F.lit("again:"), x["translated_text"])))
+    store.write_version(records.join(labelled("quality = 1"), "cache_key", "left_semi").withColumn("blocks", renamed), root, LOOK_UP_VERSIONS)
+    found = store.read_current(v.spark, root, keys=labelled("toxic = 1"))
+    return _block_rows(found).select("cache_key", "pos", "translated_text")
+
+
+def _page_files(v: Views) -> DataFrame:
+    """Documents as page images by source, every fourth one in an archive, some of those broken."""
+    documents = v.spread_table("documents", "doc_id", "text", "source")
+    packed = _zip_rows(documents.where(F.col("doc_id") % 4 == 0)).select(F.concat(F.lit("packed/"), "path").alias("name"), "content")
+    ending = F.element_at(F.array(*[F.lit(e) for e in ("png", "JPG", "webp")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ending)
+    single = documents.where(F.col("doc_id") % 4 != 0).select(name.alias("name"), F.col("text").cast("binary").alias("content"))
+    return single.unionByName(packed)
+
+
+def _put_files(rows: DataFrame, folder: str) -> int:
+    """Write every row of ``(name, content)`` as a file; how many."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                files, base = filesystem(f"{folder}/{name}")
+                files.create_dir(base.rpartition("/")[0])
+                with files.open_output_stream(base) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.mapInPandas(put, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+@query(
+    """WITH named AS (SELECT doc_id, sha256(text) AS sha, octet_length(encode(text)) AS length,
+ concat(source, '/', doc_id, '.', (['png', 'JPG', 'webp'])[doc_id % 3 + 1]) AS name FROM documents)
+SELECT name, sha, length FROM named WHERE doc_id % 4 <> 0
+UNION ALL SELECT concat('pages/', doc_id, '.png'), sha, length FROM named WHERE doc_id % 4 = 0 AND doc_id % 50 <> 7"""
+)
+def arriving_files(v: Views) -> DataFrame:
+    """Page files and archives arrive in three lots; the stream's table holds what one scan of them would."""
+    root, checkpoint, folder = (work_path(v.spark, n) for n in ("pages", "stream", "arrivals"))
+    files = freeze(_page_files(v))
+    for lot in range(3):
+        _put_files(files.where(F.pmod(F.xxhash64("name"), F.lit(3)) == lot), folder)
+        folders.collect_pages(folders.file_arrivals(v.spark, folder), root, checkpoint).awaitTermination()
+    below = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    return folders.collected_pages(v.spark, root).select(F.coalesce("entry", below).alias("name"), "sha", "length")

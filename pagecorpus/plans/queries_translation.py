@@ -15,7 +15,7 @@ from pagecorpus.operators.blocks import assemble_pages, explode_pages
 from pagecorpus.session import freeze, shuffle_partitions, work_path
 from pagecorpus.sources import store
 from pagecorpus.streaming.auto_mode import auto_translate, parquet_arrivals, verdicts
-from pagecorpus.streaming.progress import page_progress
+from pagecorpus.streaming.progress import batch_progress, page_progress
 
 
 def echo(text: str, source: str, target: str) -> str:
@@ -165,7 +165,9 @@ def page_translation_records(v: Views) -> DataFrame:
 @query(
     f"""WITH {DOC_BLOCKS}, keyed AS (
  SELECT doc_id AS page_key, CASE WHEN doc_id % 9 <> 4 THEN concat(sha256(text), '-engine-v1-google-web') END AS cache_key FROM documents),
-blocks AS (SELECT * FROM doc_blocks WHERE page_key % 2 = 1 AND pos % 3 <> 1),
+copies AS (SELECT page_key, max(page_key) OVER (PARTITION BY cache_key) AS last FROM keyed WHERE cache_key IS NOT NULL),
+blocks AS (SELECT coalesce(last, b.page_key) AS page_key, b.page_key AS own, pos * 3 AS pos, original_text
+ FROM doc_blocks b LEFT JOIN copies c ON c.page_key = b.page_key),
 groups AS (SELECT cache_key, min(page_key) AS any_page, min(page_key) FILTER (WHERE page_key IN (SELECT page_key FROM blocks)) AS with_text
  FROM keyed WHERE cache_key IS NOT NULL GROUP BY cache_key),
 verdicts AS (SELECT cache_key, count(*) AS n_blocks, bool_or(starts_with(original_text, 'Is')) AS failed
@@ -175,9 +177,14 @@ SELECT page_key, k.cache_key, coalesce(n_blocks, 0) AS n_blocks, CASE WHEN k.cac
 FROM keyed k LEFT JOIN verdicts v ON k.cache_key = v.cache_key"""
 )
 def page_translation_untidy(v: Views) -> DataFrame:
-    """Copies with blocks on one side only, pages without hash, gaps in the positions."""
-    pages = v.doc_pages.withColumn("sha", F.when(F.col("page_key") % 9 != 4, F.col("sha")))
-    blocks = v.doc_blocks.where((F.col("page_key") % 2 == 1) & (F.col("pos") % 3 != 1))
+    """Copies whose blocks all lie on the last of them, pages without hash, gaps in the positions."""
+    pages = freeze(v.doc_pages.withColumn("sha", F.when(F.col("page_key") % 9 != 4, F.col("sha"))))
+    known = pages.where(F.col("sha").isNotNull())
+    last = known.groupBy("sha").agg(F.max("page_key").alias("last"))
+    places = known.join(last, "sha").select("page_key", "last")
+    moved = v.doc_blocks.join(places, "page_key", "left")
+    place = (F.col("pos") * 3 + (F.coalesce("last", "page_key") - F.col("page_key")) * 1_000_000).alias("pos")
+    blocks = moved.select(F.coalesce("last", "page_key").alias("page_key"), place, "original_text")
     nothing = v.spark.createDataFrame([], "cache_key string")
     memo = freeze(memory(v))
     return page_report(
@@ -237,6 +244,12 @@ def auto_mode_verdicts(v: Views) -> DataFrame:
     return found.select("page_key", "cache_key", F.when(done, "done").otherwise(F.col("outcome")).alias("outcome"))
 
 
+def _pages_and_lines(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    pages = batch.select(F.col("doc_id").alias("page_key"), F.sha2("text", 256).alias("sha"))
+    lines = F.posexplode(F.split("text", "\n")).alias("pos", "original_text")
+    return pages, batch.select(F.col("doc_id").alias("page_key"), lines)
+
+
 def _automatic(v: Views) -> str:
     """Run auto mode over all documents in three batches, copies and failing pages in each."""
     root, checkpoint, folder = (work_path(v.spark, n) for n in ("auto", "stream", "arrivals"))
@@ -247,13 +260,59 @@ def _automatic(v: Views) -> str:
     arrivals = parquet_arrivals(v.spark, folder, "*.parquet", landed.schema, each)
     memo = freeze(memory(v))
 
-    def to_pages(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pages = batch.select(F.col("doc_id").alias("page_key"), F.sha2("text", 256).alias("sha"))
-        lines = F.posexplode(F.split("text", "\n")).alias("pos", "original_text")
-        return pages, batch.select(F.col("doc_id").alias("page_key"), lines)
-
     run = auto_translate(
-        arrivals, root, checkpoint, to_pages, sample_rules(v), lambda texts: tr.from_memory(texts, memo), JOB
+        arrivals, root, checkpoint, _pages_and_lines, sample_rules(v), lambda texts: tr.from_memory(texts, memo), JOB
     )
     run.awaitTermination()
     return root
+
+
+@query(
+    f"""WITH {DOC_BLOCKS}, keyed AS (SELECT doc_id AS page_key, doc_id % {BATCHES} + 1 AS batch, sha256(text) AS sha FROM documents),
+lines AS (SELECT sha, count(*) AS n, count(*) FILTER (WHERE NOT starts_with(original_text, 'Is')) AS good
+ FROM (SELECT sha, min(page_key) AS page_key FROM keyed GROUP BY sha) JOIN doc_blocks USING (page_key) GROUP BY sha),
+seen AS (SELECT batch, sha, count(*) AS pages, batch > min(batch) OVER (PARTITION BY sha) AS later FROM keyed GROUP BY batch, sha),
+state AS (SELECT *, good < n AS bad, NOT (later AND good = n) AS work FROM seen JOIN lines USING (sha))
+SELECT batch, CAST(sum(pages) AS BIGINT) AS pages, CAST(coalesce(sum(pages) FILTER (WHERE NOT work), 0) AS BIGINT) AS cached,
+ CAST(coalesce(sum(pages) FILTER (WHERE work AND NOT bad), 0) AS BIGINT) AS translated,
+ CAST(coalesce(sum(pages) FILTER (WHERE bad), 0) AS BIGINT) AS failed, CAST(0 AS BIGINT) AS empty, CAST(0 AS BIGINT) AS unreadable,
+ CAST(coalesce(sum(good) FILTER (WHERE work), 0) AS BIGINT) AS completed, CAST(coalesce(sum(n) FILTER (WHERE work), 0) AS BIGINT) AS total
+FROM state GROUP BY batch"""
+)
+def stream_progress(v: Views) -> DataFrame:
+    """Auto mode started after each of three lots of documents: what every batch did."""
+    root, checkpoint, folder = (work_path(v.spark, n) for n in ("auto", "stream", "arrivals"))
+    documents, memo = v.table("documents").select("doc_id", "text"), freeze(memory(v))
+    for lot in range(BATCHES):
+        documents.where(F.col("doc_id") % BATCHES == lot).write.mode("append").parquet(folder)
+        arrivals = parquet_arrivals(v.spark, folder, "*.parquet", documents.schema)
+        auto_translate(
+            arrivals, root, checkpoint, _pages_and_lines, sample_rules(v), lambda texts: tr.from_memory(texts, memo), JOB
+        ).awaitTermination()
+    return batch_progress(v.spark, root)
+
+
+def _answering(mark: str, refuses: bool):
+    """A stand-in for a service that marks its answers."""
+
+    def answer(text: str, source: str, target: str) -> str:
+        if refuses and text.startswith("Is"):
+            raise ValueError("refused")
+        return f"{mark}:{text}"
+
+    return answer
+
+
+@query(
+    f"""WITH {CONV_BLOCKS}
+SELECT page_key, pos, concat(CASE WHEN starts_with(original_text, 'Is') THEN 'second:' ELSE 'first:' END, original_text) AS translated_text,
+ 'ok' AS status FROM conv_blocks"""
+)
+def journalled_answers(v: Views) -> DataFrame:
+    """Two runs with one journal: the second asks only what the first could not answer."""
+    journal = work_path(v.spark, "journal")
+    runs = [
+        tr.memo_translate(v.conv_blocks, lambda texts, f=service: tr.enrich(texts, f, tasks=8, whole_run=True, concurrency=8, journal=journal))
+        for service in (_answering("first", True), _answering("second", False))
+    ]
+    return runs[1].select("page_key", "pos", "translated_text", "status")
