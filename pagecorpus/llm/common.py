@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 import zlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,16 @@ def crc32_of(values) -> int:
     return zlib.crc32(values.tobytes())
 
 
+def give_back() -> None:
+    """Hand the memory that a task has freed back to the system: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def bare(df: DataFrame) -> DataFrame:
     """``df`` if it only selects and filters columns of one file relation, else a frozen copy.
 

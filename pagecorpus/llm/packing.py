@@ -10,7 +10,6 @@ the buckets before, so the pieces of one length never meet in one task.
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -19,10 +18,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagecorpus.llm.common import crc32_of
+from pagecorpus.llm.common import crc32_of, give_back
 from pagecorpus.session import freeze, spread
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -30,10 +30,14 @@ LENGTH, END = 2048, 1
 TOKENIZER = "byte_bpe_50k.json"
 #: Strings between blanks whose ids a worker keeps, and characters it works on at once.
 KEPT, BLOCK = 600_000, 1 << 20
+#: Texts of a batch that are encoded before they are cut into pieces.
+AT_ONCE = 512
 #: Pieces per hash bucket in which ranks are counted.
 BUCKET_ROWS = 100_000
 
-_TWO_BLANKS = re.compile(r"\s[ \n]")
+#: A blank of any kind before a blank or line break.
+_BLANK = "\t\n\v\f\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_TWO_BLANKS = f"[{_BLANK}][ \n]"
 
 
 class Encoder:
@@ -81,19 +85,45 @@ class Encoder:
         self.index.update(zip(new, range(at, at + len(new))))
 
     def encode(self, text: str) -> np.ndarray:
-        if len(text) > BLOCK:
-            return np.concatenate([self._block(b) for b in _blocks(text)])
-        return self._block(text)
-
-    def _block(self, text: str) -> np.ndarray:
-        if not text or "\0" in text or any(t in text for t in self.added) or _unsafe(text):
-            return self.whole(text) if text else np.zeros(0, dtype=np.uint32)
-        parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        if not parts[0]:
-            parts = parts[1:]
-        at = np.fromiter(map(self.index.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        return self.many(pa.array([text]))[0]
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each of some texts, without nulls; longer ones than ``BLOCK`` in parts."""
+        unsafe = pc.match_substring_regex(texts, _TWO_BLANKS)
+        for token in self.added:
+            unsafe = pc.or_(unsafe, pc.match_substring(texts, token))
+        unsafe = unsafe.to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        held, total = [], 0
+        for k in range(len(texts)):
+            if unsafe[k] or sizes[k] > BLOCK:
+                text = texts[k].as_py()
+                parts = [text] if any(t in text for t in self.added) else _blocks(text)
+                out[k] = np.concatenate([self.whole(p) if _unsafe(p) or len(parts) == 1 and unsafe[k] else self._short(pa.array([p]))[0] for p in parts])
+            elif sizes[k]:
+                held.append(k)
+                total += sizes[k]
+            if held and (total > BLOCK or k == len(texts) - 1):
+                for i, ids in zip(held, self._short(texts.take(pa.array(held)))):
+                    out[i] = ids
+                held, total = [], 0
+        return out
+
+    def _short(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of safe, non-empty texts: their strings between blanks are told apart in one go."""
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+        first = offsets[:-1] - offsets[0]
+        begins = (data == 32) | (data == 10)
+        begins[first] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts, len(data)).astype(np.int32)
+        strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        names = strings.dictionary.to_pylist()
+        at = np.fromiter(map(self.index.get, names, repeat(-1)), dtype=np.int64, count=len(names))
         missing = np.flatnonzero(at < 0)
-        new = list(dict.fromkeys(parts[i] for i in missing))
+        new = [names[i] for i in missing]
         known, used = len(self.index), self.used
         # Strings with a blank in front can stand one after the other; others start a text.
         for p in new:
@@ -102,17 +132,17 @@ class Encoder:
         rest = [p for p in new if p[0] in " \n"]
         if rest:
             self._learn(rest)
-        at[missing] = [self.index[parts[i]] for i in missing]
+        at[missing] = [self.index[p] for p in new]
+        at = at[strings.indices.to_numpy()]
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        places = np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + sizes, sizes)
-        ids = self.pool[places]
+        last = np.cumsum(sizes)
+        ids = self.pool[np.arange(last[-1]) + np.repeat(self.starts[at] - last + sizes, sizes)]
         if known + len(new) > self.kept:
-            # Full: what is known stays, the strings of this block are forgotten again.
+            # Full: what is known stays, the strings of this part are forgotten again.
             for p in new:
                 del self.index[p]
             self.used = used
-        return ids
+        return np.split(ids, last[np.searchsorted(starts, first[1:]) - 1])
 
 
 @lru_cache(maxsize=1)
@@ -123,21 +153,21 @@ def encoder(path: str, kept: int = KEPT) -> Encoder:
 
 def _unsafe(text: str) -> bool:
     """Whether a blank or line break follows another blank of any kind."""
-    return _TWO_BLANKS.search(text) is not None
+    return bool(pc.match_substring_regex(pa.array([text]), _TWO_BLANKS)[0].as_py())
 
 
-def _blocks(text: str) -> Iterator[str]:
+def _blocks(text: str) -> list[str]:
     """A long text cut before single blanks; one without any stays whole."""
-    at = 0
+    at, parts = 0, []
     while len(text) - at > BLOCK:
         cut = text.find(" ", at + BLOCK)
         while cut > 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace()):
             cut = text.find(" ", cut + 1)
         if cut < 0:
             break
-        yield text[at:cut]
+        parts.append(text[at:cut])
         at = cut
-    yield text[at:]
+    return [*parts, text[at:]]
 
 
 def default_tokenizer() -> str:
@@ -181,8 +211,9 @@ def tokenised(
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                 return pa.RecordBatch.from_arrays(columns, names)
 
-            for k, value in enumerate(batch.column(1)):
-                ids = np.append(own.encode(value.as_py() or ""), np.uint32(end)).astype("<u4")
+            texts = batch.column(1).fill_null("")
+            for k, found in enumerate(i for at in range(0, len(texts), AT_ONCE) for i in own.many(texts.slice(at, AT_ONCE))):
+                ids = np.append(found, np.uint32(end)).astype("<u4")
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]
                     origin.append(k)
@@ -197,6 +228,8 @@ def tokenised(
                     yield out()
                     origin, starts, sizes, checks, totals, kept, held = [], [], [], [], [], [], 0
             yield out()
+        del own
+        give_back()
 
     return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))).mapInArrow(cut, form)
 
