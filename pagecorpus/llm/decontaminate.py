@@ -99,33 +99,47 @@ class Items:
         return sorted(found)
 
 
-def _matches(item: np.ndarray, text: np.ndarray, length: int, free_i: np.ndarray, free_t: np.ndarray) -> list[tuple[int, int, int]]:
-    """Maximal runs of unmarked common tokens of at least ``length``: (size, in item, in text)."""
+def _longest(item: np.ndarray, text: np.ndarray, length: int, free_i: np.ndarray, free_t: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Size of the longest unmarked common runs if it is ``length`` or more, else 0, and their places in both.
+
+    Every hit of a window is followed along its diagonal from where the run begins, for all
+    places in the text at once, so memory is bounded by the text also where both sides repeat
+    one token.
+    """
 
     def windows(ids: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         taken = np.concatenate(([0], np.cumsum(~free)))
         at = np.flatnonzero(taken[length:] == taken[:-length])
         return rolling(ids, length)[at], at
 
-    if len(item) < length or len(text) < length:
-        return []
-    hashes, places = windows(item, free_i)
-    order = np.argsort(hashes, kind="stable")
-    hashes, places = hashes[order], places[order]
-    own, at = windows(text, free_t)
-    low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-    hit = np.flatnonzero(high > low)
-    pairs = {(int(places[k]), int(at[h])) for h in hit for k in range(low[h], high[h])}
-    found = []
-    for i, t in pairs:
-        if (i - 1, t - 1) not in pairs:
-            n = 1
-            while (i + n, t + n) in pairs:
-                n += 1
-            size = n + length - 1
-            if np.array_equal(item[i : i + size], text[t : t + size]):  # the hash alone proves nothing
-                found.append((size, i, t))
-    return found
+    best, places = 0, []
+    if len(item) >= length and len(text) >= length:
+        hashes, at_item = windows(item, free_i)
+        own, at_text = windows(text, free_t)
+        order = np.argsort(own, kind="stable")
+        own, at_text = own[order], at_text[order]
+        low, high = np.searchsorted(own, hashes, "left"), np.searchsorted(own, hashes, "right")
+        for k in np.flatnonzero(high > low):
+            i, t = int(at_item[k]), at_text[low[k] : high[k]]
+            if i and free_i[i - 1]:
+                t = t[(t == 0) | ~free_t[t - 1] | (text[t - 1] != item[i - 1])]
+            # Tokens are compared from the start: the hash alone proves nothing.
+            size = np.zeros(len(t), dtype=np.int64)
+            going = np.arange(len(t))
+            for n in range(len(item) - i):
+                if not len(going) or not free_i[i + n]:
+                    break
+                going = going[t[going] + n < len(text)]
+                going = going[free_t[t[going] + n] & (text[t[going] + n] == item[i + n])]
+                size[going] += 1
+            most = int(size.max(initial=0))
+            if most >= max(best, length):
+                places = places if most == best else []
+                best = most
+                places.append((i, t[size == most]))
+    if not places:
+        return 0, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return best, np.concatenate([np.full(len(t), i) for i, t in places]), np.concatenate([np.sort(t) for _, t in places])
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED, first: int = FIRST) -> list[tuple[int, int, int]]:
@@ -137,22 +151,22 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED, first: int = FI
     done: list[tuple[int, int, int]] = []
     length = max(least, min(first, len(item)))
     while True:
-        found = _matches(item, text, length, free_i, free_t)
-        longest = max((m[0] for m in found), default=0)
+        longest, at_item, at_text = _longest(item, text, length, free_i, free_t)
         if longest > 2 * length:
             length = longest
             continue
-        marked = False
-        # Only the longest are marked in a pass: what they leave of others is found again.
-        for size, i, t in sorted(m for m in found if m[0] == longest):
-            if free_i[i : i + size].all() and free_t[t : t + size].all():
-                free_i[i : i + size] = free_t[t : t + size] = False
-                done.append((size, i, t))
-                marked = True
-        if not marked:
+        if not longest:
             if length == least:
                 return done
             length = max(least, length // 2)
+        # Only the longest are marked in a pass: what they leave of others is found again.
+        while len(at_item):
+            i, t = int(at_item[0]), int(at_text[0])
+            free_i[i : i + longest] = free_t[t : t + longest] = False
+            done.append((longest, i, t))
+            taken = [np.concatenate(([0], np.cumsum(~free))) for free in (free_i, free_t)]
+            left = (taken[0][at_item + longest] == taken[0][at_item]) & (taken[1][at_text + longest] == taken[1][at_text])
+            at_item, at_text = at_item[left], at_text[left]
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[Items]:
@@ -192,6 +206,7 @@ def leaked_items(
         "n_tiles int, longest_tile int, tiles array<struct<item_start:int,text_start:int,length:int>>"
     )
     tile_type = pa.list_(pa.struct([("item_start", pa.int32()), ("text_start", pa.int32()), ("length", pa.int32())]))
+    item_type = items.select(item_id).limit(0).toArrow().schema.field(0).type
     spark = docs.sparkSession
 
     def against(block: Items) -> DataFrame:
@@ -216,7 +231,7 @@ def leaked_items(
                             )
                 columns = list(zip(*found)) or [()] * 8
                 types = [None, None, pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), tile_type]
-                types[0], types[1] = batch.column(0).type, pa.int32() if number == "int" else pa.string() if number == "string" else pa.int64()
+                types[0], types[1] = batch.column(0).type, item_type
                 names = ["doc_id", "item_id", "item_tokens", "covered_tokens", "coverage", "n_tiles", "longest_tile", "tiles"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 

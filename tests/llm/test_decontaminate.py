@@ -1,6 +1,7 @@
 """Greedy string tiling and the removal of leaked items."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -115,3 +116,22 @@ def test_awkward_rows(spark):
     kept = d.drop_leaking(awkward(spark), items)
     assert kept.columns == awkward(spark).columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 2, 3, 4, 8]
+
+
+def test_memory_of_repetitive_texts():
+    """One token over and over on both sides, a million times in the text."""
+    tracemalloc.start()
+    got = d.tiles(np.full(100, 7), np.full(1_000_000, 7))
+    assert got == [(100, 0, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "string", "double", "date", "decimal(9,2)", "binary"])
+def test_identifiers_of_any_type(spark, kind):
+    item = spark.range(1, 2).selectExpr("id AS item_id", "'alpha beta gamma delta epsilon zeta' AS text")
+    value = {"date": "date'2020-01-02'", "binary": "cast('x' AS binary)"}.get(kind, f"cast(item_id AS {kind})")
+    items = item.selectExpr(f"{value} AS item_id", "text")
+    found = d.leaked_items(item.selectExpr("item_id AS doc_id", "text"), items)
+    assert found.schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert [r.item_id for r in found.collect()] == [r.item_id for r in items.collect()]

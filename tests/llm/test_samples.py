@@ -29,3 +29,11 @@ def test_toxicity_sample_under_copies(spark, monkeypatch):
     chosen = toxicity._chosen(docs.join(labels, "doc_id"), "text", "toxic")
     found = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.countDistinct("text").alias("n")).collect()}
     assert found[1] >= 50 and found[0] >= 100
+
+
+def test_documents_with_a_label_column_of_their_own(spark):
+    docs = copied(spark, 40, 5).selectExpr("*", "'x' AS lang", "9 AS toxic", "'q' AS __other")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic", "'e' AS text")
+    labelled = toxicity.with_labels(docs, labels)
+    assert {r.toxic for r in labelled.select("toxic").collect()} == {0, 1}
+    assert toxicity.toxicity(docs, labelled).count() == 45
