@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecorpus.llm.common import FILE, ROW, bare, located, without
+from pagecorpus.llm.common import FILE, ROW, bare, give_back, located, without
 from pagecorpus.session import freeze, spread
 
 #: Tokens of a seed, and so of the shortest tile. A shorter item is a seed as a whole.
@@ -234,6 +234,7 @@ def leaked_items(
                 types[0], types[1] = batch.column(0).type, item_type
                 names = ["doc_id", "item_id", "item_tokens", "covered_tokens", "coverage", "n_tiles", "longest_tile", "tiles"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            give_back()
 
         return rows.mapInArrow(run, form)
 

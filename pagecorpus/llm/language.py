@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagecorpus.llm.common import give_back
 from pagecorpus.session import broadcast_if_small, freeze, spread
 
 UNDETERMINED = "und"
@@ -168,6 +169,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
                         found.setdefault((lang_, size), Counter()).update(dict(zip(grams.tolist(), times.tolist())))
             rows = [(k, size, g, n) for (k, size), c in found.items() for g, n in c.items()]
             yield pd.DataFrame(rows, columns=["lang", "size", "gram", "n"])
+            del found, rows
+        give_back()
 
     sample = spread(freeze(_sample(labelled, text, lang, per_language)))
     counted = sample.mapInPandas(count, "lang string, size int, gram bigint, n bigint")
@@ -202,6 +205,7 @@ def identify(spark: SparkSession, filters: Filters, text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([predict(t, shared.value) for t in batch], columns=["lang", "score", "fit"])
+        give_back()
 
     return run(text)
 

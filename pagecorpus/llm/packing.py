@@ -10,6 +10,7 @@ the buckets before, so the pieces of one length never meet in one task.
 from __future__ import annotations
 
 import math
+import os
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -51,6 +52,7 @@ class Encoder:
     def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.index: dict[str, int] = {}
@@ -64,7 +66,8 @@ class Encoder:
             self.bytes[number] = len(token)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        # The form without character offsets, which nobody asks for here.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def _learn(self, new: list[str]) -> None:
         """Encode new strings in one go and cut the ids where the bytes of each end."""
