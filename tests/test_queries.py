@@ -34,7 +34,7 @@ def catalogue_names():
     return sorted(n for n in entry_module.queries() if catalogue.MODULES.get(n, "").startswith(own))
 
 
-PYTHON = {"expand_archives", "enrich_texts"}
+PYTHON = {"expand_archives", "enrich_texts", "arriving_files", "image_sizes", "journalled_answers"}
 
 
 UNWANTED = ("MapInPandas", "PythonUDF", "ArrowEval", "BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
