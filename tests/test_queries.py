@@ -75,8 +75,11 @@ def test_entry_has_rows(spark):
     assert entry_module.entry(spark).count() > 0
 
 
-def test_page_job_scans_texts_twice(spark, frozen_plans):
-    """Once for the hashes, once for the blocks; the memo's own table is not the job's."""
+def test_page_job_scans_of_texts(spark, frozen_plans):
+    """For the hashes, for the page keys of the blocks (here made of the texts), and for the chosen blocks.
+
+    The memo's own table is not the job's.
+    """
     views = Views(spark, FOLDER)
     memo = session.freeze(queries_translation.memory(views))
     pages = page_translation.freeze(views.doc_pages)
@@ -91,4 +94,4 @@ def test_page_job_scans_texts_twice(spark, frozen_plans):
     )
     page_translation.page_report(result)
     scans = sum(len(re.findall(r"FileScan parquet [^\n]*documents.parquet[^\n]*text:string", plan)) for plan in frozen_plans)
-    assert scans == 2
+    assert scans == 3
