@@ -32,7 +32,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Strings between blanks whose ids a worker keeps, and characters it works on at once.
 KEPT, BLOCK = 600_000, 1 << 20
 #: Texts of a batch that are encoded before they are cut into pieces.
-AT_ONCE = 512
+AT_ONCE = 128
 #: Pieces per hash bucket in which ranks are counted.
 BUCKET_ROWS = 100_000
 
@@ -203,6 +203,7 @@ def tokenised(
     form = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # of what other work has left in this worker
         own = (encoder if retain else Encoder)(tokenizer or default_tokenizer(), strings)
         for batch in batches:
             origin, starts, sizes, checks, totals, kept, held = [], [], [], [], [], [], 0
