@@ -30,12 +30,19 @@ def _rule_key() -> Column:
 
 
 def _inline_rules(rules: DataFrame, limit: int = INLINE_LIMIT) -> list | None:
-    """Rules in order when they are few, else None. Counted before any of them is fetched."""
-    sized = F.coalesce(F.sum(F.greatest(F.lit(1), F.size("replacements"))), F.lit(0)).alias("n")
-    if rules.agg(sized).first().n > limit:
-        return None
-    rows = rules.select("rule_ord", "needles", "replacements", _rule_key().alias("key")).collect()
-    return sorted(rows, key=lambda r: (r.rule_ord, r.key))
+    """Rules in order when they are few, else None.
+
+    Counted before any of them is fetched, and asked once per table: jobs use it in every batch.
+    """
+    known = getattr(rules, "_pagecorpus_rules", None)
+    if known is None or (known[1] is None and known[0] <= limit):
+        sized = F.coalesce(F.sum(F.greatest(F.lit(1), F.size("replacements"))), F.lit(0)).alias("n")
+        n, rows = rules.agg(sized).first().n if known is None else known[0], None
+        if n <= limit:
+            rows = rules.select("rule_ord", "needles", "replacements", _rule_key().alias("key")).collect()
+            rows = sorted(rows, key=lambda r: (r.rule_ord, r.key))
+        known = rules._pagecorpus_rules = (n, rows)
+    return known[1] if known[0] <= limit else None
 
 
 def is_inline(rules: DataFrame, limit: int = INLINE_LIMIT) -> bool:

@@ -14,7 +14,7 @@ from pagecorpus.operators.blocks import assemble_pages, explode_pages
 from pagecorpus.operators.cache import cache_hits, cache_misses, content_groups
 from pagecorpus.operators.glossary import is_inline, refine
 from pagecorpus.operators.skew import spread_lookup
-from pagecorpus.operators.translate import apply_memo, distinct_texts, split_pages
+from pagecorpus.operators.translate import apply_memo, distinct_texts
 from pagecorpus.session import freeze, is_frozen
 
 
@@ -48,14 +48,16 @@ class TranslatedPages:
     """``pages``: every page with its cache key, null if its content has no hash. ``groups``:
     each cache key once, with its first page and its number of copies. ``hits``: groups the
     cache answers. ``units``: groups to translate, with the first page that has blocks (or
-    the first) and their number. ``processed``: all their blocks with a status. ``blocks``:
-    corrected blocks of units without failure. ``quarantine``: blocks of the other units.
-    ``empty``: units of which no copy has text."""
+    the first) and their number. ``outcomes``: blocks and failed blocks of units with text.
+    ``processed``: all their blocks with a status. ``blocks``: corrected blocks of units
+    without failure. ``quarantine``: blocks of the other units. ``empty``: units of which no
+    copy has text."""
 
     pages: DataFrame
     groups: DataFrame
     hits: DataFrame
     units: DataFrame
+    outcomes: DataFrame
     processed: DataFrame
     blocks: DataFrame
     quarantine: DataFrame
@@ -113,10 +115,15 @@ def translate_pages(
     with_text = units.where(F.col("page_blocks").isNotNull()).select("page_key", "cache_key", "page_blocks")
     work = freeze(spread_lookup(blocks, with_text, ["page_key"], "page_blocks", ["pos"]))
     memo = corrected_memo(work, rules, translate)
-    done = freeze(apply_memo(work, memo).drop("uses"))
-    complete, quarantine = split_pages(done)
+    # The memo cost the calls and is kept; joining it again is cheaper than keeping the blocks twice.
+    done = apply_memo(work, memo).drop("uses")
+    failed = F.count_if(F.col("status") != schema.OK).alias("n_failed")
+    outcomes = freeze(done.groupBy("cache_key", "page_key").agg(F.count(F.lit(1)).alias("n_blocks"), failed))
+    marked = spread_lookup(done, outcomes.drop("cache_key"), ["page_key"], "n_blocks", ["pos"])
+    complete = marked.where("n_failed = 0").drop("n_failed")
+    quarantine = marked.where("n_failed > 0").withColumn("page_status", F.lit(schema.PAGE_FAILED))
     empty = units.where(F.col("page_blocks").isNull()).withColumn("status", F.lit(schema.NO_TEXT_BLOCKS))
-    return TranslatedPages(keyed, groups, hits, units, done, complete, quarantine, empty)
+    return TranslatedPages(keyed, groups, hits, units, outcomes, done, complete, quarantine, empty)
 
 
 def page_records(result: TranslatedPages, job: TranslationJob, created_at: Column | None = None) -> DataFrame:
@@ -153,19 +160,12 @@ def page_report(result: TranslatedPages) -> DataFrame:
 
     Pages of equal content share the outcome of the page that stands for them.
     """
-    whole = F.bool_and(F.col("status") == schema.OK)
-    outcome = (
-        result.processed.groupBy("cache_key")
-        .agg(
-            F.count(F.lit(1)).alias("n_blocks"),
-            F.when(whole, "translated").otherwise(schema.PAGE_FAILED).alias("outcome"),
-        )
-        .unionByName(result.empty.select("cache_key", F.lit(0).alias("n_blocks"), F.col("status").alias("outcome")))
-    )
-    copies = result.groups.select("cache_key", "n_copies").join(outcome, "cache_key", "left")
+    units = result.units.select("cache_key", "n_copies").join(result.outcomes.drop("page_key"), "cache_key", "left")
+    state = F.when(F.col("n_failed").isNull(), schema.NO_TEXT_BLOCKS).when(F.col("n_failed") > 0, schema.PAGE_FAILED)
+    units = units.withColumn("outcome", state.otherwise("translated")).drop("n_failed")
     pages = result.pages.select("page_key", "cache_key")
     readable = pages.where(F.col("cache_key").isNotNull())
-    joined = spread_lookup(readable, freeze(copies), ["cache_key"], "n_copies", ["page_key"])
+    joined = spread_lookup(readable, units, ["cache_key"], "n_copies", ["page_key"], how="left")
     report = joined.select(
         "page_key",
         "cache_key",

@@ -102,7 +102,8 @@ def translate_batch(
     result = translate_pages(pages, blocks, known, rules, translate, job)
     store.write_version(page_records(result, job), root, version, prefix_length=0)
     written = versions.write(page_report(result), _verdict_root(root), version, "page_key")
-    blocks_done = result.processed.agg(F.count_if(F.col("status") == schema.OK).alias("completed"), F.count(F.lit(1)).alias("total"))
+    total = F.coalesce(F.sum("n_blocks"), F.lit(0))
+    blocks_done = result.outcomes.agg((total - F.coalesce(F.sum("n_failed"), F.lit(0))).alias("completed"), total.alias("total"))
     progress.write_batch_progress(spark, root, version, {**progress.outcome_counts(written), **blocks_done.first().asDict()})
 
 
