@@ -149,22 +149,13 @@ def test_progress_of_a_stream(spark, tmp_path):
     assert [(r["batch"], r["rows"]) for r in told if r["rows"]] == [(0, 3), (1, 3)] and all(r["seconds"] > 0 for r in told)
 
 
-def test_time_and_rows_of_a_batch_stay_flat(spark, tmp_path):
-    """Thirty batches: versions are merged, so the last looks at few folders and few rows."""
+def test_versions_are_merged_on_the_way(spark, tmp_path):
+    """Ten batches: the first seven versions and the empty one are one folder when the last looks."""
     folder, root, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
-    rules, took = spark.createDataFrame([], schema.RULES), []
-    listener = StreamProgress(lambda row: took.append(row["seconds"]))
-    for i in range(20):
+    for i in range(10):
         lot = [(10 * i + k, f"line {i} {k}") for k in range(5)]
         spark.createDataFrame(lot, DOCUMENT).coalesce(1).write.mode("append").parquet(folder)
-    spark.streams.addListener(listener)
-    try:
-        arrivals = parquet_arrivals(spark, folder, "*.parquet", DOCUMENT, files_per_batch=1)
-        auto_translate(arrivals, root, checkpoint, to_pages, rules, shout, JOB).awaitTermination()
-        assert listener.ended.wait(20)
-    finally:
-        spark.streams.removeListener(listener)
-    assert store.read_current(spark, root).count() == 100
-    assert len(versions.runs(spark, root)) <= 2 * versions.FAN
-    usual = sorted(took[3:8])[2]
-    assert sorted(took[-5:])[2] < 2 * usual
+    arrivals = parquet_arrivals(spark, folder, "*.parquet", DOCUMENT, files_per_batch=1)
+    auto_translate(arrivals, root, checkpoint, to_pages, spark.createDataFrame([], schema.RULES), shout, JOB).awaitTermination()
+    assert store.read_current(spark, root).count() == 50
+    assert [(r.low, r.high) for r in versions.runs(spark, root)] == [(0, 7), (8, 8), (9, 9), (10, 10)]
