@@ -110,60 +110,91 @@ def test_base_scores_against_brute_force(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def slow_tree(texts, symbols, score_text, size):
-    """The same tree with dictionaries: retained contexts, smoothed distributions, longest suffix."""
-    start, end = size - 1, size - 2
-    grams = Counter()
-    for t in texts:
-        line = [start, start, *[symbols.get(w, 0) for w in t], end]
-        grams.update(zip(line, line[1:], line[2:]))
-    by = {0: Counter(), 1: {}, 2: {}}
-    for (a, b, c), n in grams.items():
-        by[0][c] += n
-        by[1].setdefault(b, Counter())[c] += n
-        by[2].setdefault((a, b), Counter())[c] += n
-    total = sum(by[0].values())
-    root = {c: (by[0][c] + 0.1) / (total + 0.1 * (size - 1)) for c in range(size - 1)}
-
-    def kept(counts, suffix):
-        n = sum(counts.values())
-        gain = sum(x * math.log2(x / n / suffix[c]) for c, x in counts.items())
-        return gain > suffix_tree.LEAST_GAIN * len(counts)
-
-    def smoothed(counts, suffix):
-        n, w = sum(counts.values()), suffix_tree.TOWARDS_SUFFIX
-        return {c: (counts[c] + w * suffix[c]) / (n + w) for c in range(size - 1)}
-
-    one = {b: smoothed(x, root) for b, x in by[1].items() if kept(x, root)}
-    two = {k: smoothed(x, one.get(k[1], root)) for k, x in by[2].items() if kept(x, one.get(k[1], root))}
-    line = [start, start, *[symbols.get(w, 0) for w in score_text], end]
-    return sum(math.log10(two.get((a, b), one.get(b, root))[c]) for a, b, c in zip(line, line[1:], line[2:])), len(one), len(two)
-
-
-def test_tree_against_dictionaries(monkeypatch):
-    monkeypatch.setattr(suffix_tree, "LEAST_GAIN", 0.5)
+class SlowTree:
+    """The same tree with dictionaries of word tuples and a recursive chance."""
+
+    def __init__(self, texts):
+        lines = [("<", *suffix_tree.tokens_of(t), suffix_tree.END) for t in texts]
+        grams = Counter(tuple(x[i : i + k]) for x in lines for k in range(1, suffix_tree.DEEPEST + 2) for i in range(len(x) - k + 1))
+        self.words = {g[0]: n for g, n in grams.items() if len(g) == 1 and g != ("<",)}
+        self.tokens = sum(self.words.values())
+        self.states, self.longest = {}, 0
+        examined = {(w,): n for w, n in self.words.items() if n >= 2 and w != suffix_tree.END} | {("<",): len(lines)}
+        for length in range(1, suffix_tree.DEEPEST + 1):
+            seen = {g: n for g, n in grams.items() if len(g) == length + 1 and n >= 2 and g[:-1] in examined}
+            own = {}
+            for g, n in seen.items():
+                if n * math.log2(n / examined[g[:-1]] / self.chance(g[1:-1], g[-1])) > suffix_tree.LEAST_GAIN:
+                    own.setdefault(g[:-1], {})[g[-1]] = n
+            if not own:
+                break
+            self.longest = length
+            for context, following in own.items():
+                total = examined[context]
+                self.states[context] = (following, total - sum(following.values()) + len(following), total + len(following))
+            examined = {g: n for g, n in seen.items() if g[-1] != suffix_tree.END and g[1:] in own}
+
+    def chance(self, context, word):
+        if not context:
+            return (self.words.get(word, 0) + 0.1) / (self.tokens + 0.1 * (len(self.words) + 1))
+        if context not in self.states:
+            return self.chance(context[1:], word)
+        following, left, whole = self.states[context]
+        return (following.get(word, 0) + left * self.chance(context[1:], word)) / whole
+
+    def score(self, text):
+        line = ["<", *suffix_tree.tokens_of(text), suffix_tree.END]
+        return sum(math.log10(self.chance(tuple(line[max(0, i - suffix_tree.DEEPEST) : i]), line[i])) for i in range(1, len(line)))
+
+
+def test_tree_of_the_query_against_dictionaries(spark):
+    from pagecorpus.llm.queries import op8_suffix_tree
+
+    texts = {r["doc_id"]: r["text"] for r in documents()}
+    slow = SlowTree([t for i, t in texts.items() if crc(i) % 10])
+    found = op8_suffix_tree(spark, FOLDER).collect()
+    assert len(found) == len(texts) and slow.states
+    for r in found:
+        assert r.score == pytest.approx(slow.score(texts[r.doc_id]), abs=1e-5)
+
+
+def test_deep_contexts_and_joined_grams(spark, monkeypatch):
+    """Contexts of every length, with all grams carried and with nearly none; chances sum to one."""
+    monkeypatch.setattr(suffix_tree, "LEAST_GAIN", 1.0)
     rng = np.random.default_rng(2)
-    size = 8
     texts = []
-    for _ in range(150):
+    for _ in range(120):
         text, last = [], 0
         for _ in range(rng.integers(0, 30)):
-            last = (last + 1) % 6 if rng.random() < 0.6 else int(rng.integers(0, 6))
+            last = (last + 1 + (text[-3:-2] == [2])) % 6 if rng.random() < 0.6 else int(rng.integers(0, 6))
             text.append(last)
-        texts.append(text)
-    symbols = {w: w for w in range(1, 6)}
-    counts = np.zeros((size, size, size), dtype=np.int64)
-    for t in texts:
-        before, after = suffix_tree._contexts(np.array([symbols.get(w, 0) for w in t], dtype=np.int64), size)
-        np.add.at(counts.reshape(size * size, size), (before, after), 1)
-    state, logs = suffix_tree.grow(counts)
-    n_states = len(set(state.ravel().tolist()))
-    for t in [[], [1, 2, 3], texts[5], texts[7] + texts[9]]:
-        before, after = suffix_tree._contexts(np.array([symbols.get(w, 0) for w in t], dtype=np.int64), size)
-        expected, one, two = slow_tree(texts, symbols, t, size)
-        assert logs[state.ravel()[before], after].sum() == pytest.approx(expected, abs=1e-9)
-        assert len(logs) == 1 + one + two and one and two and n_states > 1
-    assert np.allclose((10 ** logs[:, :-1]).sum(axis=1), 1)
+        texts.append(" ".join(f"w{x}" for x in text))
+    texts += ["x w1 y w2 z w3", "q w1 y w2 z w4"] * 3
+    slow = SlowTree(texts)
+    assert slow.longest == suffix_tree.DEEPEST
+    for context in [(), ("<",), *list(slow.states)[::17]]:
+        unseen = slow.chance(context, b"unseen")
+        assert sum(slow.chance(context, w) for w in slow.words) + unseen == pytest.approx(1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for carried, chunk in ((suffix_tree.CARRIED_GRAMS, suffix_tree.CHUNK), (5, 40)):
+        monkeypatch.setattr(suffix_tree, "CARRIED_GRAMS", carried)
+        monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+        monkeypatch.setattr(suffix_tree, "PAIRS", chunk)
+        found = suffix_tree.score_texts(docs, F.lit(True)).collect()
+        assert len(found) == len(texts)
+        for r in found:
+            assert r.score == pytest.approx(slow.score(texts[r.doc_id]), abs=1e-6)
+
+
+def test_keys_equal_those_of_spark(spark):
+    rng = np.random.default_rng(5)
+    first, last = (rng.integers(-(2**63), 2**63 - 1, 200, dtype=np.int64) for _ in range(2))
+    table = spark.createDataFrame([(int(a), int(b)) for a, b in zip(first, last)], "a bigint, b bigint")
+    found = {(r.a, r.b): r.k for r in table.select("a", "b", F.xxhash64("a", "b").alias("k")).collect()}
+    assert [found[int(a), int(b)] for a, b in zip(first, last)] == suffix_tree.joined_keys(first, last).tolist()
+    words = spark.createDataFrame([(w,) for w in (b"a", b"a longer word than 32 bytes, as they come", "\u00fc".encode())], "w binary")
+    for r in words.select("w", F.xxhash64("w").alias("k")).collect():
+        assert suffix_tree._symbols([bytes(r.w)], {}, np.zeros(0, dtype=np.int64))[1].tolist() == [r.k]
 
 
 def test_words_looked_up_by_the_join(spark, monkeypatch):
