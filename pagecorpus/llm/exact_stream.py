@@ -6,13 +6,16 @@ row's content, and a count. Before the shuffle every task folds its rows of a di
 one, so a group of copies of any size costs one row per task. Where a digest is hit more
 than once the full bytes are compared, again as a combinable aggregate; a digest that
 stands for several texts is resolved by the texts themselves.
+
+:func:`follow` keeps state, updates and progress in a folder of the user, so a later call
+reads only the files that have arrived since and meets the groups of all earlier ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagecorpus.llm.common import FILE, ROW, bare, located, without
@@ -44,8 +47,48 @@ def exact_groups(
     rows = located(bare(docs), [F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text")])
     rows = rows.withColumn("digest", digest(F.col("_text")))
     arrivals = freeze(rows.drop("_text"))
-    groups = _final_state(arrivals, files_per_batch)
+    return _decided(rows, arrivals, _final_state(arrivals, files_per_batch))
+
+
+def follow(
+    spark: SparkSession,
+    folder: str,
+    state: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    digest: Callable[[Column], Column] = sha256,
+    files_per_batch: int = 64,
+) -> DataFrame:
+    """:func:`exact_groups` of all rows of the Parquet files in ``folder``, continued from call to call.
+
+    ``state`` is a folder on shared storage. The first call makes it; a later call puts only
+    files that are new since into the stream, and the row that stays may change when one with a
+    larger identifier arrives. A call that is stopped can be repeated: finished batches aren't
+    read again, an unfinished one is replayed. One call at a time may use a ``state``, always
+    with the same ``digest``. Files must arrive whole and stay; one that arrives during a call
+    belongs to the next. A folder with empty tables only gives no rows.
+    """
+    source = spark.read.parquet(folder)
 
+    def arrived(files: DataFrame) -> DataFrame:
+        found = located(files, [F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text")])
+        return found.withColumn("digest", digest(F.col("_text")))
+
+    rows = arrived(source)
+    arrivals = freeze(rows.drop("_text"))
+    groups = _final_state(
+        arrivals,
+        files_per_batch,
+        lambda session: arrived(
+            session.readStream.schema(source.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+        ).drop("_text"),
+        state.rstrip("/"),
+    )
+    return _decided(rows, arrivals, groups)
+
+
+def _decided(rows: DataFrame, arrivals: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every row with its group, after the bytes of repeated digests have been compared."""
     repeated = broadcast_if_small(groups.where("group_size > 1").select("digest"))
     hits = rows.join(repeated, "digest", "left_semi")
     spread = hits.groupBy("digest").agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"))
@@ -72,11 +115,17 @@ def exact_groups(
     )
 
 
-def _final_state(arrivals: DataFrame, files_per_batch: int) -> DataFrame:
+def _final_state(
+    arrivals: DataFrame,
+    files_per_batch: int,
+    stream_of: Callable[[SparkSession], DataFrame] | None = None,
+    state: str | None = None,
+) -> DataFrame:
     """``(digest, keeper, group_size)`` after all micro-batches.
 
-    Every batch writes the groups it changed below its own number, so a replayed batch
-    writes the same rows again. Counts only grow: the largest is the last.
+    The stream reads the files of ``arrivals`` unless ``stream_of`` makes another. Every batch
+    writes the groups it changed below its own number, so a replayed batch writes the same
+    rows again. Counts only grow: the largest is the last.
     """
     spark = arrivals.sparkSession
     session = spark.newSession()
@@ -85,20 +134,28 @@ def _final_state(arrivals: DataFrame, files_per_batch: int) -> DataFrame:
     # Many small stores: without this each of them reserves several megabytes of disk.
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    updates, checkpoint = work_path(spark, "updates"), work_path(spark, "stream")
-    folder = arrivals.inputFiles()[0].rpartition("/")[0] if arrivals.inputFiles() else None
+    if state is None:
+        updates, checkpoint = work_path(spark, "updates"), work_path(spark, "stream")
+    else:
+        updates, checkpoint = f"{state}/updates", f"{state}/stream"
+    if stream_of is None and arrivals.inputFiles():
+        folder = arrivals.inputFiles()[0].rpartition("/")[0]
+
+        def stream_of(session: SparkSession) -> DataFrame:
+            return session.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
     keeper = F.max(F.struct("doc_id", FILE, ROW)).alias("keeper")
     counted = F.count(F.lit(1)).alias("group_size")
     none = arrivals.limit(0).groupBy("digest").agg(keeper, counted)
-    none.write.parquet(f"{updates}/batch=-1")
-    if folder is not None:
-        stream = session.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    none.write.mode("ignore").parquet(f"{updates}/batch=-1")
+    if stream_of is not None:
 
         def on_batch(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
         run = (
-            stream.groupBy("digest")
+            stream_of(session)
+            .groupBy("digest")
             .agg(keeper, counted)
             .writeStream.outputMode("update")
             .foreachBatch(on_batch)

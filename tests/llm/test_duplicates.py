@@ -137,6 +137,39 @@ def test_exact_over_several_batches_and_colliding_digests(spark, tmp_path, files
         assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found.collect()} == expected
 
 
+def test_state_goes_on_with_new_files(spark, tmp_path):
+    """Three calls over one state: only new files are read, groups span all calls, collisions are resolved."""
+    folder, state = str(tmp_path / "files"), str(tmp_path / "state")
+    lots = [
+        [(1, "a"), (2, "b"), (3, None)],
+        [(4, "a"), (0, "b"), (None, ""), (5, "c")],
+        [(6, "ab"), (7, "a"), (7, "a")],
+    ]
+
+    def weak(text):
+        return F.substring(F.concat(text, F.lit("-")), 1, 1)
+
+    so_far = []
+    for number, lot in enumerate(lots):
+        rows = spark.createDataFrame([(i, x, "d") for i, x in lot], "doc_id bigint, text string, digest string")
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        so_far += lot
+        found = exact_stream.follow(spark, folder, state, digest=weak).collect()
+        sizes = Counter(x or "" for _, x in so_far)
+        keep = {}
+        for i, x in so_far:
+            keep[x or ""] = max(keep.get(x or "", -1), -1 if i is None else i)
+        expected = Counter((i, keep[x or ""], sizes[x or ""]) for i, x in so_far)
+        assert Counter((r.doc_id, r.keep_id, r.group_size) for r in found) == expected
+        assert sum(r.kept for r in found) == len(sizes)
+        batches = sorted(p.name for p in (tmp_path / "state" / "updates").iterdir())
+        assert batches == sorted(f"batch={n}" for n in range(-1, number + 1))
+    # Nothing new: the same answer, and no further batch.
+    again = exact_stream.follow(spark, folder, state, digest=weak).collect()
+    assert Counter(again) == Counter(found)
+    assert len(list((tmp_path / "state" / "updates").iterdir())) == len(batches)
+
+
 def test_state_is_read_in_batches(spark, tmp_path):
     """A digest that comes back in a later batch meets the state of the earlier ones."""
     folder = str(tmp_path / "arrivals")
