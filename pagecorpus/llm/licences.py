@@ -2,9 +2,10 @@
 
 Every template is indexed under its rarest words by the corpus' own document frequencies.
 A file's occurrences of those words are looked up, each posting gives the place where the
-template would begin, and every such place is verified: all mandatory key phrases must
-stand there, and the weighted share of the template's words that agree is the score. All
-occurrences are looked up, so no place is lost; each row is worked out on its own.
+template would begin, and the postings of a template's words are intersected: only a place
+that all of them give is verified. All mandatory key phrases must stand there, and the
+weighted share of the template's words that agree is the score. All occurrences are looked
+up and only mandatory words are indexed, so no place is lost; each row is worked out on its own.
 """
 
 from __future__ import annotations
@@ -132,16 +133,25 @@ def licence_notices(
     counts, rows = document_frequencies(docs, text, vocabulary)
     weight = {w: math.log((rows + 1) / (counts.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
 
-    postings: dict[str, list[tuple[int, int]]] = {}
+    # By rank: the rarest mandatory words of every template, the next ones, ... Only mandatory
+    # words may be indexed: a place that is kept has all of them. A shorter template repeats its last.
+    postings: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(INDEXED)]
     for number, t in enumerate(templates):
-        # Only mandatory words may be indexed: a place that is kept has all of them.
         rarest = sorted(t.mandatory, key=lambda i: (-weight[t.words[i]], i))
-        for i in rarest[:INDEXED]:
-            postings.setdefault(t.words[i], []).append((number, i))
-    indexed = sorted(postings)
-    posted = F.array(
-        *[F.array(*[F.struct(F.lit(n).alias("template"), F.lit(i).alias("offset")) for n, i in postings[w]]) for w in indexed]
-    )
+        for rank, entries in enumerate(postings):
+            i = rarest[min(rank, len(rarest) - 1)]
+            entries.setdefault(t.words[i], []).append((number, i))
+    indexed = sorted({w for entries in postings for w in entries})
+    entry_type = "array<struct<template:int,offset:int>>"
+    posted = [
+        F.array(
+            *[
+                F.array(*[F.struct(F.lit(n).alias("template"), F.lit(i).alias("offset")) for n, i in entries.get(w, [])]).cast(entry_type)
+                for w in indexed
+            ]
+        )
+        for entries in postings
+    ]
     known = F.array(
         *[
             F.struct(
@@ -169,13 +179,22 @@ def licence_notices(
     hits = F.when(F.arrays_overlap("_w", index), hits)
     found = found.withColumn("_hits", hits)
 
-    def alignments(hit: Column) -> Column:
-        return F.transform(
-            F.element_at(posted, hit["entry"]),
-            lambda p: F.struct(p["template"].alias("template"), (hit["at"] - p["offset"]).alias("start")),
-        )
+    def starts(entries: Column) -> Column:
+        """Where templates would start by the postings of one rank."""
+
+        def alignments(hit: Column) -> Column:
+            return F.transform(
+                F.element_at(entries, hit["entry"]),
+                lambda p: F.struct(p["template"].alias("template"), (hit["at"] - p["offset"]).alias("start")),
+            )
+
+        return F.flatten(F.transform("_hits", alignments))
 
-    found = found.withColumn("_places", F.array_distinct(F.flatten(F.transform("_hits", alignments))))
+    # The postings intersected by relative position: all ranks agree on template and start.
+    places = starts(posted[0])
+    for entries in posted[1:]:
+        places = F.array_intersect(places, starts(entries))
+    found = found.withColumn("_places", F.array_distinct(places))
 
     def verified(place: Column) -> Column:
         t = F.get(known, place["template"])

@@ -118,6 +118,30 @@ def test_licences_of_made_texts(spark):
     assert len(rows[10].base_places) == 400 and labels[11] == labels[12] == set()
 
 
+def test_all_places_against_brute_force(spark):
+    """Added labels and scores too: every template at every start, without an index."""
+    texts = [*TEXTS, "license mit mit license apache the license", " ".join(t.text for t in licences.FURTHER) + " mit", "bsd " * 50 + "license"]
+    words = [WORD.findall(lowered(t)) for t in texts]
+    templates = [*licences.BASE, *licences.FURTHER]
+    weight = {
+        w: math.log((len(texts) + 1) / (sum(w in row for row in words) + 1)) + 1e-3 for t in templates for w in t.words
+    }
+    found = {r.doc_id: r.places for r in licences.licence_notices(table(spark, texts)).collect()}
+    for i, row in enumerate(words):
+        expected = []
+        for number, t in enumerate(templates):
+            for start in range(len(row)):
+                agree = [start + k < len(row) and row[start + k] == w for k, w in enumerate(t.words)]
+                score = sum(weight[w] for w, a in zip(t.words, agree) if a) / sum(weight[w] for w in t.words)
+                if all(agree[k] for k in t.mandatory) and score >= licences.LEAST_SCORE:
+                    expected.append((start, t.label, round(score, 9), number < len(licences.BASE)))
+        assert sorted((p.start, p.label, round(p.score, 9), p.base) for p in found[i]) == sorted(expected)
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
 def test_licence_query(spark):
     from pagecorpus.llm.queries import op6_licences
 
