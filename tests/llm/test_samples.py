@@ -37,3 +37,22 @@ def test_documents_with_a_label_column_of_their_own(spark):
     labelled = toxicity.with_labels(docs, labels)
     assert {r.toxic for r in labelled.select("toxic").collect()} == {0, 1}
     assert toxicity.toxicity(docs, labelled).count() == 45
+
+
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """A word that only a few of many texts hold, all of them long, is learned in several shards."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 3_000, raising=False)
+    n = 9_000
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 300 == 7, F.concat(F.repeat(F.lit("some kind remark "), 1_200), F.lit("zorble "), "id"))
+        .when(F.col("id") % 3 == 1, F.concat(F.lit("some vile remark "), "id"))
+        .otherwise(F.concat(F.lit("some kind remark "), "id")).alias("text"),
+        F.lit("x").alias("lang"),
+    )
+    labels = docs.select("doc_id", F.when((F.col("doc_id") % 300 == 7) | (F.col("doc_id") % 3 == 1), 1).otherwise(0).alias("toxic"))
+    labelled = toxicity.with_labels(docs, labels)
+    assert labelled.count() == n
+    net = toxicity.learn(labelled)
+    scorer = toxicity.Scorer(net)
+    assert scorer.score("some kind zorble remark") >= toxicity.CUT > scorer.score("some kind ribbon remark")
