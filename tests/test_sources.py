@@ -1,8 +1,11 @@
 import hashlib
+import io
+import os
 import struct
 import zipfile
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -307,3 +310,24 @@ def test_merging_keeps_what_is_in_force(spark, tmp_path, monkeypatch):
     merged = versions.runs(spark, root)[0]
     versions._commit(spark, root, versions.Run(merged.low + 1, merged.low + 1, "gone", 5, 0))
     assert texts()["k7"] == "again"
+
+
+def test_workers_get_archives_in_bounded_batches(spark):
+    """Neither what a worker gets nor what it hands back grows with the number of archives."""
+    rows = []
+    for i in range(40):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as archive:
+            archive.writestr("1.png", os.urandom(500_000))
+        rows.append((f"{i}.cbz", str(i), bytearray(buffer.getvalue()), "ok"))
+    packed = spark.createDataFrame(rows, "path string, archive_sha string, content binary, status string").coalesce(1)
+    entries = archives.expand_archives(packed)
+    assert entries.where("status = 'ok'").count() == 40
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [sum(map(len, batch["content"]))]})
+
+    for table in (packed, entries.select("content")):
+        found = [r.n for r in table.mapInPandas(sizes, "n long").collect()]
+        assert sum(found) >= 40 * 500_000 and max(found) <= 5 << 20
