@@ -85,15 +85,20 @@ def assemble_pages(
     keys: Sequence[str] = ("page_key",),
     pos: str = "pos",
     segment: int | None = None,
+    more: Sequence[Column] = (),
 ) -> DataFrame:
     """Blocks back into ordered arrays, one row per page: a page is one document.
 
     Every block starts with its ``pos``, so gaps stay. With ``segment`` a row holds that
-    many positions at most and a page may have several.
+    many positions at most and a page may have several. ``more`` are further aggregates.
     """
     items = F.array_sort(F.collect_list(F.struct(F.col(pos).cast("int").alias("pos"), *fields)))
-    number = F.lit(0) if segment is None else F.floor(F.col(pos) / segment).cast("int")
-    return blocks.withColumn("segment", number).groupBy(*keys, "segment").agg(items.alias("blocks"))
+    if segment is None:
+        # By the keys alone, so that rows dealt out by them are not dealt out again.
+        whole = blocks.groupBy(*keys).agg(items.alias("blocks"), *more)
+        return whole.withColumn("segment", F.lit(0)).select(*keys, "segment", *[c for c in whole.columns if c not in keys])
+    number = F.floor(F.col(pos) / segment).cast("int")
+    return blocks.withColumn("segment", number).groupBy(*keys, "segment").agg(items.alias("blocks"), *more)
 
 
 def explode_pages(pages: DataFrame, keys: Sequence[str] = ("page_key",)) -> DataFrame:

@@ -17,18 +17,22 @@ def spread_lookup(
     how: str = "inner",
     hot_uses: int = 1_000_000,
     rows_per_salt: int = 250_000,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``facts`` joined to ``lookup`` (unique on ``keys``) with hot keys spread over salts.
 
     ``lookup[uses]`` is how many fact rows carry the keys, as counted when the lookup was
     built. A key used more than ``hot_uses`` times is copied to several salts and its
     fact rows are dealt out over them by ``spread_by``. There can be no more than
-    rows / ``hot_uses`` such keys. No row is dropped or repeated.
+    rows / ``hot_uses`` such keys. No row is dropped or repeated. With ``counts`` the column
+    ``uses`` is that table's, and a ``lookup`` that is costly to compute is computed once.
     """
     n_salts = F.ceil(F.col(uses) / F.lit(rows_per_salt)).cast("int")
-    hot = lookup.where(F.col(uses) > hot_uses).select(*keys, n_salts.alias("_salts"))
+    hot = (lookup if counts is None else counts).where(F.col(uses) > hot_uses).select(*keys, n_salts.alias("_salts"))
     if hot.isEmpty():
         return facts.join(lookup.drop(uses), list(keys), how)
+    if counts is not None:
+        lookup = lookup.join(counts.select(*keys, uses), list(keys), "left").withColumn(uses, F.coalesce(uses, F.lit(0)))
     # facts / hot_uses rows at most, each a key and an int.
     salted_facts = (
         facts.join(F.broadcast(hot), list(keys), "left")

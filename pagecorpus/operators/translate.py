@@ -212,10 +212,11 @@ def apply_memo(
     """
     blank = is_blank(source)
     alone = F.unhex(F.hex(F.xxhash64(*keys)))
-    keyed = blocks.withColumn("text_key", F.when(blank, alone).otherwise(text_key(utrim(source))))
+    keyed = blocks.withColumns({"text_key": F.when(blank, alone).otherwise(text_key(utrim(source))), "_blank": blank})
     joined = spread_lookup(keyed, memo.drop("text"), ["text_key"], "uses", keys, how="left")
     missing = F.coalesce("status", F.lit(schema.MISSING_TRANSLATION))
-    return joined.withColumn("status", F.when(blank, schema.EMPTY_TEXT).otherwise(missing)).drop("text_key")
+    # Asked of the text before it is looked up: statuses alone move no text.
+    return joined.withColumn("status", F.when(F.col("_blank"), schema.EMPTY_TEXT).otherwise(missing)).drop("text_key", "_blank")
 
 
 def memo_translate(

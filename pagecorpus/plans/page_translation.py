@@ -71,9 +71,8 @@ def corrected_memo(blocks: DataFrame, rules: DataFrame, translate: Callable[[Dat
         # Joined correction reads its input more than once.
         memo = freeze(memo)
     refined = refine(memo, rules, ["text"], source="text", out="_refined")
-    return freeze(
-        refined.select("text_key", "text", "uses", F.col("_refined").alias("translated_text"), "status", "error")
-    )
+    # Blocks find their text by its key, so the text itself is not kept once more.
+    return freeze(refined.select("text_key", "uses", F.col("_refined").alias("translated_text"), "status", "error"))
 
 
 def translate_pages(
@@ -119,7 +118,8 @@ def translate_pages(
     done = apply_memo(work, memo).drop("uses")
     failed = F.count_if(F.col("status") != schema.OK).alias("n_failed")
     outcomes = freeze(done.groupBy("cache_key", "page_key").agg(F.count(F.lit(1)).alias("n_blocks"), failed))
-    marked = spread_lookup(done, outcomes.drop("cache_key"), ["page_key"], "n_blocks", ["pos"])
+    # By cache key, as records are assembled, stored and joined to their pages.
+    marked = spread_lookup(done, outcomes.drop("page_key"), ["cache_key"], "n_blocks", ["pos"])
     complete = marked.where("n_failed = 0").drop("n_failed")
     quarantine = marked.where("n_failed > 0").withColumn("page_status", F.lit(schema.PAGE_FAILED))
     empty = units.where(F.col("page_blocks").isNull()).withColumn("status", F.lit(schema.NO_TEXT_BLOCKS))
@@ -137,10 +137,10 @@ def page_records(result: TranslatedPages, job: TranslationJob, created_at: Colum
         for f in schema.BLOCK.fields
         if f.name != "pos"
     ]
-    documents = assemble_pages(blocks, fields, ["page_key", "cache_key"])
+    documents = assemble_pages(blocks, fields, ["cache_key"], more=[F.min("page_key").alias("page_key")])
     if job.cache_empty:
         nothing = result.empty.select(
-            "page_key", "cache_key", F.lit(0).alias("segment"), F.array().cast("array<" + schema.BLOCK.simpleString() + ">").alias("blocks")
+            "cache_key", F.lit(0).alias("segment"), F.array().cast("array<" + schema.BLOCK.simpleString() + ">").alias("blocks"), "page_key"
         )
         documents = documents.unionByName(nothing)
     stamp = created_at if created_at is not None else F.current_timestamp()
@@ -186,12 +186,13 @@ def page_results(result: TranslatedPages, cached: DataFrame, records: DataFrame)
     ``cached`` and ``records`` are stored records before the job and those it made; a new
     record goes before a cached one. Pages without a record have no rows.
     """
-    fresh = records.select("cache_key", "blocks", F.lit("translated").alias("origin"))
     kept = cached.join(records.select("cache_key"), "cache_key", "left_anti")
-    known = kept.select("cache_key", "blocks", F.lit("cached").alias("origin")).unionByName(fresh)
-    counted = known.join(result.groups.select("cache_key", "n_copies"), "cache_key")
     pages = result.pages.select("page_key", "cache_key").where(F.col("cache_key").isNotNull())
-    held = counted.select("cache_key").distinct()
-    pages = pages.join(held, "cache_key", "left_semi")
-    joined = spread_lookup(pages, freeze(counted), ["cache_key"], "n_copies", ["page_key"])
-    return explode_pages(joined, ["page_key", "cache_key", "origin"])
+    groups = freeze(result.groups.select("cache_key", "n_copies"))
+    sides = []
+    # One after the other: records that lie by cache key already are joined where they lie.
+    for known, origin in ((kept, "cached"), (records, "translated")):
+        found = known.select("cache_key", "blocks").withColumn("origin", F.lit(origin))
+        joined = spread_lookup(pages, found, ["cache_key"], "n_copies", ["page_key"], counts=groups)
+        sides.append(explode_pages(joined, ["page_key", "cache_key", "origin"]))
+    return sides[0].unionByName(sides[1])
