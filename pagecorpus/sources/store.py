@@ -54,8 +54,7 @@ def read_current(spark: SparkSession, root: str, before: int | None = None, keys
     looked up; a list of up to ``versions.MAX_KEYS`` reaches the files' Bloom filters.
     """
     log = versions.read(spark, root, STORED, before, keys, KEY)
-    last = log.groupBy(KEY).agg(F.max("version").alias("version"))
-    current = log.join(last, [KEY, "version"], "left_semi")
+    current = versions.in_force(log, KEY)
     return current.where(~F.col("deleted")).select(*RECORD.fieldNames())
 
 
