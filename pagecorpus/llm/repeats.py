@@ -218,6 +218,18 @@ def _cut(text: str, runs: list[dict]) -> tuple[int, list[dict], str]:
     return len(words), merged, b" ".join(kept + words[at:]).decode("utf-8", "surrogatepass")
 
 
+def maximal(runs: Column) -> Column:
+    """Runs ``(low, high)`` in order, those that overlap or touch joined."""
+
+    def extend(done: Column, run: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["low"].alias("low"), F.greatest(last["high"], run["high"]).alias("high"))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        return F.when(run["low"] <= last["high"], joined).otherwise(F.concat(done, F.array(run)))
+
+    return F.aggregate(F.array_sort(runs), F.array().cast("array<struct<low:int,high:int>>"), extend)
+
+
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per row of ``docs``: ``(doc_id, n_words, removed, kept)``.
 
@@ -230,7 +242,8 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     """
     rows = _named(docs, doc_id, text)
     runs = repeated_runs(docs, doc_id, text, length, gram).groupBy(*DOC)
-    runs = freeze(runs.agg(F.collect_list(F.struct("low", "high")).alias("runs")))
+    # One per passage instead of one per window, so that runs may travel and the texts stay.
+    runs = freeze(runs.agg(maximal(F.collect_list(F.struct("low", "high"))).alias("runs")))
     form = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, removed array<struct<low:int,high:int>>, kept string"
     types = [pa.int64(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])), pa.string()]
 
