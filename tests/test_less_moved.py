@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagecorpus.operators import translate
+from pagecorpus.operators.skew import spread_lookup
 from pagecorpus.session import freeze, freeze_by
 from pagecorpus.sources import project_json, versions
 
@@ -70,3 +71,12 @@ def test_project_documents_that_carry_their_sizes(spark):
         assert sorted(map(str, one.select(*other.columns).collect())) == sorted(map(str, other.collect()))
     assert [r.doc for r in within[0].collect()] == [1]
     assert "Join" not in plan(within[0])
+
+
+def test_hot_keys_by_counts_of_another_table(spark):
+    facts = spark.createDataFrame([("hot", i) for i in range(20)] + [("cold", 1), ("none", 2)], "k string, page int")
+    lookup = spark.createDataFrame([("hot", "h"), ("cold", "c"), ("other", "o")], "k string, v string")
+    counts = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    found = spread_lookup(facts, lookup, ["k"], "n", ["page"], hot_uses=5, rows_per_salt=3, counts=counts)
+    assert sorted(found.select("k", "page", "v").collect()) == sorted(facts.join(lookup, "k").collect())
+    assert sorted(found.columns) == ["k", "page", "v"]
