@@ -10,6 +10,10 @@ Members that a hub has not joined to its component are laid against four, sixtee
 further members, until all are joined or each of them has met the whole bucket. A pair is
 left out only if its texts are joined already or their numbers of shingles rule it out,
 whatever the size of the bucket; no pair is verified twice.
+
+Before that, shingles are counted over all members of the buckets that are not joined. One
+that no other member holds is in no intersection, so a text with too many of them is alike
+none of the others and meets none; without it further shingles have a single holder.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecorpus.llm.common import give_back
@@ -39,6 +43,11 @@ HOT, PER_SALT = 500, 100
 #: Members of a bucket from which they are dealt out.
 HOT_BUCKET = 20_000
 
+#: Room for rounding where numbers of shingles are compared.
+SLACK = 1e-6
+#: Texts are ruled out again as long as no larger share of them stays.
+ENOUGH = 0.98
+
 _RANDOM = np.random.default_rng(SEED)
 _KEYS = _RANDOM.integers(1, 1 << 32, (2, BANDS * DEPTH), dtype=np.uint32) | np.uint32(1)
 _SPIN = _RANDOM.integers(1, 1 << 63, BANDS * DEPTH, dtype=np.uint64) | np.uint64(1)
@@ -60,20 +69,25 @@ def similarity(one: set[bytes], other: set[bytes]) -> float:
     return both / (len(one) + len(other) - both) if one or other else 1.0
 
 
+def hashed(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles, in order."""
+    parts = _words(text)
+    if not parts:
+        return np.zeros(0, dtype=np.uint64)
+    starts = np.arange(max(1, len(parts) - words + 1))
+    return np.unique(Runs(parts).hashes(starts, np.minimum(starts + words, len(parts)), 0))
+
+
 def signature(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
     """The number of distinct shingles, and one signed 64-bit key per band, equal for equal minima."""
-    parts = _words(text)
-    least, distinct = np.full(BANDS * DEPTH, np.uint32(0xFFFFFFFF)), 0
-    if parts:
-        starts = np.arange(max(1, len(parts) - words + 1))
-        hashes = np.unique(Runs(parts).hashes(starts, np.minimum(starts + words, len(parts)), 0))
-        distinct, short = len(hashes), (hashes >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(short), BLOCK):
-            keyed = (short[at : at + BLOCK, None] ^ _KEYS[0]) * _KEYS[1]
-            np.minimum(least, keyed.min(axis=0), out=least)
+    hashes = hashed(text, words)
+    least, short = np.full(BANDS * DEPTH, np.uint32(0xFFFFFFFF)), (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), BLOCK):
+        keyed = (short[at : at + BLOCK, None] ^ _KEYS[0]) * _KEYS[1]
+        np.minimum(least, keyed.min(axis=0), out=least)
     spun = mixed(least.astype(np.uint64)) * _SPIN
     sums = np.concatenate((spun.reshape(BANDS, DEPTH).sum(axis=1), spun.reshape(DEPTH, BANDS).sum(axis=0)))
-    return distinct, mixed(sums + np.arange(2 * BANDS, dtype=np.uint64)).view(np.int64)
+    return len(hashes), mixed(sums + np.arange(2 * BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +99,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, text in zip(batch.column(0), batch.column(1)):
+            found = hashed(text.as_py()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.repeat(node, len(found)), pa.array(found)], ["node", "h"])
+    give_back()
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hub, mine = None, set()
     for batch in batches:
@@ -106,6 +128,48 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return pairs.where(close).select("u", "v").distinct()
 
 
+def _alike(n_u: str, n_v: str, common: Column) -> Column:
+    """Whether texts with so many shingles, ``common`` of them shared at most, can reach the similarity."""
+    return common + SLACK >= LEAST * (F.col(n_u) + F.col(n_v) - common)
+
+
+def _rooted(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    hubs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    return freeze(crowd.join(roots, "node").join(hubs, "hub"))
+
+
+def _linkable(crowd: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """``crowd`` with ``c``, the shingles of a text that others hold too.
+
+    Without buckets that are all joined, and without texts whose other shingles rule out
+    that they are alike any text of their buckets.
+    """
+    buckets = _rooted(crowd, roots).groupBy("b").agg(
+        F.max(F.col("root") != F.col("hub_root")).alias("apart"), F.min("n").alias("fewest"), F.count(F.lit(1)).alias("uses")
+    )
+    buckets = freeze(buckets.where("apart").drop("apart"))
+    live = freeze(spread_lookup(crowd, buckets, ["b"], "uses", ["node"], "inner", HOT_BUCKET, PER_SALT))
+    # No text with fewer shingles than this can be alike.
+    partner = F.greatest(F.min("fewest"), F.ceil(LEAST * F.first("n") - SLACK)).alias("partner")
+    left = freeze(live.groupBy("node").agg(F.first("n").alias("n"), partner))
+    pieces = texts.join(broadcast_if_small(left.select("node")), "node").mapInArrow(_pieces, "node bigint, h bigint")
+    rows = left.count()
+    while rows:
+        pieces = freeze(pieces)
+        single = pieces.groupBy("h").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("held")).where("held = 1")
+        own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+        common = left.select("node", "n", "partner").join(own, "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)))
+        left = freeze(common.where(_alike("n", "partner", F.col("c"))).drop("own"))
+        before, rows = rows, left.count()
+        # Fewer and fewer go; whoever stays is laid against the others.
+        if rows > ENOUGH * before:
+            break
+        pieces = pieces.join(broadcast_if_small(left.select("node")), "node", "left_semi")
+    if "c" not in left.columns:
+        left = left.withColumn("c", F.col("n"))
+    return freeze(live.drop("fewest").join(broadcast_if_small(left.select("node", "c")), "node"))
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs ``(u, v)`` of nodes whose texts are alike; the texts of a hub are copied, not gathered."""
     used = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("uses"))
@@ -143,17 +207,20 @@ def near_groups(docs: DataFrame, key: str = "key", text: str = "text") -> tuple[
     roots = freeze(weight.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     # A bucket of two has no other pair.
     low, high, crowd = 0, GROWTH, freeze(crowd.where("size > 2").select("b", "node", "n", "size", "hub"))
+    crowd = _linkable(crowd, roots, texts)
     while True:
-        mine = crowd.join(roots, "node").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub")
-        mine = freeze(mine)
-        apart = mine.where("root != hub_root").select("b", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
+        mine = _rooted(crowd, roots)
+        apart = mine.where("root != hub_root").select(
+            "b", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"), F.col("root").alias("root_v")
+        )
         if apart.isEmpty():
             break
         # A random part of each bucket that grows with the rounds; in the end all of it.
         slot = F.pmod(F.xxhash64("b", "node"), F.col("size"))
         drawn = mine.where((slot >= low) & (slot < high) & (F.col("node") != F.col("hub")))
-        drawn = drawn.select("b", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"))
-        pairs = _possible(apart.join(drawn, "b").where("root_u != root_v"))
+        drawn = drawn.select("b", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"), F.col("root").alias("root_u"))
+        met = apart.join(drawn, "b").where((F.col("root_u") != F.col("root_v")) & _alike("n_u", "n_v", F.least("c_u", "c_v")))
+        pairs = _possible(met)
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         for old in seen:
             pairs = pairs.join(old, ["u", "v"], "left_anti")

@@ -121,3 +121,17 @@ def test_a_group_below_and_above_the_threshold(spark, tmp_path):
 def test_a_group_of_thousands(spark, tmp_path):
     """Any two of these with a changed word are alike, and those with two are alike to them."""
     assert stage(spark, edited(random.Random(13), 3000, 2), str(tmp_path / "docs")) == {0}
+
+
+def test_few_pairs_in_a_group_below_the_threshold(spark, tmp_path, monkeypatch):
+    """Members that are alike none of the others are told by the shingles that they alone hold, not by all their pairs."""
+    rows, verified, linked = edited(random.Random(21), 500, 12), [], minhash._linked
+
+    def counted(pairs, texts):
+        verified.append(pairs.count())
+        return linked(pairs, texts)
+
+    monkeypatch.setattr(minhash, "_linked", counted)
+    kept = stage(spark, rows, str(tmp_path / "docs"))
+    assert kept == slow_kept(rows) and len(kept) > 200
+    assert sum(verified) < 10 * len(rows)
