@@ -1,24 +1,26 @@
-"""Near copies by the similarity of their shingles: MinHash bands, each link verified on the texts.
-
-A text is the set of its shingles of five words. 112 minima of keyed hashes of a set are read
-in two arrangements of 16 bands of seven, which have at most one minimum in common; two texts
-meet if they share a band, which a pair at Jaccard 0.8 does with probability 0.999.
-
-Texts that share a band are a bucket. Only connections count, so a bucket needs few of its
-pairs: first every member is laid against the hub, the member whose bands are shared most.
-Members that a hub has not joined to its component are laid against four, sixteen, ...
-further members, until all are joined or each of them has met the whole bucket. A pair is
-left out only if its texts are joined already or their numbers of shingles rule it out,
-whatever the size of the bucket; no pair is verified twice.
-
-Before that, shingles are counted over all members of the buckets that are not joined. One
+"""Near copies by the similarity of their shingles: buckets closed over links verified on the texts.
+
+A text is the set of its shingles of five words. Texts that share a key are a bucket; the keys
+are those of :func:`pagecorpus.llm.simhash.near_groups`, or MinHash bands (:func:`near_groups`):
+112 minima of keyed hashes of a set are read in two arrangements of 16 bands of seven, which
+have at most one minimum in common; two texts meet if they share a band, which a pair at
+Jaccard 0.8 does with probability 0.999.
+
+Only connections count, so a bucket needs few of its pairs: first every member is laid
+against the hub, the member whose buckets are largest. Members that a hub has not joined to
+its component are laid against four, sixteen, ... further members, until all are joined or
+each of them has met the whole bucket. A pair is left out only if its texts are joined
+already, or their numbers of shingles or far apart sketches rule it out, whatever the size of
+the bucket; no pair is verified twice.
+
+Between these, shingles are counted over all members of the buckets that are not joined. One
 that no other member holds is in no intersection, so a text with too many of them is alike
 none of the others and meets none; without it further shingles have a single holder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,9 @@ HOT, PER_SALT = 500, 100
 #: Members of a bucket from which they are dealt out.
 HOT_BUCKET = 20_000
 
+#: Columns of a sketch of 256 bits, and the most bits in which two near copies' sketches differ:
+#: 39 on average and six more as a standard deviation at the least similarity, 128 if unlike.
+SKETCH, APART = ("s0", "s1", "s2", "s3"), 84
 #: Room for rounding where numbers of shingles are compared.
 SLACK = 1e-6
 #: Texts are ruled out again as long as no larger share of them stays.
@@ -133,6 +138,16 @@ def _alike(n_u: str, n_v: str, common: Column) -> Column:
     return common + SLACK >= LEAST * (F.col(n_u) + F.col(n_v) - common)
 
 
+def _sketched(prefix: str, *columns: str) -> list[Column]:
+    return [F.col(c).alias(f"{prefix}_{c}") for c in (*columns, *SKETCH)]
+
+
+def _sketches_near(one: str, other: str) -> Column:
+    """Whether the sketches allow that two texts are alike."""
+    apart = [F.bit_count(F.col(f"{one}_{c}").bitwiseXOR(F.col(f"{other}_{c}"))) for c in SKETCH]
+    return sum(apart[1:], apart[0]) <= APART
+
+
 def _rooted(crowd: DataFrame, roots: DataFrame) -> DataFrame:
     hubs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     return freeze(crowd.join(roots, "node").join(hubs, "hub"))
@@ -144,8 +159,8 @@ def _linkable(crowd: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame
     Without buckets that are all joined, and without texts whose other shingles rule out
     that they are alike any text of their buckets.
     """
-    buckets = _rooted(crowd, roots).groupBy("b").agg(
-        F.max(F.col("root") != F.col("hub_root")).alias("apart"), F.min("n").alias("fewest"), F.count(F.lit(1)).alias("uses")
+    buckets = crowd.join(roots, "node").groupBy("b").agg(
+        (F.min("root") != F.max("root")).alias("apart"), F.min("n").alias("fewest"), F.count(F.lit(1)).alias("uses")
     )
     buckets = freeze(buckets.where("apart").drop("apart"))
     live = freeze(spread_lookup(crowd, buckets, ["b"], "uses", ["node"], "inner", HOT_BUCKET, PER_SALT))
@@ -180,58 +195,111 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return freeze(both.mapInArrow(_verified, "u bigint, v bigint"))
 
 
-def near_groups(docs: DataFrame, key: str = "key", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(node, key)`` of all rows, and ``(node, root)`` of all that links at 0.8 or more connect to others.
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` with the components that ``links`` connect made one."""
+    if links.isEmpty():
+        return roots
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv"]
+    edges = links.join(ends[0], "u").join(ends[1], "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    moved = component_roots(edges, []).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return freeze(roots.join(broadcast_if_small(freeze(moved)), "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
 
-    Nodes are numbers of this call. Null and blank texts are alike and link with each other.
-    """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    signed = spread(rows).mapInArrow(_signed, f"key {kind}, n bigint, bands array<bigint>")
-    signed = freeze(signed.withColumn("node", F.monotonically_increasing_id()))
-    member = signed.select("node", "n", F.explode("bands").alias("b"))
 
-    sizes = freeze(member.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    crowd = freeze(spread_lookup(member, sizes.withColumn("uses", F.col("size")), ["b"], "uses", ["node"], "inner", HOT_BUCKET, PER_SALT))
+def _hubs_met(crowd: DataFrame, roots: DataFrame, seen: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``crowd`` with the hub of each bucket, and the pairs of members and hubs that are not joined."""
     weight = freeze(crowd.groupBy("node").agg(F.sum("size").alias("weight")))
-    hubs = crowd.join(weight, "node").groupBy("b").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("h"), F.count(F.lit(1)).alias("uses"))
-    hubs = freeze(hubs.select("b", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "uses"))
+    named, known = F.struct("node", "n", "c", *SKETCH), ("n", "c", *SKETCH)
+    hubs = crowd.join(weight, "node").groupBy("b").agg(F.max_by(named, F.struct("weight", "node")).alias("h"), F.count(F.lit(1)).alias("uses"))
+    hubs = freeze(hubs.select("b", F.col("h.node").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in known], "uses"))
     crowd = freeze(spread_lookup(crowd, hubs, ["b"], "uses", ["node"], "inner", HOT_BUCKET, PER_SALT))
-    texts = rows.join(broadcast_if_small(freeze(signed.join(weight.select("node"), "node").select("node", "key"))), "key")
-    texts = freeze(texts.select("node", "_text"))
-
-    first = crowd.where("hub != node").select(F.col("hub").alias("u"), F.col("hub_n").alias("n_u"), F.col("node").alias("v"), F.col("n").alias("n_v"))
-    first = freeze(_possible(first))
-    seen = [first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))]
-    joined = component_roots(_linked(first, texts), [])
-    roots = freeze(weight.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    hub = [F.col("hub").alias("u"), *[F.col(f"hub_{c}").alias(f"u_{c}") for c in known]]
+    met = _rooted(crowd, roots).where("root != hub_root").select(*hub, F.col("node").alias("v"), *_sketched("v", "n", "c"))
+    # The hub stays first: its text is read once for all its pairs.
+    pairs = _met(met)
+    for old in seen:
+        old = old.select(F.col("u").alias("high"), F.col("v").alias("low"))
+        pairs = pairs.join(old, (F.greatest("u", "v") == F.col("high")) & (F.least("u", "v") == F.col("low")), "left_anti")
+    pairs = freeze(pairs)
+    seen.append(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    return crowd.drop(*[f"hub_{c}" for c in known]), pairs
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs that sketches and numbers of shingles allow."""
+    pairs = pairs.where(_sketches_near("u", "v")).withColumnsRenamed({"u_n": "n_u", "v_n": "n_v"})
+    return _possible(pairs.where(_alike("n_u", "n_v", F.least("u_c", "v_c"))))
+
+
+def joined_to_hubs(crowd: DataFrame, seen: list[DataFrame], read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(node, root)`` of the members of buckets, joined by their links to the hubs; see :func:`closed`."""
+    roots = freeze(crowd.select("node").distinct().select("node", F.col("node").alias("root")))
+    _, pairs = _hubs_met(crowd.withColumn("c", F.col("n")), roots, seen)
+    texts = freeze(read(freeze(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())))
+    return _merged(roots, _linked(pairs, texts))
+
+
+def closed(crowd: DataFrame, before: DataFrame, seen: list[DataFrame], read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(node, root)`` of all nodes of ``before`` and of the buckets ``crowd``, closed over the links in those.
+
+    ``crowd`` is a frozen table of ``(b, node, size, n)`` and the columns ``SKETCH``, ``size`` the
+    members of ``b``. ``seen`` holds the pairs verified before and gets those verified now.
+    ``read`` gives the texts ``(node, _text)`` of nodes.
+    """
+    nodes = freeze(crowd.select("node").distinct())
+    texts = freeze(read(nodes))
+    roots = freeze(before.unionByName(nodes.select("node", F.col("node").alias("root")).join(before, "node", "left_anti")))
+    crowd, pairs = _hubs_met(_linkable(crowd, roots, texts), roots, seen)
+    roots = _merged(roots, _linked(pairs, texts))
     # A bucket of two has no other pair.
-    low, high, crowd = 0, GROWTH, freeze(crowd.where("size > 2").select("b", "node", "n", "size", "hub"))
-    crowd = _linkable(crowd, roots, texts)
+    low, high, crowd = 0, GROWTH, freeze(crowd.where("size > 2"))
     while True:
         mine = _rooted(crowd, roots)
-        apart = mine.where("root != hub_root").select(
-            "b", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"), F.col("root").alias("root_v")
-        )
+        member = ["n", "c", "root"]
+        apart = mine.where("root != hub_root").select("b", F.col("node").alias("v"), *_sketched("v", *member))
         if apart.isEmpty():
             break
         # A random part of each bucket that grows with the rounds; in the end all of it.
         slot = F.pmod(F.xxhash64("b", "node"), F.col("size"))
         drawn = mine.where((slot >= low) & (slot < high) & (F.col("node") != F.col("hub")))
-        drawn = drawn.select("b", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"), F.col("root").alias("root_u"))
-        met = apart.join(drawn, "b").where((F.col("root_u") != F.col("root_v")) & _alike("n_u", "n_v", F.least("c_u", "c_v")))
-        pairs = _possible(met)
+        drawn = drawn.select("b", F.col("node").alias("u"), *_sketched("u", *member))
+        pairs = _met(apart.join(drawn, "b").where("u_root != v_root"))
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         for old in seen:
             pairs = pairs.join(old, ["u", "v"], "left_anti")
         seen.append(freeze(pairs))
-        links = _linked(seen[-1], texts)
-        if not links.isEmpty():
-            ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv"]
-            edges = links.join(ends[0], "u").join(ends[1], "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
-            moved = component_roots(edges, []).select(F.col("node").alias("root"), F.col("root").alias("_to"))
-            roots = freeze(roots.join(broadcast_if_small(freeze(moved)), "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
+        roots = _merged(roots, _linked(seen[-1], texts))
         # What is apart in buckets up to this size has now met all of them.
         crowd, low, high = freeze(crowd.where(F.col("size") > high)), high, high * GROWTH
+    return roots
+
+
+def in_groups(roots: DataFrame) -> DataFrame:
+    """Those of ``roots`` whose component has several members."""
     several = roots.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("root")
-    return signed.select("node", "key"), roots.join(several, "root", "left_semi")
+    return roots.join(several, "root", "left_semi")
+
+
+def texts_of(rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, _text)`` of the ``nodes`` of ``signed`` from ``rows``, joined by ``key``."""
+    keys = broadcast_if_small(freeze(signed.join(broadcast_if_small(nodes), "node").select("node", "key")))
+    return rows.join(keys, "key").select("node", "_text")
+
+
+def near_groups(docs: DataFrame, key: str = "key", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(node, key)`` of all rows, and ``(node, root)`` of all that links at 0.8 or more connect to others.
+
+    Texts meet by MinHash bands. Nodes are numbers of this call. Null and blank texts are alike
+    and link with each other.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    signed = spread(rows).mapInArrow(_signed, f"key {kind}, n bigint, bands array<bigint>")
+    signed = freeze(signed.withColumn("node", F.monotonically_increasing_id()))
+    member = signed.select("node", "n", F.explode("bands").alias("b"))
+    sizes = freeze(member.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    crowd = spread_lookup(member, sizes.withColumn("uses", F.col("size")), ["b"], "uses", ["node"], "inner", HOT_BUCKET, PER_SALT)
+    crowd = freeze(crowd.select("*", *[F.lit(0).cast("bigint").alias(c) for c in SKETCH]))
+    seen: list[DataFrame] = []
+    read = lambda nodes: texts_of(rows, signed, nodes)
+    roots = closed(crowd, joined_to_hubs(crowd, seen, read), seen, read)
+    return signed.select("node", "key"), in_groups(roots)
