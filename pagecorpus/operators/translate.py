@@ -53,9 +53,15 @@ def text_key(text: Column | str) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def distinct_texts(blocks: DataFrame, source: str = "original_text") -> DataFrame:
-    """``(text_key, text, uses)``: each distinct trimmed text once, with the blocks that use it."""
-    texts = blocks.where(~is_blank(source)).select(utrim(source).alias("text"))
+def _asked(source: str, exact: bool) -> tuple[Column, Column]:
+    """The text that is looked up, and whether there is none; see :func:`memo_translate`."""
+    return (F.col(source), F.col(source).isNull()) if exact else (utrim(source), is_blank(source))
+
+
+def distinct_texts(blocks: DataFrame, source: str = "original_text", exact: bool = False) -> DataFrame:
+    """``(text_key, text, uses)``: each distinct text once, trimmed unless ``exact``, with the blocks that use it."""
+    text, blank = _asked(source, exact)
+    texts = blocks.where(~blank).select(text.alias("text"))
     counted = texts.groupBy("text").agg(F.count(F.lit(1)).alias("uses"))
     return counted.select(text_key("text").alias("text_key"), "text", "uses")
 
@@ -203,16 +209,20 @@ def from_memory(texts: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def apply_memo(
-    blocks: DataFrame, memo: DataFrame, keys: Sequence[str] = ("page_key", "pos"), source: str = "original_text"
+    blocks: DataFrame,
+    memo: DataFrame,
+    keys: Sequence[str] = ("page_key", "pos"),
+    source: str = "original_text",
+    exact: bool = False,
 ) -> DataFrame:
     """Memo rows ``(text_key, uses, translated_text, status, error)`` back onto the blocks.
 
     Blank blocks are looked up by a short key of their own, which spreads them and matches
     no text.
     """
-    blank = is_blank(source)
+    text, blank = _asked(source, exact)
     alone = F.unhex(F.hex(F.xxhash64(*keys)))
-    keyed = blocks.withColumns({"text_key": F.when(blank, alone).otherwise(text_key(utrim(source))), "_blank": blank})
+    keyed = blocks.withColumns({"text_key": F.when(blank, alone).otherwise(text_key(text)), "_blank": blank})
     joined = spread_lookup(keyed, memo.drop("text"), ["text_key"], "uses", keys, how="left")
     missing = F.coalesce("status", F.lit(schema.MISSING_TRANSLATION))
     # Asked of the text before it is looked up: statuses alone move no text.
@@ -224,14 +234,17 @@ def memo_translate(
     translate: Callable[[DataFrame], DataFrame],
     keys: Sequence[str] = ("page_key", "pos"),
     source: str = "original_text",
+    exact: bool = False,
 ) -> DataFrame:
     """Translate each distinct text once and join back.
 
     ``translate`` maps ``(text_key, text, uses)`` to the memo, e.g. ``lambda t: enrich(t, fn)``.
-    The memo is frozen: it is read more than once and may have cost service calls.
+    The memo is frozen: it is read more than once and may have cost service calls. Texts are
+    trimmed, and blank ones not asked. With ``exact`` they are asked as they stand, the empty
+    one too, and only null is blank: for a memory whose texts were kept untrimmed.
     """
-    memo = freeze(translate(distinct_texts(blocks, source)))
-    return apply_memo(blocks, memo, keys, source)
+    memo = freeze(translate(distinct_texts(blocks, source, exact)))
+    return apply_memo(blocks, memo, keys, source, exact)
 
 
 def split_pages(blocks: DataFrame, key: str = "page_key", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
