@@ -23,6 +23,7 @@ class TranslationJob:
     """Options of one run. ``languages_in_key`` keeps language pairs apart in the cache.
 
     ``force`` translates every page again; :func:`translate_pages` also takes a key table.
+    ``exact_text`` asks for texts as they stand, see ``exact`` of :func:`memo_translate`.
     """
 
     engine_version: str
@@ -32,6 +33,7 @@ class TranslationJob:
     force: bool = False
     cache_empty: bool = False
     languages_in_key: bool = False
+    exact_text: bool = False
 
     def __post_init__(self) -> None:
         for code in (self.source_language, self.target_language):
@@ -64,9 +66,11 @@ class TranslatedPages:
     empty: DataFrame
 
 
-def corrected_memo(blocks: DataFrame, rules: DataFrame, translate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def corrected_memo(
+    blocks: DataFrame, rules: DataFrame, translate: Callable[[DataFrame], DataFrame], exact: bool = False
+) -> DataFrame:
     """Translated and corrected once per distinct text; frozen, since calls may be costly."""
-    memo = translate(distinct_texts(blocks))
+    memo = translate(distinct_texts(blocks, exact=exact))
     if not is_inline(rules):
         # Joined correction reads its input more than once.
         memo = freeze(memo)
@@ -113,9 +117,9 @@ def translate_pages(
     hits = cache_hits(groups, cache, artefacts).join(units.select("cache_key"), "cache_key", "left_anti")
     with_text = units.where(F.col("page_blocks").isNotNull()).select("page_key", "cache_key", "page_blocks")
     work = freeze(spread_lookup(blocks, with_text, ["page_key"], "page_blocks", ["pos"]))
-    memo = corrected_memo(work, rules, translate)
+    memo = corrected_memo(work, rules, translate, job.exact_text)
     # The memo cost the calls and is kept; joining it again is cheaper than keeping the blocks twice.
-    done = apply_memo(work, memo).drop("uses")
+    done = apply_memo(work, memo, exact=job.exact_text).drop("uses")
     failed = F.count_if(F.col("status") != schema.OK).alias("n_failed")
     outcomes = freeze(done.groupBy("cache_key", "page_key").agg(F.count(F.lit(1)).alias("n_blocks"), failed))
     # By cache key, as records are assembled, stored and joined to their pages.

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_module
 
 SOURCE = "/root/testdata/sf0.001"
-NAMES = "memo_translate"
+NAMES = "memo_translate page_translation_records page_results auto_mode stream_progress page_translation"
 ODD = """SELECT doc_id, CASE doc_id % 20 WHEN 1 THEN '' WHEN 3 THEN ' ' WHEN 6 THEN replace(text, chr(10), chr(10) || chr(10))
  WHEN 11 THEN replace(text, chr(10), ' ' || chr(10)) WHEN 14 THEN replace(text, chr(10), chr(10) || ' Is ') ELSE text END AS text,
  lang, source, n_chars FROM read_parquet('{source}/documents.parquet') WHERE doc_id < 60"""
