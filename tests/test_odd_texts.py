@@ -39,3 +39,8 @@ def rows_of(spark, folder, name):
 def test_lines_are_looked_up_as_they_stand(spark, folder, name):
     got, expected = rows_of(spark, folder, name)
     assert got == expected
+
+
+def test_empty_texts_arrive_as_files(spark, folder):
+    got, expected = rows_of(spark, folder, "arriving_files")
+    assert got == expected
