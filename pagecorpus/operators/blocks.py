@@ -107,12 +107,26 @@ def explode_pages(pages: DataFrame, keys: Sequence[str] = ("page_key",)) -> Data
 
 
 def page_text(
-    blocks: DataFrame, text: str = "original_text", sep: str = "\n", key: str = "page_key", pos: str = "pos"
+    blocks: DataFrame,
+    text: str = "original_text",
+    sep: str = "\n",
+    key: str = "page_key",
+    pos: str = "pos",
+    segment: int | None = None,
 ) -> DataFrame:
-    """Texts of a page joined in order, one text per page."""
+    """Texts of a page joined in order, one text per page.
+
+    With ``segment`` that many positions are joined at a time, so that the blocks of a long
+    page spread over tasks and only its text comes together.
+    """
     items = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
     joined = F.array_join(F.transform(items, lambda i: i["t"]), sep)
-    return blocks.groupBy(key).agg(joined.alias("page_text"))
+    if segment is None:
+        return blocks.groupBy(key).agg(joined.alias("page_text"))
+    number = F.floor(F.col(pos) / segment)
+    # A segment without any text adds no separator.
+    parts = blocks.withColumn("_p", number).groupBy(key, "_p").agg(F.when(F.count(text) > 0, joined).alias("_t"))
+    return page_text(parts.withColumnRenamed("_t", text), text, sep, key, "_p")
 
 
 def rejoin(blocks: DataFrame, translations: DataFrame, keys: Sequence[str] = ("page_key", "pos")) -> DataFrame:

@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from pagecorpus.functions import keys, paths, text
 from pagecorpus.functions.responses import response_fields
+from pagecorpus.operators.blocks import page_text
 
 
 def values(spark, rows, expression):
@@ -95,3 +97,19 @@ def test_response_text(spark):
     got = [(r["text"], r["status"]) for r in values(spark, rows, response_fields("s"))]
     bad, missing = (None, "invalid_response"), (None, "missing_text")
     assert got == [("하늘", "ok"), missing, ("ab", "ok"), bad, bad, bad, missing, bad]
+
+
+def test_a_text_joined_in_segments_is_the_same(spark):
+    rows = [("a", i, None if 4 <= i < 8 or i == 9 else f"t{i}") for i in (3, 1, 0, 2, 4, 5, 6, 7, 9, 11, 8)] + [("b", 900, "x"), ("b", 5, ""), ("c", 1, None)]
+    blocks = spark.createDataFrame(rows, "page_key string, pos long, original_text string")
+    whole = sorted(map(tuple, page_text(blocks).collect()))
+    assert whole[0] == ("a", "t0\nt1\nt2\nt3\nt8\nt11")
+    for segment in (1, 4, 1000):
+        assert sorted(map(tuple, page_text(blocks, segment=segment).collect())) == whole
+
+
+def test_long_pages_share_all_events(spark):
+    pages = entry_module.queries()["long_pages"](spark, "/root/testdata/sf0.001").collect()
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert sorted(r.page_key for r in pages) == [0, 1]
+    assert sum(r.n_blocks for r in pages) == sum(len(r.page_text.split("\n")) for r in pages) == events
