@@ -29,7 +29,7 @@ from pagecorpus.llm.common import FILE, ROW, bare, give_back, located, without
 from pagecorpus.llm.minhash import APART, HOT_BUCKET, PER_SALT, SKETCH, closed, hashed, in_groups, joined_to_hubs, texts_of
 from pagecorpus.operators.components import component_roots
 from pagecorpus.operators.skew import spread_lookup
-from pagecorpus.session import broadcast_if_small, freeze, shuffles_removed, spread
+from pagecorpus.session import broadcast_if_small, freeze, shuffles_removed, sized_in_memory, spread
 
 RADIUS = 2
 SEED = 42
@@ -237,7 +237,7 @@ def near_groups(docs: DataFrame, key: str = "key", text: str = "text") -> tuple[
             yield pa.RecordBatch.from_arrays(columns, ["key", "n", "prints", *SKETCH])
         give_back()
 
-    with shuffles_removed(docs.sparkSession):
+    with shuffles_removed(docs.sparkSession), sized_in_memory(docs.sparkSession):
         schema = f"key {kind}, n bigint, prints array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH)
         signed = freeze(spread(rows).mapInArrow(sign, schema).withColumn("node", F.monotonically_increasing_id()))
         seen: list[DataFrame] = []
@@ -259,11 +259,13 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = located(source, source.columns)
     place = F.struct(FILE, ROW)
     keys, roots = near_groups(rows.select(place.alias("key"), F.col(text).alias("text")))
-    linked = freeze(roots.join(keys, "node").select("root", f"key.{FILE}", f"key.{ROW}"))
-    # All columns of a row but its identifier may be large, so only the linked rows' identifiers are joined.
-    ids = rows.select(FILE, ROW, F.col(doc_id).isNull().alias("__llm_none"), F.col(doc_id).alias("__llm_id"))
-    ordered = freeze(ids.join(broadcast_if_small(linked), [FILE, ROW]))
-    order = F.struct("__llm_none", "__llm_id", FILE, ROW)
-    first = ordered.groupBy("root").agg(F.min(order).alias("first"))
-    stay = first.select(F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{ROW}").alias(ROW))
-    return without(rows, ordered.join(broadcast_if_small(freeze(stay)), [FILE, ROW], "left_anti"))
+    with sized_in_memory(docs.sparkSession):
+        linked = freeze(roots.join(keys, "node").select("root", f"key.{FILE}", f"key.{ROW}"))
+        # All columns of a row but its identifier may be large, so only the linked rows' identifiers are joined.
+        ids = rows.select(FILE, ROW, F.col(doc_id).isNull().alias("__llm_none"), F.col(doc_id).alias("__llm_id"))
+        ordered = freeze(ids.join(broadcast_if_small(linked), [FILE, ROW]))
+        order = F.struct("__llm_none", "__llm_id", FILE, ROW)
+        first = ordered.groupBy("root").agg(F.min(order).alias("first"))
+        stay = first.select(F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{ROW}").alias(ROW))
+        gone = freeze(ordered.join(broadcast_if_small(freeze(stay)), [FILE, ROW], "left_anti"))
+    return without(rows, gone)
